@@ -7,7 +7,9 @@ the corpus, so the digits are chosen to keep equal windows in one record for as
 1. The first digit of a window is its minimizer, the least of its ``k``-symbol substrings.  Equal
    windows have the same one.  Consecutive windows with one minimizer stay together as a *run*.
 2. The second digit is the whole run.  Runs equal to this depth are equal window by window.
-3. Only runs that share a minimizer with a different run are taken apart, and the last digit is the window.
+3. Runs that share a minimizer with a different run are cut at fixed distances from it into *cells*.  All windows of a
+   cell have its core in common, most of a window; the core is the next digit, and the whole cell the one after it.
+4. Only cells that share a core with a different cell are taken apart, and the last digit is the window.
 
 Each map task first groups what it holds itself, so that a window with very many occurrences
 sends one record from each task.  Digits are 64-bit hashes and a group is told by two of them.
@@ -30,6 +32,10 @@ from ._spark import shuffle_partitions
 OPEN, KNOWN, BOTH = 0, 1, 2
 _PIECE = 1 << 18
 _PLACE = 20
+_COLUMNS = ("doc", "at", "n", "ah", "ch")
+#: ``n`` has the number of windows, and above it the distance from the first window to the minimizer.
+_NUMBER = (1 << 32) - 1
+_CELLS = 4
 _RUN_SCHEMA = "ah long, ch long, id long, at long, n long, kind long"
 
 #: symbols(batch) gives the symbols of all texts as uint64, and len + 1 offsets.
@@ -57,7 +63,7 @@ def runs(x: np.ndarray, at: np.ndarray, depth: Depth) -> dict[str, np.ndarray]:
     length, k = depth.length, depth.k
     counts = np.maximum(np.diff(at) - length + 1, 0)
     if not counts.any():
-        return {c: np.zeros(0, U64 if c in ("ah", "ch") else np.int64) for c in ("doc", "at", "n", "ah", "ch")}
+        return {c: np.zeros(0, U64 if c in ("ah", "ch") else np.int64) for c in _COLUMNS}
     doc, place = grouped(counts)
     p = at[:-1][doc] + place
     h = grams(x, k)
@@ -72,7 +78,7 @@ def runs(x: np.ndarray, at: np.ndarray, depth: Depth) -> dict[str, np.ndarray]:
     s, down = prefix_sums(x)
     content = (s[start + n + length - 1] - s[start]) * down[start]
     shape = ((anchor - start) << 32 | n).astype(U64)
-    return {"doc": doc[first], "at": place[first], "n": n, "ah": mix(h[anchor]), "ch": mix(mix(content) ^ shape)}
+    return {"doc": doc[first], "at": place[first], "n": n | (anchor - start) << 32, "ah": mix(h[anchor]), "ch": mix(mix(content) ^ shape)}
 
 
 def _pieces(at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,7 +114,7 @@ def all_runs(x: np.ndarray, at: np.ndarray, depth: Depth) -> dict[str, np.ndarra
         r["at"] = r["at"] + (begins - at[docs])[r["doc"]]
         r["doc"] = docs[r["doc"]]
         parts.append(r)
-    return {c: np.concatenate([r[c] for r in parts]) if parts else np.zeros(0, U64 if c in ("ah", "ch") else np.int64) for c in ("doc", "at", "n", "ah", "ch")}
+    return {c: np.concatenate([r[c] for r in parts]) if parts else np.zeros(0, U64 if c in ("ah", "ch") else np.int64) for c in _COLUMNS}
 
 
 def _batch(ids: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray, ah: np.ndarray, ch: np.ndarray) -> pa.RecordBatch:
@@ -127,7 +133,7 @@ def grouped_here(ids: np.ndarray, at: np.ndarray, n: np.ndarray, ah: np.ndarray,
         kind[head] = np.where(size > 1, BOTH, OPEN)
     known = kind == KNOWN
     # known spans need no digits: join neighbours, spread them evenly
-    kids, kat, kn = ids[known], at[known], n[known]
+    kids, kat, kn = ids[known], at[known], n[known] & _NUMBER
     o = np.lexsort((kat, kids))
     kids, kat, kn = kids[o], kat[o], kn[o]
     if len(kids):
@@ -238,34 +244,70 @@ def spans_by_id(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.collect_list(F.struct("kind", "at", "n", "ah")).alias("spans"))
 
 
-def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
-    """Records of the single windows of those runs (id, text, spans) that are to be taken apart."""
+def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
+    """Records of the cells of those runs (id, text, spans) that share their minimizer with another."""
+    length = depth.length
+    width = -(-(length - depth.k + 1) // _CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 kind, at, n, ah, row = span_arrays(batch)
+                pick = np.flatnonzero(kind == 3)
+                if not len(pick):
+                    continue
+                x, offs = symbols(batch)
+                ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+                pick = pick[np.argsort(row[pick], kind="stable")]
+                rows, first = np.unique(row[pick], return_index=True)
+                out = []
+                for r, part in zip(rows, np.split(pick, first[1:]), strict=True):
+                    s, down = prefix_sums(x[offs[r] : offs[r + 1]])
+                    last = n[part] >> 32
+                    least, anchor = last - (n[part] & _NUMBER) + 1, at[part] + last
+                    of, place = grouped(last // width - least // width + 1)
+                    cell = least[of] // width + place
+                    far, near = np.minimum(last[of], cell * width + width - 1), np.maximum(least[of], cell * width)
+                    begin, m = anchor[of] - far, far - near + 1
+                    core = anchor[of] - cell * width
+                    digit = mix((s[core + length - width + 1] - s[core]) * down[core])
+                    content = mix((s[begin + m + length - 1] - s[begin]) * down[begin])
+                    new_ah = mix(ah[part][of].view(U64) ^ mix(digit ^ cell.astype(U64)))
+                    out.append((np.full(len(of), ids[r]), begin, m, new_ah, mix(content ^ (far << 32 | m).astype(U64))))
+                yield grouped_here(*(np.concatenate(v) for v in zip(*out, strict=True)), depth.later)
+
+    return joined.mapInArrow(run, _RUN_SCHEMA)
+
+
+def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "spans") -> DataFrame:
+    """Records of the single windows of those cells (id, text, spans) that share their core with another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                kind, at, n, ah, row = span_arrays(batch, spans)
                 pick = kind == 3
                 if not pick.any():
                     continue
                 x, offs = symbols(batch)
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-                at, n, ah, row = at[pick], n[pick], ah[pick], row[pick]
+                at, n, ah, row = at[pick], n[pick] & _NUMBER, ah[pick], row[pick]
                 wh = np.concatenate([windows_of(x, int(offs[r] + a), int(m), depth.length) for a, m, r in zip(at, n, row, strict=True)])
                 run_of, place = grouped(n)
-                yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), ah[run_of].view(U64), wh, depth.later)
+                yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
     return joined.mapInArrow(run, _RUN_SCHEMA)
 
 
 def span_arrays(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, ...]:
-    """kind, at, n, ah and row of all elements of a column of spans."""
+    """kind, at, n, ah and row of all elements of a column of spans; ``n`` is a plain number where the kind is 1."""
     column = batch.column(batch.schema.get_field_index(name))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
     flat = column.flatten()
-    return (*(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)), np.repeat(np.arange(len(column)), sizes))
+    kind, at, n, ah = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    return kind, at, np.where(kind == 1, n & _NUMBER, n), ah, np.repeat(np.arange(len(column)), sizes)
 
 
 def covered(offs: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:

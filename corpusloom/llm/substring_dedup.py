@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, grouped, signed, slices, texts, words
-from ._spark import load, shuffle_partitions
+from ._bytes import U64, grouped, mix, signed, slices, texts, words
+from ._spark import load, ship, shuffle_partitions
 from ._windows import Depth, covered, grouped_here, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, windows_of
 
 WINDOW = 35
@@ -107,7 +107,7 @@ def _passages(joined: DataFrame, depth: Depth) -> DataFrame:
                     continue
                 x, offs = _symbols(batch)
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-                at, n, ah, row = at[pick], n[pick], ah[pick], row[pick]
+                at, n, ah, row = at[pick], n[pick] & ((1 << 32) - 1), ah[pick], row[pick]
                 begin = offs[row] + at
                 cut = [x[b : b + m + depth.length - 1].tobytes() for b, m in zip(begin, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([signed(ah), signed(ids[row]), signed(at), signed(n), pa.array(cut, pa.binary())], ["ah", "id", "at", "n", "words"])
@@ -152,7 +152,7 @@ def _match(passages: DataFrame, depth: Depth, most: int) -> DataFrame:
                 wh = np.concatenate([windows_of(np.frombuffer(r[4], np.uint64), 0, r[3], depth.length) for r in large])
                 ah, ids, at = (np.array([r[i] for r in large]) for i in (0, 1, 2))
                 large.clear()
-                yield grouped_here(ids[run_of], at[run_of] + place, np.ones(len(run_of), np.int64), ah[run_of].view(U64), wh, depth.later)
+                yield grouped_here(ids[run_of], at[run_of] + place, np.ones(len(run_of), np.int64), mix(wh), ah[run_of].view(U64), depth.later)
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
@@ -193,6 +193,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     all theirs.  Of rows that repeat a key the one with the least text counts; a row with a null key comes back with
     all its words and is compared with nothing.  Columns other than the key are not returned.
     """
+    ship(docs.sparkSession)
     depth = Depth(window, min(8, max(1, window // 3)), later=False)
     base = one_text_an_id(docs, key, text)
     joined = base.join(spans_by_id(resolve(map_runs(base, _symbols, depth), later=False, apart=True)), "id", "left")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_VALUES, slices, texts
-from ._spark import load
-from ._windows import Depth, covered, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, take_apart
+from ._spark import load, ship
+from ._windows import Depth, cells, covered, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, take_apart
 
 THRESHOLD = 100
 
@@ -34,17 +34,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     texts stay as they are.  Of rows that repeat a key the one with the least text counts, rows with a null key
     come back unchanged and are compared with nothing.  Columns other than the key are not returned.
     """
+    ship(docs.sparkSession)
     depth = Depth(threshold, min(32, max(1, threshold // 3)), later=True)
     base = one_text_an_id(docs, key, text)
     found = spans_by_id(resolve(map_runs(base, _symbols, depth), later=True, apart=True))
     joined = base.join(found, "id", "left")
-    single = spans_by_id(resolve(take_apart(joined, _symbols, depth), later=True, apart=False)).withColumnRenamed("spans", "singles")
+    finer = spans_by_id(resolve(cells(joined, _symbols, depth), later=True, apart=True)).withColumnRenamed("spans", "finer")
+    single = take_apart(base.join(finer, "id"), _symbols, depth, "finer")
+    single = spans_by_id(resolve(single, later=True, apart=False)).withColumnRenamed("spans", "singles")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, offs = texts(batch.column(batch.schema.get_field_index("text")))
-                found = [span_arrays(batch, c) for c in ("spans", "singles")]
+                found = [span_arrays(batch, c) for c in ("spans", "finer", "singles")]
                 kind, at, n, _, row = (np.concatenate(v) for v in zip(*found, strict=True))
                 pick = kind == 1
                 gone = covered(offs, row[pick], at[pick], n[pick], threshold)
@@ -60,7 +63,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                     ["id", "kept", "n_bytes", "n_removed", "n_spans"],
                 )
 
-    out = joined.join(single, "id", "left").mapInArrow(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    out = joined.join(finer, "id", "left").join(single, "id", "left").mapInArrow(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
     nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
     nameless = nameless.select("id", "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return out.unionByName(nameless).withColumnRenamed("id", key)
