@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, grams, grouped, mix, signed, slices, texts, words
 from ._components import components
-from ._spark import cut, load
+from ._spark import cut, load, ship
 
 #: 28 bands of 5 minima: of pairs at similarity 0.8, two in 100,000 share no band.
 BANDS, ROWS = 28, 5
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     none of the bands aren't found: 2 in 100,000 of those right at similarity 0.8, fewer above.
     Rows that repeat a key are one vertex with the links of all its texts; a null key is linked with nothing (component null, kept).
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed_rows = cut(signatures(rows, size))
     some = signed_rows.where("id IS NOT NULL AND n > 0")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load
+from ._spark import load, ship
 
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -92,6 +92,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     model's probability of ``block``; it decides from 0.5 on where no rule fits.  Very long urls are
     scored whole, ties between rules go to the one given first, repeated rows are judged alike.
     """
+    ship(pages.sparkSession)
     model = fit([(*split_url(u), y) for u, y in labelled])
 
     @F.pandas_udf("double")
