@@ -1,12 +1,72 @@
-"""From raw documents to a weighted training mix, stage by stage."""
+"""From raw documents to a weighted training mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, language_id, minhash, mixing, suffix_dedup
+from corpusloom.llm._spark import load
+
+#: A document needs this posterior for its language; a text without letters has none.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; of the others ``lang`` is what was recognised."""
+    model = language_id.fit(docs.where(F.coalesce(~language_id.held_out("doc_id", 3, 1), F.lit(True))))
+    seen = language_id.identify(docs, model, into="lang_pred", score="lang_score")
+    kept = seen.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the least id (five-word shingles, similarity 0.8)."""
+    found = minhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occurred before are cut out; a character that loses some of its bytes goes; a document of which nothing is left goes."""
+    cut = suffix_dedup.deduplicated(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"))
+    joined = docs.join(cut.where("__gone > 0"), docs["doc_id"] == F.col("__id"), "left")
+    # bytes that are left of a cut character become replacement characters, which go
+    repaired = F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    joined = joined.withColumn("__text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(repaired))
+    kept = joined.where(F.col("__gone").isNull() | (F.trim("__text") != ""))
+    out = kept.withColumn("text", F.col("__text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark passages go."""
+    return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its rate; those at rate zero are not part of the mix."""
+    return mixing.mix(docs, mixing.labelled_documents(spark, sf_dir, docs)).where("rate > 0")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash", drop_near_duplicates),
+    ("suffix_dedup", cut_repeated_strings),
+    ("decontaminate", decontaminated),
+    ("mixing", mixed),
+]
+
+#: SQL can express neither the language model nor the mixture.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

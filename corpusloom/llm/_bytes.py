@@ -20,6 +20,10 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Anything but ASCII letters, digits and what is beyond ASCII.
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 

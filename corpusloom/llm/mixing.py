@@ -14,25 +14,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, WHITESPACE, slices, texts, words
+from ._bytes import LOWER, NOT_WORD, WHITESPACE, slices, texts, word_spans, words
 from ._spark import cut, load, ship
 
-#: Bounds of the classifier: labelled documents of each domain, characters of a document to be learned from (longer ones aren't).
+#: Bounds of the classifier: labelled documents of each domain, characters of a document to be learned from (longer ones aren't),
+#: known words and the documents that a word must be in to be known.
 DOCS_A_DOMAIN = 800
 DOC_CHARS = 10_000
-WORD_SLOTS = 1 << 13
+KNOWN_WORDS = 20_000
+LEAST_DOCS = 3
 STEPS, CLOSE = 25, 1e-7
 #: Shares of all tokens.
 TARGETS = {"good": 0.78, "plain": 0.17, "toxic": 0.05}
 
 
 def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte shares (texts x 256), the slot of every word, and each text's first word."""
+    """Byte shares (texts x 256), the hash of every word, and each text's first word."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
     counts = np.bincount(owner * 256 + LOWER[data], minlength=n * 256).reshape(n, 256)
-    h, _, _, first = words(data, at, WHITESPACE, lower=True)
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)), (h >> np.uint64(50)).astype(np.int64) % WORD_SLOTS, first
+    h, _, _, first = words(data, at, NOT_WORD, lower=True)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)), h, first
+
+
+def _slots(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each word among the known ones; one more for all others."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    distinct, back = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+    return np.where(known[at] == distinct, at, len(known))[back]
 
 
 def _word_scores(table: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -45,33 +56,45 @@ def _word_scores(table: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.n
     return out / np.sqrt(np.maximum(n, 1))[:, None]
 
 
-def fit_texts(some: Sequence[str], domains: Sequence[str], names: Sequence[str], rounds: int = 150) -> dict:
-    """Multinomial logistic regression on byte shares and hashed words; a domain without examples has its prior only."""
+def fit_texts(some: Sequence[str], domains: Sequence[str], names: Sequence[str], sizes: Mapping[str, int] | None = None, rounds: int = 200) -> dict:
+    """Multinomial logistic regression on byte shares and known words; a domain without examples has its prior only.
+
+    ``sizes`` tells how many labelled documents each domain has in all, where the examples are shares of them.
+    """
     data, at = texts(pa.array(list(some), pa.large_string()))
     y = np.array([names.index(d) for d in domains], np.int64)
     k = len(names)
-    dense, slot, first = _features(data, at)
-    hot = np.eye(k)[y] if len(y) else np.zeros((0, k))
-    b = np.log((hot.sum(axis=0) + 1) / (len(y) + k))
-    wd, ww = np.zeros((256, k)), np.zeros((WORD_SLOTS, k))
+    dense, h, first = _features(data, at)
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
+    distinct, back = np.unique(h, return_inverse=True)
+    docs = np.bincount(np.unique(back * max(1, len(n)) + owner) // max(1, len(n)), minlength=len(distinct))
+    common = np.flatnonzero(docs >= LEAST_DOCS)
+    known = np.sort(distinct[common[np.argsort(-docs[common], kind="stable")][:KNOWN_WORDS]])
+    slot = _slots(known, h)
+    hot = np.eye(k)[y] if len(y) else np.zeros((0, k))
+    sampled = hot.sum(axis=0)
+    whole = np.array([(sizes or {}).get(d, s) for d, s in zip(names, sampled, strict=True)], float)
+    weight = (whole / np.maximum(sampled, 1))[y] if len(y) else np.zeros(0)
+    weight = weight / max(weight.sum(), 1e-300)
+    b = np.log((whole + 1) / (whole.sum() + k))
+    wd, ww = np.zeros((256, k)), np.zeros((len(known) + 1, k))
     scale = 1 / np.sqrt(np.maximum(n, 1))
     speed_d, speed_w = np.full_like(wd, 1e-8), np.full_like(ww, 1e-8)
-    weight = (1 / np.maximum(hot.sum(axis=0), 1))[y] * (len(y) / k) if len(y) else np.zeros(0)
     for _ in range(rounds if len(y) else 0):
         z = dense @ wd + _word_scores(ww, slot, first) + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        e = (p - hot) * (weight / len(y))[:, None]
+        e = (p - hot) * weight[:, None]
         gd = dense.T @ e + 1e-5 * wd
         each = (e * scale[:, None])[owner]
-        gw = np.stack([np.bincount(slot, each[:, j], WORD_SLOTS) for j in range(k)], axis=1) + 1e-5 * ww
+        gw = np.stack([np.bincount(slot, each[:, j], len(known) + 1) for j in range(k)], axis=1) + 3e-5 * ww
+        gw[-1] = 0  # unknown words tell nothing
         speed_d += gd * gd
         speed_w += gw * gw
         wd -= 0.3 * gd / np.sqrt(speed_d)
-        ww -= 0.1 * gw / np.sqrt(speed_w)
-    return {"names": list(names), "dense": wd, "words": ww.astype(np.float32), "bias": b}
+        ww -= 0.3 * gw / np.sqrt(speed_w)
+    return {"names": list(names), "dense": wd, "known": known, "words": ww.astype(np.float32), "bias": b}
 
 
 def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> dict:
@@ -85,13 +108,13 @@ def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: st
         chosen = chosen | ((F.col("d") == d) & (place < int(1_000_000 * min(1.0, 0.95 * DOCS_A_DOMAIN / n)) + 1))
     found = rows.where(chosen).limit(len(names) * DOCS_A_DOMAIN).collect()  # the limit is beyond what the shares give, but for chance
     found.sort(key=lambda r: (r["k"], r["t"]))
-    return fit_texts([r["t"] for r in found], [r["d"] for r in found], names)
+    return fit_texts([r["t"] for r in found], [r["d"] for r in found], names, sizes)
 
 
 def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``__mix``: struct(tokens, p): the number of words and the posterior of each domain."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # WORD_SLOTS bounds it
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # KNOWN_WORDS bounds it
     import pandas as pd
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -100,11 +123,12 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             record = pa.record_batch([pa.array(batch, pa.large_string(), from_pandas=True)], ["text"])
             tokens, found = [], []
             for part in slices(record, "text", 2 << 20):
-                dense, slot, first = _features(*texts(part.column(0)))
-                z = dense @ m["dense"] + _word_scores(m["words"], slot, first) + m["bias"]
+                data, at = texts(part.column(0))
+                dense, h, first = _features(data, at)
+                z = dense @ m["dense"] + _word_scores(m["words"], _slots(m["known"], h), first) + m["bias"]
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 found += list(p / p.sum(axis=1, keepdims=True))
-                tokens += np.diff(first).tolist()
+                tokens += np.diff(word_spans(data, at, WHITESPACE)[2]).tolist()
             yield pd.DataFrame({"tokens": pd.Series(tokens, dtype="int64"), "p": pd.Series(found, dtype=object)})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, U64, grouped, slices, texts, words
+from ._bytes import LOWER, NOT_WORD, U64, grouped, slices, texts, words
 from ._spark import load, ship
 
 WINDOW, STRIDE = 32, 16
@@ -26,8 +26,6 @@ TEXT_CHARS = 20_000
 KNOWN_WORDS = 20_000
 EPOCHS, AFTER = 6, 4
 _BATCH = 2048
-NOT_WORD = np.ones(256, bool)
-NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 class Words:
