@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
+import typing
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
+from ._bytes import tidy
 
-__all__ = ["cut", "load", "shared_folder", "ship", "shuffle_partitions"]
+__all__ = ["column_udf", "cut", "load", "ship", "shuffle_partitions"]
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a place: the cluster's spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
-
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder; their lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def column_udf(kind: str, run: Callable[[Iterator], Iterator]) -> Callable[..., Column]:
+    """A pandas function over batches of columns, run once for a row.
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    It counts as nondeterministic so that a filter on its result is not pushed below it, which would run it twice.
+    """
+    hints = typing.get_type_hints(run, globals() | {"Iterator": Iterator, "pd": pd})
+    wrapped = tidy(run)
+    wrapped.__annotations__ = hints
+    return F.pandas_udf(kind)(wrapped).asNondeterministic()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, grams, grouped, mix, prefix_sums, signed, slices
+from ._bytes import U64, grams, grouped, mix, prefix_sums, signed, slices, tidy
 from ._spark import shuffle_partitions
 
 #: Kinds of records: to be resolved; known to be repeated; both.
@@ -161,7 +161,7 @@ def map_runs(docs: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
                 yield grouped_here(ids[r["doc"]], r["at"], r["n"], r["ah"], r["ch"], depth.later)
 
-    return docs.mapInArrow(run, _RUN_SCHEMA)
+    return docs.mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
@@ -223,7 +223,7 @@ def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
             joined = [np.concatenate(v) for v in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in joined], ["id", "at", "n", "kind", "ah"])
 
-    return dealt.mapInArrow(run, "id long, at long, n long, kind long, ah long")
+    return dealt.mapInArrow(tidy(run), "id long, at long, n long, kind long, ah long")
 
 
 def windows_of(x: np.ndarray, at: int, n: int, length: int) -> np.ndarray:
@@ -276,7 +276,7 @@ def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                     out.append((np.full(len(of), ids[r]), begin, m, new_ah, mix(content ^ (far << 32 | m).astype(U64))))
                 yield grouped_here(*(np.concatenate(v) for v in zip(*out, strict=True)), depth.later)
 
-    return joined.mapInArrow(run, _RUN_SCHEMA)
+    return joined.mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "spans") -> DataFrame:
@@ -296,7 +296,7 @@ def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "
                 run_of, place = grouped(n)
                 yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
-    return joined.mapInArrow(run, _RUN_SCHEMA)
+    return joined.mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def span_arrays(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, ...]:

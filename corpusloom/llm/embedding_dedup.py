@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import grouped, mix, signed
+from ._bytes import grouped, mix, signed, tidy
 from ._components import components
 from ._spark import cut, load, ship
 
@@ -98,7 +98,7 @@ def index(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
                     [signed(near[r, place]), signed(ids[r]), pa.array([unit[i] for i in r], pa.binary()), pa.array([codes[i] for i in r], pa.binary())], ["pivot", "id", "unit", "near"]
                 )
 
-    return rows.mapInArrow(run, "pivot long, id long, unit binary, near binary")
+    return rows.mapInArrow(tidy(run), "pivot long, id long, unit binary, near binary")
 
 
 def _compare(table: pa.Table, width: int, threshold: float) -> pa.Table:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, ship
+from ._spark import column_udf, load, ship
 
 UNKNOWN = "und"
 #: Bounds of the model: labelled documents a language, words and n-grams a language.
@@ -135,7 +135,6 @@ def identify(docs: DataFrame, model: dict, text: str = "text", into: str = "lang
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS_A_LANGUAGE and GRAMS_A_LANGUAGE
 
-    @F.pandas_udf("lang string, score double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for batch in batches:
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", into: str = "lang
 
     kept = [c for c in docs.columns if c not in (into, score)]
     out = "__language"
-    return docs.withColumn(out, scores(F.col(text))).select(*kept, F.col(f"{out}.lang").alias(into), F.col(f"{out}.score").alias(score))
+    return docs.withColumn(out, column_udf("lang string, score double", scores)(F.col(text))).select(*kept, F.col(f"{out}.lang").alias(into), F.col(f"{out}.score").alias(score))
 
 
 def held_out(key: str, parts: int, part: int) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, grams, grouped, mix, signed, slices, texts, words
+from ._bytes import U64, grams, grouped, mix, signed, slices, texts, tidy, words
 from ._components import components
 from ._spark import cut, load, ship
 
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 ids = batch.column(batch.schema.get_field_index("id"))
                 yield pa.RecordBatch.from_arrays([ids, signed(n), signed(k1), signed(k2), bands], ["id", "n", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, k1 long, k2 long, bands array<long>")
 
 
 #: Shingles of one block of a candidate group; larger groups are compared block by block.
@@ -184,7 +184,7 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, percent: int, block:
         found = _links(rows["id"], [np.frombuffer(s, np.uint64) for s in rows["set"]], rows["right"], percent)
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    sets = docs.join(dealt, docs["id"] == dealt["__id"]).drop("__id").mapInArrow(deal, "group long, lo long, hi long, right boolean, id long, set binary")
+    sets = docs.join(dealt, docs["id"] == dealt["__id"]).drop("__id").mapInArrow(tidy(deal), "group long, lo long, hi long, right boolean, id long, set binary")
     return sets.groupBy("group", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, WHITESPACE, slices, texts, word_spans, words
-from ._spark import cut, load, ship
+from ._spark import column_udf, cut, load, ship
 
 #: Bounds of the classifier: labelled documents of each domain, characters of a document to be learned from (longer ones aren't),
 #: known words and the documents that a word must be in to be known.
@@ -115,9 +116,8 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``__mix``: struct(tokens, p): the number of words and the posterior of each domain."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # KNOWN_WORDS bounds it
-    import pandas as pd
 
-    def run(batches):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for batch in batches:
             record = pa.record_batch([pa.array(batch, pa.large_string(), from_pandas=True)], ["text"])
@@ -131,8 +131,7 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 tokens += np.diff(word_spans(data, at, WHITESPACE)[2]).tolist()
             yield pd.DataFrame({"tokens": pd.Series(tokens, dtype="int64"), "p": pd.Series(found, dtype=object)})
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn("__mix", F.pandas_udf("tokens long, p array<double>")(run)(F.col(text)))
+    return docs.withColumn("__mix", column_udf("tokens long, p array<double>", run)(F.col(text)))
 
 
 def _rate(step: np.ndarray, p: str = "p") -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, grouped, mix, signed, slices, texts, words
+from ._bytes import U64, grouped, mix, signed, slices, texts, tidy, words
 from ._spark import load, ship, shuffle_partitions
 from ._windows import Depth, covered, grouped_here, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, windows_of
 
@@ -112,7 +112,7 @@ def _passages(joined: DataFrame, depth: Depth) -> DataFrame:
                 cut = [x[b : b + m + depth.length - 1].tobytes() for b, m in zip(begin, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([signed(ah), signed(ids[row]), signed(at), signed(n), pa.array(cut, pa.binary())], ["ah", "id", "at", "n", "words"])
 
-    return joined.mapInArrow(run, "ah long, id long, at long, n long, words binary")
+    return joined.mapInArrow(tidy(run), "ah long, id long, at long, n long, words binary")
 
 
 def _match(passages: DataFrame, depth: Depth, most: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _match(passages: DataFrame, depth: Depth, most: int) -> DataFrame:
         close()
         yield from told()
 
-    return dealt.mapInArrow(run, "ah long, ch long, id long, at long, n long, kind long")
+    return dealt.mapInArrow(tidy(run), "ah long, ch long, id long, at long, n long, kind long")
 
 
 def _known(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -220,7 +220,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                     [batch.column(batch.schema.get_field_index("id")), pa.array(kept, pa.binary()), pa.array(n_words), pa.array(n_words - np.diff(kept_before))], ["id", "kept", "n_words", "n_removed"]
                 )
 
-    out = joined.join(single, "id", "left").mapInArrow(cut, "id long, kept binary, n_words long, n_removed long")
+    out = joined.join(single, "id", "left").mapInArrow(tidy(cut), "id long, kept binary, n_words long, n_removed long")
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     nameless = docs.where(F.col(key).isNull()).select(
         F.lit(None).cast("long").alias("id"), F.array_join(found, " ").cast("binary").alias("kept"), F.size(found).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")

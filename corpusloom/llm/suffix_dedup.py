@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_VALUES, slices, texts
+from ._bytes import BYTE_VALUES, slices, texts, tidy
 from ._spark import load, ship
 from ._windows import Depth, cells, covered, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, take_apart
 
@@ -63,7 +63,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                     ["id", "kept", "n_bytes", "n_removed", "n_spans"],
                 )
 
-    out = joined.join(finer, "id", "left").join(single, "id", "left").mapInArrow(cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    out = joined.join(finer, "id", "left").join(single, "id", "left").mapInArrow(tidy(cut), "id long, kept binary, n_bytes long, n_removed long, n_spans long")
     nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
     nameless = nameless.select("id", "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return out.unionByName(nameless).withColumnRenamed("id", key)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, ship
+from ._spark import column_udf, load, ship
 
 MARK = "▁"
 MEMO_WORDS = 400_000
@@ -124,13 +124,12 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n
     ship(docs.sparkSession)
     with open(model, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
-    @F.pandas_udf("long")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = WholeTokens(proto.value)
         for batch in batches:
             yield pd.Series([counter.count(t) for t in batch], dtype="int64")
 
-    return docs.withColumn(into, counts(F.col(text)))
+    return docs.withColumn(into, column_udf("long", counts)(F.col(text)))
 
 
 def default_model() -> str:

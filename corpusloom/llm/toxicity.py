@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, U64, grouped, slices, texts, words
-from ._spark import load, ship
+from ._spark import column_udf, load, ship
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -301,17 +302,15 @@ def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score")
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KNOWN_WORDS and CHAR_SLOTS
-    import pandas as pd
 
-    def scores(batches):  # noqa: ANN001, ANN202
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             column = pa.array(batch, pa.large_string(), from_pandas=True)
             record = pa.record_batch([column], ["text"])
             parts = [text_scores(sent.value, *texts(part.column(0))) for part in slices(record, "text", 1 << 20)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(into, F.pandas_udf("double")(scores)(F.col(text)))
+    return docs.withColumn(into, column_udf("double", scores)(F.col(text)))
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:

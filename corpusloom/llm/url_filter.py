@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, ship
+from ._spark import column_udf, load, ship
 
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -95,7 +95,6 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     ship(pages.sparkSession)
     model = fit([(*split_url(u), y) for u, y in labelled])
 
-    @F.pandas_udf("double")
     def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         w, b = model
         for hosts, paths in batches:
@@ -107,7 +106,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     made = ("host", "path", "rule", "score", "verdict")
     base = pages.withColumn("__url", F.col(url))
     base = base.select(*(c for c in base.columns if c not in made), host_of("__url").alias("host"), path_of("__url").alias("path"))
-    base = base.withColumn("__rule", match_rule("host", "path", rules)).withColumn("score", scores("host", "path"))
+    base = base.withColumn("__rule", match_rule("host", "path", rules)).withColumn("score", column_udf("double", scores)("host", "path"))
     return (
         base.withColumn("rule", F.col("__rule.rule"))
         .withColumn("verdict", F.coalesce("__rule.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
