@@ -80,8 +80,7 @@ def read_names(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
     rows = spark.read.text(path).select(line.alias("line")).where("line <> ''")
     for h in LIST_HEADERS:
         rows = rows.where(~F.startswith("line", F.lit(h)))
-    name = F.when(F.contains("line", F.lit(". ")), F.substring_index(F.replace("line", F.lit(". "), F.lit("\x01")), "\x01", 2)).otherwise(F.col("line"))
-    name = strip(F.element_at(F.split(name, "\x01"), -1))
+    name = F.when(F.contains("line", F.lit(". ")), strip(F.regexp_extract("line", r"(?s)^.*?\. (.*)$", 1))).otherwise(F.col("line"))
     return rows.select(name.alias("name")).where(F.length("name") >= least).distinct()
 
 
