@@ -101,7 +101,7 @@ def fit_texts(some: Sequence[str], domains: Sequence[str], names: Sequence[str],
 def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> dict:
     """The classifier from labelled rows; nulls are left out, of each domain a share chosen by a hash of the key is used."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(domain).isin(*names) & (F.length(text) <= DOC_CHARS))
-    rows = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(domain).alias("d"))
+    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(domain).alias("d"))
     sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
     chosen = F.lit(False)

@@ -283,7 +283,7 @@ def fit_texts(some: list[str], labels: list[int], seed: int = 3) -> dict:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """A model from labelled rows; null texts and labels are left out, of each class a share chosen by a hash of the key is used."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) <= TEXT_CHARS))
-    rows = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
+    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
     chosen = F.lit(False)
