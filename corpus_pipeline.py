@@ -32,13 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occurred before are cut out; a character that loses some of its bytes goes; a document of which nothing is left goes."""
-    cut = suffix_dedup.deduplicated(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_removed").alias("__gone"))
-    joined = docs.join(cut.where("__gone > 0"), docs["doc_id"] == F.col("__id"), "left")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffix_dedup.deduplicated(docs, keep=others)
     # bytes that are left of a cut character become replacement characters, which go
-    repaired = F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    joined = joined.withColumn("__text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(repaired))
-    kept = joined.where(F.col("__gone").isNull() | (F.trim("__text") != ""))
-    out = kept.withColumn("text", F.col("__text"))
+    whole = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit(""))).otherwise(whole)
+    out = cut.withColumn("text", text).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

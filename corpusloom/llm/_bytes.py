@@ -42,6 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` that gives its memory back at the end of a task; a Python worker outlives many of them."""
 
@@ -49,9 +56,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            with contextlib.suppress(OSError, AttributeError):
-                pa.default_memory_pool().release_unused()
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return wrapped
 

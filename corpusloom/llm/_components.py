@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ._spark import cut
 
 
+#: Up to so many edges, the rounds run in one partition and need no shuffle; a task can always hold as many.
+ONE_PARTITION = 50_000
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -39,9 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     A node that has only loops is not returned, an empty table gives an empty one.
     """
     now = cut(_ordered(edges))
-    before = None
-    while (state := _state(now)) != before:
-        before = state
-        now = cut(_small_star(_large_star(now)))
+    state, before = _state(now), None
+    small = state[0] <= ONE_PARTITION
+    while state != before:
+        now = now.coalesce(1) if small else now
+        before, now = state, cut(_small_star(_large_star(now)))
+        state = _state(now)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -17,7 +17,7 @@ sends one record from each task.  Digits are 64-bit hashes and a group is told b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,7 +161,7 @@ def map_runs(docs: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
                 yield grouped_here(ids[r["doc"]], r["at"], r["n"], r["ah"], r["ch"], depth.later)
 
-    return docs.mapInArrow(tidy(run), _RUN_SCHEMA)
+    return docs.select("id", "text").mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
@@ -233,10 +233,12 @@ def windows_of(x: np.ndarray, at: int, n: int, length: int) -> np.ndarray:
     return mix(((s[i + length] - s[i]) * down[i]) ^ U64(length))
 
 
-def one_text_an_id(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) with each id once (of repeated ids the least text), dealt by id; null ids are left out."""
-    some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return some.groupBy("id").agg(F.min("text").alias("text"))
+def one_text_an_id(docs: DataFrame, key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, text, keep...) with each id once (of repeated ids the least row by text), dealt by id; null ids are left out."""
+    some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    if not keep:
+        return some.groupBy("id").agg(F.min("text").alias("text"))
+    return some.groupBy("id").agg(F.min(F.struct("text", *(f"keep_{c}" for c in keep))).alias("r")).select("id", "r.*")
 
 
 def spans_by_id(found: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                     out.append((np.full(len(of), ids[r]), begin, m, new_ah, mix(content ^ (far << 32 | m).astype(U64))))
                 yield grouped_here(*(np.concatenate(v) for v in zip(*out, strict=True)), depth.later)
 
-    return joined.mapInArrow(tidy(run), _RUN_SCHEMA)
+    return joined.select("id", "text", "spans").mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "spans") -> DataFrame:
@@ -296,7 +298,7 @@ def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "
                 run_of, place = grouped(n)
                 yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
-    return joined.mapInArrow(tidy(run), _RUN_SCHEMA)
+    return joined.select("id", "text", spans).mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def span_arrays(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, ...]:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import column_udf, load, ship
@@ -28,10 +28,10 @@ WORD = re.compile(r"[^\W\d_]+")
 _JAVA_WORD = r"\p{L}+"
 
 
-def _top(counted: DataFrame, most: int) -> list:
+def _top(counted: DataFrame, most: int) -> list[dict]:
     """The commonest items of each language, at most ``most``; ties by item."""
-    langs = [r[0] for r in counted.select("lang").distinct().collect()]  # a few: one for each language
-    return [r for lang in sorted(langs) for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "item").limit(most).collect()]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").toArrow().to_pylist()
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_a_language: int = DOCS_A_LANGUAGE) -> dict:

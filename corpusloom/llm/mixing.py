@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, NOT_WORD, WHITESPACE, slices, texts, word_spans, words
+from ._bytes import LOWER, NOT_WORD, WHITESPACE, release, slices, texts, word_spans, words
 from ._spark import column_udf, cut, load, ship
 
 #: Bounds of the classifier: labelled documents of each domain, characters of a document to be learned from (longer ones aren't),
@@ -109,7 +109,10 @@ def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: st
         chosen = chosen | ((F.col("d") == d) & (place < int(1_000_000 * min(1.0, 0.95 * DOCS_A_DOMAIN / n)) + 1))
     found = rows.where(chosen).limit(len(names) * DOCS_A_DOMAIN).collect()  # the limit is beyond what the shares give, but for chance
     found.sort(key=lambda r: (r["k"], r["t"]))
-    return fit_texts([r["t"] for r in found], [r["d"] for r in found], names, sizes)
+    model = fit_texts([r["t"] for r in found], [r["d"] for r in found], names, sizes)
+    del found
+    release()
+    return model
 
 
 def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

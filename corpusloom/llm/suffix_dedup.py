@@ -7,12 +7,13 @@ The suffixes of all texts are ordered through the threshold only, in most-signif
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import BYTE_VALUES, slices, texts, tidy
 from ._spark import load, ship
@@ -26,17 +27,17 @@ def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUES[data], at
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: key, kept (binary), n_bytes, n_removed, n_spans.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: key, kept (binary), n_bytes, n_removed, n_spans, and the columns in ``keep``.
 
     Of a string of ``threshold`` bytes that occurs again, every occurrence but the first (by key, then by
     place) is removed, all its bytes.  Texts are taken whole as UTF-8; a null is empty; shorter
     texts stay as they are.  Of rows that repeat a key the one with the least text counts, rows with a null key
-    come back unchanged and are compared with nothing.  Columns other than the key are not returned.
+    come back unchanged and are compared with nothing.
     """
     ship(docs.sparkSession)
     depth = Depth(threshold, min(32, max(1, threshold // 3)), later=True)
-    base = one_text_an_id(docs, key, text)
+    base = one_text_an_id(docs, key, text, keep)
     found = spans_by_id(resolve(map_runs(base, _symbols, depth), later=True, apart=True))
     joined = base.join(found, "id", "left")
     finer = spans_by_id(resolve(cells(joined, _symbols, depth), later=True, apart=True)).withColumnRenamed("spans", "finer")
@@ -59,14 +60,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                     spans.append(int((g[1:] & ~g[:-1]).sum() + g[:1].sum()))
                 size = np.diff(offs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("id")), pa.array(kept, pa.binary()), pa.array(size), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-                    ["id", "kept", "n_bytes", "n_removed", "n_spans"],
+                    [*(batch.column(batch.schema.get_field_index(c)) for c in passed), pa.array(kept, pa.binary()), pa.array(size), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+                    [*passed, "kept", "n_bytes", "n_removed", "n_spans"],
                 )
 
-    out = joined.join(finer, "id", "left").join(single, "id", "left").mapInArrow(tidy(cut), "id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
-    nameless = nameless.select("id", "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return out.unionByName(nameless).withColumnRenamed("id", key)
+    passed = ["id", *(f"keep_{c}" for c in keep)]
+    schema = T.StructType([f for f in base.schema if f.name in passed] + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")])
+    out = joined.join(finer, "id", "left").join(single, "id", "left").select(*passed, "text", "spans", "finer", "singles").mapInArrow(tidy(cut), schema)
+    nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
+    nameless = nameless.select(*passed, "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    out = out.unionByName(nameless)
+    return out.select(F.col("id").alias(key), "kept", "n_bytes", "n_removed", "n_spans", *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, NOT_WORD, U64, grouped, slices, texts, words
+from ._bytes import LOWER, NOT_WORD, U64, grouped, release, slices, texts, words
 from ._spark import column_udf, load, ship
 
 WINDOW, STRIDE = 32, 16
@@ -291,7 +291,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         chosen = chosen | ((F.col("y") == y) & (place < int(1_000_000 * min(1.0, 0.95 * TEXTS_A_CLASS / n)) + 1))
     found = rows.where(chosen).limit(2 * TEXTS_A_CLASS).collect()  # the limit is beyond what the shares give, but for chance
     found.sort(key=lambda r: (r["k"], r["t"]))
-    return fit_texts([r["t"] for r in found], [r["y"] for r in found])
+    model = fit_texts([r["t"] for r in found], [r["y"] for r in found])
+    del found
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score") -> DataFrame:
