@@ -17,15 +17,20 @@ def place(*columns: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("_", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))))
 
 
-def negative_samples(vertices: DataFrame, edges: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """``count`` pairs (src < dst) that are no edges, the first by ``place``.
+def negative_samples(vertices: DataFrame, edges: DataFrame, count: int, seed: int = 42, bucket: int = 8) -> DataFrame:
+    """About ``count`` pairs (src < dst) that are no edges, the first by ``place`` of those drawn.
 
-    The pairs of all vertices are what is sampled from, so this is for graphs of thousands of vertices; for
-    larger ones give the vertices worth pairing.
+    Rather than from all pairs, pairs are drawn from vertices that meet in small random buckets, in as many rounds as give three
+    times the pairs wanted: an equi-join whose size follows ``count``.  A dense graph may have fewer.
     """
-    a, b = vertices.select(F.col("id").alias("src")), vertices.select(F.col("id").alias("dst"))
-    pairs = a.join(b, F.col("src") < F.col("dst")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return pairs.withColumn("place", place("src", "dst", seed=seed)).orderBy("place").limit(count).drop("place")
+    n = vertices.count()
+    buckets, rounds = max(1, n // bucket), max(2, -(-6 * count // max(1, n * (bucket - 1))))
+    drawn = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    number = F.conv(F.left(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.col("round").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("long")
+    drawn = drawn.withColumn("bucket", F.pmod(number, F.lit(buckets)))
+    pairs = drawn.withColumnRenamed("id", "src").join(drawn.withColumnRenamed("id", "dst"), ["round", "bucket"]).where("src < dst").select("src", "dst").distinct()
+    fresh = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return fresh.withColumn("place", place("src", "dst", seed=seed)).orderBy("place").limit(count).drop("place")
 
 
 def labelled_pairs(vertices: DataFrame, edges: DataFrame, seed: int = 42, ratio: float = 1.0) -> DataFrame:

@@ -438,8 +438,11 @@ def unprocessed(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- link prediction -------------------------------------------------------------------------------------------------
 
-_NEG = """neg AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = a.id AND g.dst = b.id)
-  ORDER BY md5(concat_ws('_', a.id, b.id, 42)) LIMIT (SELECT count(*) FROM g)),
+_NEG = """ec AS (SELECT count(*) AS e FROM g),
+rd AS (SELECT id, unnest(range(1, (SELECT greatest(2, (6 * e + n * 7 - 1) // (n * 7)) FROM ec, nn) + 1)) AS round FROM v),
+bk AS (SELECT id, round, ('0x' || left(md5(concat_ws('_', id, round, 42)), 8))::BIGINT % (SELECT greatest(1, n // 8) FROM nn) AS bucket FROM rd),
+neg AS (SELECT * FROM (SELECT DISTINCT a.id AS src, b.id AS dst FROM bk a JOIN bk b ON a.round = b.round AND a.bucket = b.bucket AND a.id < b.id) p
+  WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = p.src AND g.dst = p.dst) ORDER BY md5(concat_ws('_', src, dst, 42)) LIMIT (SELECT e FROM ec)),
 lp AS (SELECT src, dst, 1 AS label FROM g UNION ALL SELECT src, dst, 0 FROM neg)"""
 
 
