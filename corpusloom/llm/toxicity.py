@@ -25,6 +25,8 @@ CHAR_SLOTS = 1 << 13
 TEXTS_A_CLASS = 2000
 TEXT_CHARS = 20_000
 KNOWN_WORDS = 20_000
+#: A word of fewer texts tells nothing: it may belong to copies of one text.
+LEAST_TEXTS = 5
 EPOCHS, AFTER = 6, 4
 _BATCH = 2048
 
@@ -176,6 +178,7 @@ def text_scores(model: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _train(m: dict, known: np.ndarray, found: Words, index: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int, moments: dict) -> None:
     rows = _rows(known, found.hash)
     other = len(known)
+    began = moments.setdefault("began", {k: m[k].copy() for k in ("E", "C")})
     for _ in range(epochs):
         order = rng.permutation(index.shape[1])
         for a in range(0, len(order), 128):
@@ -221,6 +224,8 @@ def _train(m: dict, known: np.ndarray, found: Words, index: np.ndarray, y: np.nd
                 a1, a2 = moments[k]
                 a1 += 0.1 * (v - a1)
                 a2 += 0.01 * (v * v - a2)
+                if k in began:  # embeddings stay near what the counts say
+                    m[k] -= 0.01 * (m[k] - began[k])
                 m[k] -= (0.01 * (a1 / (1 - 0.9 ** moments["n"])) / (np.sqrt(a2 / (1 - 0.99 ** moments["n"])) + 1e-6)).astype(np.float32)
 
 
@@ -228,11 +233,11 @@ def _log_odds(items: np.ndarray, size: int, positive: np.ndarray) -> np.ndarray:
     """How much more often an item is in positive texts; ``items`` and ``positive`` are of (text, item) pairs, each once."""
     p, n = np.bincount(items[positive], minlength=size) + 0.0, np.bincount(items[~positive], minlength=size) + 0.0
     ratio = np.log((p + 0.5) / (n + 0.5))
-    return np.where(p + n >= 3, ratio, 0) * (p + n) / (p + n + 3)
+    return np.where(p + n >= LEAST_TEXTS, ratio, 0) * (p + n) / (p + n + 2 * LEAST_TEXTS)
 
 
-def fit_texts(some: list[str], labels: list[int], seed: int = 3) -> dict:
-    """A model from texts and labels (1: toxic) that fit in memory.  Without both classes every text scores the share of toxic ones."""
+def fit_texts(some: list[str], labels: list[int], toxic_share: float | None = None, seed: int = 3) -> dict:
+    """A model from texts and labels (1: toxic) that fit in memory; ``toxic_share`` is that of all texts, if the given ones are chosen by class.  Without both classes every text scores the share of toxic ones."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.0
@@ -248,7 +253,7 @@ def fit_texts(some: list[str], labels: list[int], seed: int = 3) -> dict:
     pair_doc, pair_word = pairs // len(found.hash), pairs % len(found.hash)
     frequency = np.bincount(pair_word, minlength=len(found.hash))
     odds = _log_odds(pair_word, len(found.hash), y[pair_doc] > 0)
-    common = np.flatnonzero(frequency >= 3)
+    common = np.flatnonzero(frequency >= LEAST_TEXTS)
     common = np.sort(common[np.argsort(-frequency[common], kind="stable")][:KNOWN_WORDS])
     known = found.hash[common]
     net = start(rng, len(known))
@@ -273,8 +278,9 @@ def fit_texts(some: list[str], labels: list[int], seed: int = 3) -> dict:
         rank = window_logits(model, found)[0]
     best = np.maximum.reduceat(rank.astype(np.float64), np.searchsorted(doc, np.arange(len(some))))
     scale, shift = 1.0, 0.0
-    weights = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for _ in range(500):
+    of_all = share if toxic_share is None else toxic_share
+    weights = np.where(y > 0, of_all / y.sum(), (1 - of_all) / (1 - y).sum())
+    for _ in range(2000):
         e = (1 / (1 + np.exp(-(scale * best + shift))) - y) * weights
         scale, shift = max(0.05, scale - 0.05 * float((e * best).sum())), shift - 0.5 * float(e.sum())
     return model | {"calibration": (scale, shift)}
@@ -291,7 +297,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         chosen = chosen | ((F.col("y") == y) & (place < int(1_000_000 * min(1.0, 0.95 * TEXTS_A_CLASS / n)) + 1))
     found = rows.where(chosen).limit(2 * TEXTS_A_CLASS).collect()  # the limit is beyond what the shares give, but for chance
     found.sort(key=lambda r: (r["k"], r["t"]))
-    model = fit_texts([r["t"] for r in found], [r["y"] for r in found])
+    model = fit_texts([r["t"] for r in found], [r["y"] for r in found], sizes.get(1, 0) / max(1, sum(sizes.values())))
     del found
     release()
     return model

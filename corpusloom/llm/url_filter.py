@@ -31,12 +31,12 @@ LABELLED = tuple(
 
 
 def host_of(url: str) -> Column:
-    after = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1)
+    after = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://([^/?#]*+)", 1)
     return F.translate(after, _UPPER, _LOWER)
 
 
 def path_of(url: str) -> Column:
-    return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?s:.*?)://[^/?#]*+((?:/[^?#]*+)?)", 1)
 
 
 def match_rule(host: str, path: str, rules: Sequence[tuple[str, str]] = RULES) -> Column:

@@ -210,10 +210,10 @@ def test_url_filter(spark):
 
 
 def test_url_rules(spark):
-    urls = ["http://example.net/en/1", "http://xexample.net/en/1", "http://net", "http://net/", "http://a.example.com/de/", "http://example.com/dex", "http://a.org/fr/x", "http://a.organ/fr/x", "HTTP://A.ORG/fr/#x", "http://a.org/FR/", "x://y://z/"]
+    urls = ["http://example.net/en/1", "http://xexample.net/en/1", "http://net", "http://net/", "http://a.example.com/de/", "http://example.com/dex", "http://a.org/fr/x", "http://a.organ/fr/x", "HTTP://A.ORG/fr/#x", "http://a.org/FR/", "x://y://z/", "http://b.net?u=http://c.net/d", "http://b.net#/e"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r["page_id"]: (r["host"], r["rule"]) for r in url_filter.filter_urls(df).collect()}
-    assert [got[i][1] for i in range(len(urls))] == ["example.net/en/", "net/", None, "net/", "example.com/de/", None, "org/fr/", None, "org/fr/", None, None]
+    assert [got[i][1] for i in range(len(urls))] == ["example.net/en/", "net/", None, "net/", "example.com/de/", None, "org/fr/", None, "org/fr/", None, None, None, None]
     assert got[8][0] == "a.org" and got[10][0] == "y:"
 
 
