@@ -36,7 +36,7 @@ _COLUMNS = ("doc", "at", "n", "ah", "ch")
 #: ``n`` has the number of windows, and above it the distance from the first window to the minimizer.
 _NUMBER = (1 << 32) - 1
 _CELLS = 4
-_RUN_SCHEMA = "ah long, ch long, id long, at long, n long, kind long"
+RUN_SCHEMA = "ah long, ch long, id long, at long, n long, kind long"
 
 #: symbols(batch) gives the symbols of all texts as uint64, and len + 1 offsets.
 Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
@@ -161,7 +161,7 @@ def map_runs(docs: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                 ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
                 yield grouped_here(ids[r["doc"]], r["at"], r["n"], r["ah"], r["ch"], depth.later)
 
-    return docs.select("id", "text").mapInArrow(tidy(run), _RUN_SCHEMA)
+    return docs.select("id", "text").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
@@ -278,7 +278,7 @@ def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                     out.append((np.full(len(of), ids[r]), begin, m, new_ah, mix(content ^ (far << 32 | m).astype(U64))))
                 yield grouped_here(*(np.concatenate(v) for v in zip(*out, strict=True)), depth.later)
 
-    return joined.select("id", "text", "spans").mapInArrow(tidy(run), _RUN_SCHEMA)
+    return joined.select("id", "text", "spans").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "spans") -> DataFrame:
@@ -298,7 +298,7 @@ def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "
                 run_of, place = grouped(n)
                 yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
-    return joined.select("id", "text", spans).mapInArrow(tidy(run), _RUN_SCHEMA)
+    return joined.select("id", "text", spans).mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def span_arrays(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, ...]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, grouped, mix, signed, slices, texts, tidy, words
 from ._spark import load, ship, shuffle_partitions
-from ._windows import Depth, covered, grouped_here, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, windows_of
+from ._windows import RUN_SCHEMA, Depth, covered, grouped_here, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, windows_of
 
 WINDOW = 35
 #: The most passages of one automaton; a shard with more is told by sorting its windows, with the same result.
@@ -117,61 +117,48 @@ def _passages(joined: DataFrame, depth: Depth) -> DataFrame:
 
 def _match(passages: DataFrame, depth: Depth, most: int) -> DataFrame:
     """Records (see ``_windows``) of repeated windows: known ones from the automata, open ones of shards that are too large."""
+    large = passages.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > most).select("ah")
+    return _automata(passages.join(large, "ah", "left_anti"), depth).unionByName(_windows(passages.join(large, "ah", "left_semi"), depth))
+
+
+def _automata(passages: DataFrame, depth: Depth) -> DataFrame:
     dealt = passages.repartition(shuffle_partitions(passages.sparkSession), "ah").sortWithinPartitions("ah", "id", "at")
 
-    def shard(group: list[tuple]) -> tuple:
-        seqs = [np.frombuffer(r[4], np.uint64).tolist() for r in group]
-        automaton = SuffixAutomaton(seqs)
-        found = [(r[1], r[2] + i) for r, s in zip(group, seqs, strict=True) for i in automaton.repeated(s, depth.length)]
-        ids, at = (np.array(v, np.int64) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return ids, at
+    def shard(group: list[tuple]) -> list[tuple[int, int]]:
+        words_of = [np.frombuffer(r[4], np.uint64).tolist() for r in group]
+        automaton = SuffixAutomaton(words_of)
+        return [(r[1], r[2] + i) for r, s in zip(group, words_of, strict=True) for i in automaton.repeated(s, depth.length)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        over = False  # the group went over the bound
-        done: list[tuple] = []
-        large: list[tuple] = []
-
-        def close() -> None:
-            if over:
-                large.extend(group)
-            elif len(group) > 1:
-                done.append(shard(group))
-            group.clear()
-
-        def told() -> Iterator[pa.RecordBatch]:
-            if done:
-                ids, at = (np.concatenate(v) for v in zip(*done, strict=True))
-                done.clear()
-                if len(ids):
-                    # equal digits for the same place twice make both known; the spread digits don't matter
-                    yield _known(ids, at)
-            if large:
-                n = np.array([r[3] for r in large])
-                run_of, place = grouped(n)
-                wh = np.concatenate([windows_of(np.frombuffer(r[4], np.uint64), 0, r[3], depth.length) for r in large])
-                ah, ids, at = (np.array([r[i] for r in large]) for i in (0, 1, 2))
-                large.clear()
-                yield grouped_here(ids[run_of], at[run_of] + place, np.ones(len(run_of), np.int64), mix(wh), ah[run_of].view(U64), depth.later)
-
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for r in zip(*columns, strict=True):
+            found: list[tuple[int, int]] = []
+            for r in zip(*(batch.column(c).to_pylist() for c in ("ah", "id", "at", "n", "words")), strict=True):
                 if group and group[0][0] != r[0]:
-                    close()
-                    over = False
-                elif over and len(group) >= most:
-                    close()
-                    group.append(r)
-                    over = True
-                    continue
+                    found += shard(group) if len(group) > 1 else []
+                    group = []
                 group.append(r)
-                over = over or len(group) > most
-            yield from told()
-        close()
-        yield from told()
+            if found:
+                yield _known(*(np.array(v, np.int64) for v in zip(*found, strict=True)))
+        if len(group) > 1 and (found := shard(group)):
+            yield _known(*(np.array(v, np.int64) for v in zip(*found, strict=True)))
+
+    return dealt.mapInArrow(tidy(run), RUN_SCHEMA)
 
-    return dealt.mapInArrow(tidy(run), "ah long, ch long, id long, at long, n long, kind long")
+
+def _windows(passages: DataFrame, depth: Depth) -> DataFrame:
+    """Each window by itself, where it stands: they are dealt by their own content, so a hot shard meets in no one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ah, ids, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ah", "id", "at", "n"))
+            run_of, place = grouped(n)
+            wh = np.concatenate([windows_of(np.frombuffer(w, np.uint64), 0, int(m), depth.length) for w, m in zip(batch.column("words").to_pylist(), n, strict=True)])
+            yield grouped_here(ids[run_of], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
+
+    return passages.select("ah", "id", "at", "n", "words").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def _known(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
