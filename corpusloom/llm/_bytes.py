@@ -102,7 +102,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``most`` bytes (one row at least)."""
     if not batch.num_rows:
         return

@@ -125,7 +125,7 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             record = pa.record_batch([pa.array(batch, pa.large_string(), from_pandas=True)], ["text"])
             tokens, found = [], []
-            for part in slices(record, "text", 2 << 20):
+            for part in slices(record, "text", 1 << 20):
                 data, at = texts(part.column(0))
                 dense, h, first = _features(data, at)
                 z = dense @ m["dense"] + _word_scores(m["words"], _slots(m["known"], h), first) + m["bias"]

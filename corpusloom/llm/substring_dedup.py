@@ -188,7 +188,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 data, offs = texts(batch.column(batch.schema.get_field_index("text")))
                 _, starts, ends, first = words(data, offs)
                 kind, at, n, _, row = (np.concatenate(v) for v in zip(*(span_arrays(batch, c) for c in ("spans", "singles")), strict=True))
