@@ -236,6 +236,19 @@ class Hybrid:
         return losses
 
 
+def hybrid_scores(pairs: DataFrame, features: Sequence[str], model: Hybrid | None = None, into: str = "score") -> DataFrame:
+    """``pairs`` with the hybrid network's score, of seeded weights unless a trained model is given."""
+    ship(pairs.sparkSession)
+    net = model or Hybrid()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for columns in batches:
+            yield pd.Series(net.score(np.column_stack([c.to_numpy(float) for c in columns])))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return pairs.withColumn(into, F.round(F.pandas_udf("double")(run)(*(F.col(f).cast("double") for f in features)), 9))
+
+
 def train_readout(x: np.ndarray, y: np.ndarray, kind: str = "topology", qubits: int = 4, layers: int = 2, seed: int = 42, epochs: int = 100, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Circuit weights (seeded), trained read-out weights, and the loss of each epoch, on rows that fit in memory."""
     rng = np.random.default_rng(seed)

@@ -102,6 +102,11 @@ def mention_report(found: DataFrame, named: DataFrame, key: str, name: str) -> D
     )
 
 
+def labelled(nodes: DataFrame, least: int = 10) -> DataFrame:
+    """The nodes that a drawing would name."""
+    return nodes.where(F.col("weight") >= least)
+
+
 def network(counts: DataFrame, edges: DataFrame, least_mentions: int = 3, least_degree: int = 1, divisor: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, weight, degree, size) with enough mentions and neighbours, and the edges (source, target, weight) between them."""
     important = counts.join(degrees(edges), "person").where((F.col("mentions") >= least_mentions) & (F.col("degree") >= least_degree))

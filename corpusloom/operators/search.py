@@ -14,7 +14,9 @@ def _first(found: DataFrame, limit: int, order: str) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, columns: Sequence[str], limit: int = 10, order: str = "doc_id") -> DataFrame:
-    """Rows with the query, regardless of case, in one of the columns; % and _ mean themselves."""
+    """Rows with the query, regardless of case, in one of the columns; % and _ mean themselves.  An empty query is an error."""
+    if not query:
+        raise ValueError("the query is empty")
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.contains(F.lower(F.col(c)), F.lit(query.lower()))

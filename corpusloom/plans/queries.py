@@ -348,6 +348,12 @@ def pair_features(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("src", "dst", *(F.round(c, 9).alias(c) for c in ("degree_diff", "clustering", "path_length", "centrality_diff")))
 
 
+@query("pair_distance", f"{_PATHS} SELECT v.id AS src, 1 AS dst, CASE WHEN v.id = 1 THEN 0 ELSE coalesce(sp.dist, 10) END AS dist FROM v LEFT JOIN sp ON sp.src = v.id AND sp.dst = 1")
+def pair_distance(spark: SparkSession, folder: str) -> DataFrame:
+    vertices, edges = edges_only(spark, folder)
+    return graph.pair_distance(edges, vertices.select(F.col("id").alias("src"), F.lit(1).cast(dict(vertices.dtypes)["id"]).alias("dst")))
+
+
 @query("betweenness")
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
     return graph.betweenness(*edges_only(spark, folder))
@@ -412,6 +418,31 @@ def page_dom_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(docs(spark, folder).select("doc_id", page.alias("page")), "doc_id", "page")
 
 
+def _poem_page(d: DataFrame) -> DataFrame:
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[<>&]", ""), r"\s+", " "))
+    page = F.concat(
+        F.lit("<script>var t='</table>';</script><table width='100%'><tr><td><h2>《<a href='x'>"), plain("title"), F.lit("</a>》</h2><span class='x'><b> "), F.col("author"),
+        F.lit('著</b></span></td></tr></table><table border="0"><tr><td><div id="comm1"></div>'), plain("text"), F.lit('<p class="ctext"></p></td></tr></table>'),
+    )
+    return d.select("doc_id", page.alias("page"))
+
+
+_POEMS = f"""WITH {_D}, x AS (SELECT doc_id, {_PLAIN.format('title')} AS title, author, {_PLAIN.format('text')} AS content FROM d)
+SELECT doc_id, 0 AS pos, title, author, content FROM x WHERE title <> '' AND content <> ''"""
+
+
+@query("page_positional_poems", _POEMS)
+def page_positional_poems(spark: SparkSession, folder: str) -> DataFrame:
+    return html.positional(_poem_page(docs(spark, folder)), "doc_id", "page")
+
+
+@query("page_row_poems", _POEMS)
+def page_row_poems(spark: SparkSession, folder: str) -> DataFrame:
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[<>&]", ""), r"\s+", " "))
+    page = F.concat(F.lit("<table><tr><td><a>"), plain("title"), F.lit("</a><a>"), F.col("author"), F.lit("</a></td><td>"), plain("text"), F.lit("</td></tr></table>"))
+    return html.extract(docs(spark, folder).select("doc_id", page.alias("page")), "doc_id", "page", "rows")
+
+
 _STATUS = "CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'success' WHEN 'signup' THEN 'captcha' WHEN 'error' THEN 'http_error_403' ELSE 'timeout' END"
 _LOG = f"log AS (SELECT event_id, user_id, {_STATUS} AS status FROM events), k AS (SELECT *, CASE WHEN status = 'success' THEN 'success' WHEN status = 'captcha' THEN 'captcha' WHEN contains(status, '403') THEN '403' ELSE 'other' END AS kind FROM log)"
 
@@ -482,6 +513,11 @@ def circuit_scores(spark: SparkSession, folder: str) -> DataFrame:
     return linkpred.circuit_scores(_pairs(spark, folder), ("w1", "s1", "w2", "s2"))
 
 
+@query("hybrid_scores")
+def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return linkpred.hybrid_scores(_pairs(spark, folder), ("w1", "s1", "w2", "s2"))
+
+
 @query("score_metrics", f"""WITH {_G}, {_NEG}, {_NODES}, x AS (SELECT label, (a.weight + b.weight) / (SELECT 2.0 * max(weight) FROM nd) AS score FROM lp JOIN nd a ON a.id = lp.src JOIN nd b ON b.id = lp.dst),
 c AS (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM x),
 m AS (SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c),
@@ -512,6 +548,14 @@ def tree_walk(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.walk(tree, 1).select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
+@query("subtree_text", f"""WITH RECURSIVE {_TREE}, w(node, path) AS (SELECT node, [0::BIGINT] FROM tr WHERE node = 3 UNION ALL SELECT t.node, list_append(w.path, t.ord::BIGINT) FROM w JOIN tr t ON t.parent = w.node)
+SELECT count(*) AS nodes, string_agg(event_type, chr(10) ORDER BY path) AS content FROM w JOIN events ON event_id = node""")
+def subtree_text(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("event_id")
+    tree = table(spark, folder, "events").select(n.alias("node"), F.when(n > 0, F.floor((n - 1) / 10)).cast("long").alias("parent"), ((n - 1) % 10).alias("ord"), "event_type")
+    return hierarchy.subtree_text(tree, 3, "event_type")
+
+
 @query("simplify_chars", f"WITH {_D} SELECT doc_id, translate('學而時習之 ' || title, '{T.TRADITIONAL}', '{T.SIMPLIFIED}') AS title FROM d")
 def simplify_chars(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", T.simplify(F.concat(F.lit("學而時習之 "), "title")).alias("title"))

@@ -109,3 +109,30 @@ def write_failures(failed: DataFrame, folder: str) -> None:
     """Failed volumes as one JSON object."""
     rows = F.array_sort(F.collect_list(F.struct("volume", "status", "description", "original_status")))
     failed.agg(rows.alias("failed_volumes"), F.count("*").alias("total_failed")).write.mode("overwrite").json(folder)
+
+
+def write_grams(counts: DataFrame, folder: str, k: int = 100) -> None:
+    """Grams (n, gram, cnt): the ``k`` commonest of each size as text, all as JSON, and the totals: <folder>/txt, <folder>/json, <folder>/totals."""
+    from ..operators.ngrams import ngram_totals, top_each
+
+    best = top_each(counts, k, ("n",), "gram")
+    line = F.format_string("%d-gram %4d. %s: %d", F.col("n"), F.col("rank"), F.col("gram"), F.col("cnt"))
+    best.orderBy("n", "rank").coalesce(1).select(line.alias("value")).write.mode("overwrite").text(f"{folder}/txt")
+    counts.write.mode("overwrite").partitionBy("n").json(f"{folder}/json")
+    ngram_totals(counts).write.mode("overwrite").json(f"{folder}/totals")
+
+
+def write_person_poems(rows: DataFrame, folder: str) -> None:
+    """Mentions (poem, author, title, person, mentions) as CSV under the published header."""
+    write_csv(rows, folder, dict(zip(("poem", "author", "title", "person", "mentions"), PERSON_POEM_HEADER, strict=True)))
+
+
+def write_person_stats(stats: DataFrame, folder: str) -> None:
+    """Persons (rank, person, mentions, degree) as CSV under the published header; related poems are the mentions, each once a poem."""
+    rows = stats.orderBy("rank").select("rank", "person", "mentions", F.col("mentions").alias("poems"), "degree")
+    write_csv(rows, folder, dict(zip(("rank", "person", "mentions", "poems", "degree"), PERSON_HEADER, strict=True)))
+
+
+def write_crawl_summary(outcomes: DataFrame, folder: str) -> None:
+    """Outcomes (outcome, n) as one JSON object each."""
+    outcomes.coalesce(1).write.mode("overwrite").json(folder)

@@ -110,3 +110,18 @@ def test_writers(spark, tmp_path):
     poems = spark.createDataFrame([("t", 1, "c", "a")], "title string, volume int, content string, author string")
     writers.write_corpus(poems, str(tmp_path / "corpus"))
     assert spark.read.json(str(tmp_path / "corpus/metadata")).first()["total_poems"] == 1
+
+
+def test_table_writers(spark, tmp_path):
+    stats = spark.createDataFrame([(1, "李白", 5, 2)], "rank int, person string, mentions long, degree long")
+    writers.write_person_stats(stats, str(tmp_path / "stats"))
+    assert next((tmp_path / "stats").glob("part*")).read_text(encoding="utf-8") == "排名,人物,提及次數,相關詩歌數,關聯人物數\n1,李白,5,5,2\n"
+    poems = spark.createDataFrame([("a_t", "a", "t", "李白", 5)], "poem string, author string, title string, person string, mentions long")
+    writers.write_person_poems(poems, str(tmp_path / "poems"))
+    assert next((tmp_path / "poems").glob("part*")).read_text(encoding="utf-8").startswith("詩歌ID,作者,標題,人物,提及次數\n")
+    grams = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "ab", 1)], "n int, gram string, cnt long")
+    writers.write_grams(grams, str(tmp_path / "grams"), 1)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "grams/txt")).collect()] == ["1-gram    1. a: 3", "2-gram    1. ab: 1"]
+    assert spark.read.json(str(tmp_path / "grams/totals")).count() == 2
+    writers.write_crawl_summary(spark.createDataFrame([("success", 3)], "outcome string, n long"), str(tmp_path / "crawl"))
+    assert spark.read.json(str(tmp_path / "crawl")).first()["n"] == 3
