@@ -16,9 +16,14 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _two(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) twice from each row; unlike a union this stays in the row's partition."""
+    return rows.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))).alias("e")).select("e.u", "e.v")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are hung on the least of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _two(edges, ("u", "v"), ("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     return _ordered(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", F.col("u")).alias("v")))
 
@@ -26,8 +31,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are hung on the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _ordered(moved.unionByName(least.select("u", F.col("m").alias("v"))))
+    return _ordered(_two(edges.join(least, "u"), ("v", "m"), ("u", "m")))
 
 
 def _state(edges: DataFrame) -> tuple:
