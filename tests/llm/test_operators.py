@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import warnings
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -304,6 +306,44 @@ def test_mixing(spark):
     assert (rate == 0).any()
 
 
+def nearest(a, b):
+    """Nonnegative least squares by Lawson and Hanson: how near a @ x comes to b."""
+    x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(1000):
+        g = np.where(on, -1, a.T @ (b - a @ x))
+        if g.max() <= 1e-12 * np.abs(b).sum() * np.abs(a).max():
+            break
+        on[np.argmax(g)] = True
+        while True:
+            z = np.zeros(len(x))
+            z[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            if (z[on] > 0).all():
+                x = z
+                break
+            bad = on & (z <= 0)
+            x = x + (x[bad] / (x[bad] - z[bad])).min() * (z - x)
+            on &= x > 1e-14
+            x[~on] = 0
+    return np.linalg.norm(b - a @ x)
+
+
+@pytest.mark.parametrize(("kind", "met"), [((25, 4, 8), True), ((60, 6, 6), True), ((20, 5, 5), True), ((200, 2, 2), False)])
+def test_mixing_of_soft_posteriors(spark, kind, met):
+    """Few telling labels, or a corpus mostly of one domain: as near as nonnegative least squares."""
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet(kind, 20_000), rng.integers(0, 900, 20_000)
+    table = spark.createDataFrame(pd.DataFrame({"tokens": n, "p": p.tolist()}), "tokens long, p array<double>")
+    wanted = np.array([0.78, 0.17, 0.05])
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        rate = np.maximum(0, 1 + p @ mixing.fit_rates(table, n.sum() * wanted))
+    miss = np.linalg.norm((n * rate) @ p / n.sum() - wanted)
+    least = nearest(p.T * n / n.mean(), wanted)
+    assert (least < 1e-9) == met
+    assert miss == pytest.approx(least, rel=1e-3, abs=1e-6)
+    assert any("can't be met" in str(w.message) for w in told) == (not met)
+
+
 def test_mixing_classifier(spark):
     docs = documents(spark).select("doc_id", "text")
     out = mixing.mix(docs, mixing.labelled_documents(spark, SMALL, docs))
