@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def walk(tree: DataFrame, root: object, node: str = "node", parent: str = "parent", order: str = "ord") -> DataFrame:
-    """(node, depth, path): what is below ``root``, itself included; ordering by path is document order.  The rows must form a tree."""
-    spark = tree.sparkSession
-    tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(order).cast("int").alias("ord")).createOrReplaceTempView("__tree")
-    sql = """
-        WITH RECURSIVE below(node, depth, path) AS (
-          SELECT node, 0, array(0) FROM __tree WHERE node = :root
-          UNION ALL
-          SELECT t.node, b.depth + 1, array_append(b.path, t.ord) FROM below b JOIN __tree t ON t.parent = b.node)
-        SELECT node, depth, path FROM below"""
-    return spark.sql(sql, args={"root": root})
+    """(node, depth, path): what is below ``root``, itself included; ordering by path is document order.  The rows must form a tree.
+
+    One join and one checkpoint a level, until a level is empty; neither rows nor levels are bounded.  Each node but the root has one parent,
+    so leaving the root out of the children makes every walk end.
+    """
+    rows = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(order).cast("int").alias("ord"))
+    below = cut(rows.where(~F.col("node").eqNullSafe(F.lit(root))).select("parent", F.col("node").alias("child"), "ord"))
+    level = cut(rows.where(F.col("node") == F.lit(root)).select("node", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path")))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) == 64:  # a plan of very many unions can't be analysed
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+        near = level.join(below, F.col("node") == F.col("parent"))
+        level = cut(near.select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("ord")).alias("path")))
+    return reduce(DataFrame.unionByName, levels or [level])
 
 
 def section_text(sections: DataFrame, group: str, order: str, text: str, separator: str = "\n") -> DataFrame:

@@ -50,6 +50,20 @@ def test_hierarchy(spark):
     assert hierarchy.subtree_text(tree, "r", "t").first()["content"] == "top\nA\nC\nB"
 
 
+def test_deep_hierarchy(spark):
+    """Deeper than the 100 levels of a recursive query."""
+    tree = spark.createDataFrame([(i, i - 1 if i else None, 0, "ab"[i % 2]) for i in range(121)], "node long, parent long, ord int, t string")
+    assert {r["node"]: (r["depth"], len(r["path"])) for r in hierarchy.walk(tree, 0).collect()} == {i: (i, i + 1) for i in range(121)}
+    assert hierarchy.subtree_text(tree, 119, "t").first()["content"] == "b\na"
+    assert hierarchy.walk(tree, 500).count() == 0
+
+
+def test_wide_hierarchy(spark):
+    """More rows than the 1,000,000 of a recursive query."""
+    tree = spark.range(1_000_002).select("id", F.when(F.col("id") > 0, F.lit(0)).alias("parent"), F.col("id").alias("ord"))
+    assert hierarchy.walk(tree, 0, node="id").count() == 1_000_002
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(i, f"A{i % 2}", f"50% of_{i}", i % 3) for i in range(6)], "doc_id long, author string, text string, volume int")
     assert [r["doc_id"] for r in search.search(docs, "50% OF_3", ("text",)).collect()] == [3]
