@@ -60,6 +60,13 @@ def test_long_chain(spark):
     assert graph.pair_distance(e, spark.createDataFrame([(0, 39), (3, 3)], "src long, dst long")).where("src = 0").first()["dist"] == 39
 
 
+def test_paths_have_no_bound(spark):
+    _, e = table(spark, 71, [(i, i + 1) for i in range(70)])
+    starts = spark.createDataFrame([(0,)], "id long")
+    assert {r["dst"]: r["dist"] for r in graph.shortest_paths(e, starts).collect()} == {i: i for i in range(1, 71)}
+    assert {r["dst"]: r["dist"] for r in graph.shortest_paths(e, starts, 3).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_clustering(example):
     n, near, (v, e) = example
     for r in graph.clustering(v, e).collect():
