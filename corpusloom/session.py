@@ -31,8 +31,10 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, and bound the batches that they get.
 
     Workers unpickle functions by module name; they need not have the repository on a path of their own.
+    Tables that are dealt by an id may be joined on that id and more without being dealt anew.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     sc = spark.sparkContext
     if sc.applicationId in _SENT:
         return
@@ -50,9 +52,13 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder; their lineage ends there.
 
-    The folder is the cluster's spark.checkpoint.dir, or a local one where that is unset (tests).
+    The folder is the cluster's spark.checkpoint.dir.  Where that is unset, a session on one machine gets a folder of its
+    own; on a cluster that is an error, as executors would write to disks that no other can read.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint(eager=True)
