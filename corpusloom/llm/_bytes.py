@@ -15,9 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
 #: Space, tab, newline, vertical tab, form feed, carriage return.
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,32 +58,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate(([U64(1)], np.cumprod(np.full(size - 1, _BASE, U64), dtype=U64)))
-                self.down = np.concatenate(([U64(1)], np.cumprod(np.full(size - 1, _BASE_INV, U64), dtype=U64)))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = _Powers()
-
-
-def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums s and inverse powers d such that (s[q] - s[p]) * d[p] depends on x[p:q] alone."""
-    up, down = POWERS.upto(len(x) + 1)
-    s = np.zeros(len(x) + 1, U64)
-    np.cumsum(x * up[: len(x)], out=s[1:])
-    return s, down
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and len + 1 offsets into them; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,24 +101,31 @@ def word_spans(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES, block: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order and don't overlap."""
-    out = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        s, down = prefix_sums(values[data[lo:hi]])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (s[b] - s[a]) * down[a]
-        i = j
-    return mix(out ^ (ends - starts).astype(U64))
+#: The lowest 0 to 8 bytes of eight.
+_LOWEST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each non-empty span of bytes.
+
+    Each eight bytes are scrambled with their place before they are summed, so that no arrangement of the bytes cancels out.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    blocks = (size + 7) // 8
+    span, place = grouped(blocks)
+    value = eight[starts[span] + 8 * place] & _LOWEST[np.minimum(size[span] - 8 * place, 8)]
+    value = mix(mix(value) + (place + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, np.cumsum(blocks) - blocks) ^ size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = WHITESPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and each text's first word."""
     starts, ends, first = word_spans(data, at, separator)
-    return span_hashes(data, starts, ends, BYTE_VALUES[LOWER] if lower else BYTE_VALUES), starts, ends, first
+    return span_hashes(LOWER[data] if lower else data, starts, ends), starts, ends, first
 
 
 def grams(x: np.ndarray, n: int) -> np.ndarray:
@@ -168,11 +146,21 @@ def grams(x: np.ndarray, n: int) -> np.ndarray:
         if n >> (bit + 1):
             m = len(power) - size
             power = power[:m] * U64((0xA0761D6478BD642F + 2 * bit) | 1) + power[size:]
-            power = power ^ (power >> U64(32))
+            power ^= power >> U64(32)
+            power *= U64(0xBF58476D1CE4E5B9)
+            power ^= power >> U64(29)
             size *= 2
     return mix(out)
 
 
+def gathered(x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that hold all the given spans of ``x``, and where each span begins in them; no more of them than ``x`` has."""
+    if int(size.sum()) >= len(x):
+        return x, begin
+    span, place = grouped(size)
+    return x[begin[span] + place], np.cumsum(size) - size
+
+
 def grouped(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of the given lengths: each element's run, and its place within the run."""
     lengths = np.asarray(lengths, np.int64)

@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import U64, grams, grouped, mix, prefix_sums, signed, slices, tidy
+from ._bytes import U64, gathered, grams, grouped, mix, signed, slices, tidy
 from ._spark import shuffle_partitions
 
 #: Kinds of records: to be resolved; known to be repeated; both.
@@ -36,6 +36,8 @@ _COLUMNS = ("doc", "at", "n", "ah", "ch")
 #: ``n`` has the number of windows, and above it the distance from the first window to the minimizer.
 _NUMBER = (1 << 32) - 1
 _CELLS = 4
+#: ``at`` has the place in the text, and above it the number of the row among those that share its id.
+_DUP = 40
 RUN_SCHEMA = "ah long, ch long, id long, at long, n long, kind long"
 
 #: symbols(batch) gives the symbols of all texts as uint64, and len + 1 offsets.
@@ -75,10 +77,13 @@ def runs(x: np.ndarray, at: np.ndarray, depth: Depth) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(p)))
     start, anchor = p[first], least[first]
-    s, down = prefix_sums(x)
-    content = (s[start + n + length - 1] - s[start]) * down[start]
     shape = ((anchor - start) << 32 | n).astype(U64)
-    return {"doc": doc[first], "at": place[first], "n": n | (anchor - start) << 32, "ah": mix(h[anchor]), "ch": mix(mix(content) ^ shape)}
+    return {"doc": doc[first], "at": place[first], "n": n | (anchor - start) << 32, "ah": mix(h[anchor]), "ch": mix(stretch(grams(x, length), start, n) ^ shape)}
+
+
+def stretch(windows: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the symbols that ``n`` consecutive windows cover: the first and the last cover them all, as n is no more than their length."""
+    return mix(windows[start] * U64(0x9E3779B97F4A7C15) + windows[start + n - 1])
 
 
 def _pieces(at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,17 +156,16 @@ def grouped_here(ids: np.ndarray, at: np.ndarray, n: np.ndarray, ah: np.ndarray,
 
 
 def map_runs(docs: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
-    """Records of the runs of ``docs`` (id, text)."""
+    """Records of the runs of ``docs`` (id, dup, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 x, at = symbols(batch)
                 r = all_runs(x, at, depth)
-                ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-                yield grouped_here(ids[r["doc"]], r["at"], r["n"], r["ah"], r["ch"], depth.later)
+                yield grouped_here(column(batch, "id")[r["doc"]], placed(batch, r["doc"], r["at"]), r["n"], r["ah"], r["ch"], depth.later)
 
-    return docs.select("id", "text").mapInArrow(tidy(run), RUN_SCHEMA)
+    return docs.select("id", "dup", "text").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
@@ -226,24 +230,34 @@ def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "id long, at long, n long, kind long, ah long")
 
 
-def windows_of(x: np.ndarray, at: int, n: int, length: int) -> np.ndarray:
-    """Hashes of ``n`` windows from ``at`` on."""
-    s, down = prefix_sums(x[at : at + n + length - 1])
-    i = np.arange(n)
-    return mix(((s[i + length] - s[i]) * down[i]) ^ U64(length))
+def windows_of(x: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``n`` windows from each place on, one place after another."""
+    some, at = gathered(x, begin, n + length - 1)
+    run, place = grouped(n)
+    return grams(some, length)[at[run] + place]
 
 
-def one_text_an_id(docs: DataFrame, key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, text, keep...) with each id once (of repeated ids the least row by text), dealt by id; null ids are left out."""
+def numbered(docs: DataFrame, key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, dup, text, keep_...): every row with an id, dealt by id; ``dup`` numbers the rows of one id by text from 0 on."""
     some = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    if not keep:
-        return some.groupBy("id").agg(F.min("text").alias("text"))
-    return some.groupBy("id").agg(F.min(F.struct("text", *(f"keep_{c}" for c in keep))).alias("r")).select("id", "r.*")
+    ties = [c for c, kind in some.dtypes if c.startswith("keep_") and "map<" not in kind and "variant" not in kind]
+    return some.withColumn("dup", F.row_number().over(Window.partitionBy("id").orderBy("text", *ties)) - 1)
+
+
+def spans_by_row(found: DataFrame) -> DataFrame:
+    """(id, dup, spans): the found records of each row in one array; as many as the row's text has windows at most."""
+    dup = F.shiftright("at", _DUP).cast("int").alias("dup")
+    # dealt by id alone, as the texts are
+    return found.repartition("id").groupBy("id", dup).agg(F.collect_list(F.struct("kind", F.col("at").bitwiseAND((1 << _DUP) - 1).alias("at"), "n", "ah")).alias("spans"))
+
+
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def spans_by_id(found: DataFrame) -> DataFrame:
-    """The found records of each id in one array; as many as the id's text has windows at most."""
-    return found.groupBy("id").agg(F.collect_list(F.struct("kind", "at", "n", "ah")).alias("spans"))
+def placed(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in the texts of the given rows as records have them."""
+    return at + (column(batch, "dup").astype(np.int64) << _DUP)[row]
 
 
 def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
@@ -259,26 +273,23 @@ def cells(joined: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
                 if not len(pick):
                     continue
                 x, offs = symbols(batch)
-                ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-                pick = pick[np.argsort(row[pick], kind="stable")]
-                rows, first = np.unique(row[pick], return_index=True)
-                out = []
-                for r, part in zip(rows, np.split(pick, first[1:]), strict=True):
-                    s, down = prefix_sums(x[offs[r] : offs[r + 1]])
-                    last = n[part] >> 32
-                    least, anchor = last - (n[part] & _NUMBER) + 1, at[part] + last
-                    of, place = grouped(last // width - least // width + 1)
-                    cell = least[of] // width + place
-                    far, near = np.minimum(last[of], cell * width + width - 1), np.maximum(least[of], cell * width)
-                    begin, m = anchor[of] - far, far - near + 1
-                    core = anchor[of] - cell * width
-                    digit = mix((s[core + length - width + 1] - s[core]) * down[core])
-                    content = mix((s[begin + m + length - 1] - s[begin]) * down[begin])
-                    new_ah = mix(ah[part][of].view(U64) ^ mix(digit ^ cell.astype(U64)))
-                    out.append((np.full(len(of), ids[r]), begin, m, new_ah, mix(content ^ (far << 32 | m).astype(U64))))
-                yield grouped_here(*(np.concatenate(v) for v in zip(*out, strict=True)), depth.later)
-
-    return joined.select("id", "text", "spans").mapInArrow(tidy(run), RUN_SCHEMA)
+                ids = column(batch, "id")
+                at, n, ah, row = at[pick], n[pick], ah[pick], row[pick]
+                last, count = n >> 32, n & _NUMBER
+                some, start = gathered(x, offs[row] + at, count + length - 1)
+                cores, whole_windows = grams(some, length - width + 1), grams(some, length)
+                least = last - count + 1
+                of, place = grouped(last // width - least // width + 1)
+                cell = least[of] // width + place
+                far, near = np.minimum(last[of], cell * width + width - 1), np.maximum(least[of], cell * width)
+                m = far - near + 1
+                begin, core = last[of] - far, last[of] - cell * width  # from the run's first window on
+                digit = mix(cores[start[of] + core])
+                content = stretch(whole_windows, start[of] + begin, m)
+                new_ah = mix(ah[of].view(U64) ^ mix(digit ^ cell.astype(U64)))
+                yield grouped_here(ids[row[of]], placed(batch, row[of], at[of] + begin), m, new_ah, mix(content ^ (far << 32 | m).astype(U64)), depth.later)
+
+    return joined.select("id", "dup", "text", "spans").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "spans") -> DataFrame:
@@ -292,13 +303,13 @@ def take_apart(joined: DataFrame, symbols: Symbols, depth: Depth, spans: str = "
                 if not pick.any():
                     continue
                 x, offs = symbols(batch)
-                ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+                ids = column(batch, "id")
                 at, n, ah, row = at[pick], n[pick] & _NUMBER, ah[pick], row[pick]
-                wh = np.concatenate([windows_of(x, int(offs[r] + a), int(m), depth.length) for a, m, r in zip(at, n, row, strict=True)])
+                wh = windows_of(x, offs[row] + at, n, depth.length)
                 run_of, place = grouped(n)
-                yield grouped_here(ids[row[run_of]], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
+                yield grouped_here(ids[row[run_of]], placed(batch, row[run_of], at[run_of] + place), np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
-    return joined.select("id", "text", spans).mapInArrow(tidy(run), RUN_SCHEMA)
+    return joined.select("id", "dup", "text", spans).mapInArrow(tidy(run), RUN_SCHEMA)
 
 
 def span_arrays(batch: pa.RecordBatch, name: str = "spans") -> tuple[np.ndarray, ...]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, grouped, mix, signed, slices, texts, tidy, words
 from ._spark import load, ship, shuffle_partitions
-from ._windows import RUN_SCHEMA, Depth, covered, grouped_here, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, windows_of
+from ._windows import RUN_SCHEMA, Depth, column, covered, grouped_here, map_runs, numbered, placed, resolve, span_arrays, spans_by_row, windows_of
 
 WINDOW = 35
 #: The most passages of one automaton; a shard with more is told by sorting its windows, with the same result.
@@ -106,11 +106,11 @@ def _passages(joined: DataFrame, depth: Depth) -> DataFrame:
                 if not pick.any():
                     continue
                 x, offs = _symbols(batch)
-                ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+                ids = column(batch, "id")
                 at, n, ah, row = at[pick], n[pick] & ((1 << 32) - 1), ah[pick], row[pick]
                 begin = offs[row] + at
                 cut = [x[b : b + m + depth.length - 1].tobytes() for b, m in zip(begin, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([signed(ah), signed(ids[row]), signed(at), signed(n), pa.array(cut, pa.binary())], ["ah", "id", "at", "n", "words"])
+                yield pa.RecordBatch.from_arrays([signed(ah), signed(ids[row]), signed(placed(batch, row, at)), signed(n), pa.array(cut, pa.binary())], ["ah", "id", "at", "n", "words"])
 
     return joined.mapInArrow(tidy(run), "ah long, id long, at long, n long, words binary")
 
@@ -155,7 +155,9 @@ def _windows(passages: DataFrame, depth: Depth) -> DataFrame:
                 continue
             ah, ids, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ah", "id", "at", "n"))
             run_of, place = grouped(n)
-            wh = np.concatenate([windows_of(np.frombuffer(w, np.uint64), 0, int(m), depth.length) for w, m in zip(batch.column("words").to_pylist(), n, strict=True)])
+            x = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64)
+            size = n + depth.length - 1
+            wh = windows_of(x, np.cumsum(size) - size, n, depth.length)
             yield grouped_here(ids[run_of], at[run_of] + place, np.ones(len(run_of), np.int64), wh, ah[run_of].view(U64), depth.later)
 
     return passages.select("ah", "id", "at", "n", "words").mapInArrow(tidy(run), RUN_SCHEMA)
@@ -173,18 +175,18 @@ def _known(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
-    """One row per document: key, kept (binary: the kept words joined by one space), n_words, n_removed.
+    """One row per row of ``docs``: key, kept (binary: the kept words joined by one space), n_words, n_removed.
 
     Words are runs of anything but ASCII white space, unchanged.  Each word in a window of ``window`` words that also
     starts anywhere else, in the same document too, is removed.  Texts are taken whole; a null has no words, shorter texts keep
-    all theirs.  Of rows that repeat a key the one with the least text counts; a row with a null key comes back with
-    all its words and is compared with nothing.  Columns other than the key are not returned.
+    all theirs.  Rows that repeat a key are documents of their own; a row with a null key comes back with
+    all its words and is compared with nothing.  Keys are numbers.  Columns other than the key are not returned.
     """
     ship(docs.sparkSession)
     depth = Depth(window, min(8, max(1, window // 3)), later=False)
-    base = one_text_an_id(docs, key, text)
-    joined = base.join(spans_by_id(resolve(map_runs(base, _symbols, depth), later=False, apart=True)), "id", "left")
-    single = spans_by_id(resolve(_match(_passages(joined, depth), depth, shard_passages), later=False, apart=False)).withColumnRenamed("spans", "singles")
+    base = numbered(docs, key, text)
+    joined = base.join(spans_by_row(resolve(map_runs(base, _symbols, depth), later=False, apart=True)), ["id", "dup"], "left")
+    single = spans_by_row(resolve(_match(_passages(joined, depth), depth, shard_passages), later=False, apart=False)).withColumnRenamed("spans", "singles")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -207,7 +209,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                     [batch.column(batch.schema.get_field_index("id")), pa.array(kept, pa.binary()), pa.array(n_words), pa.array(n_words - np.diff(kept_before))], ["id", "kept", "n_words", "n_removed"]
                 )
 
-    out = joined.join(single, "id", "left").mapInArrow(tidy(cut), "id long, kept binary, n_words long, n_removed long")
+    out = joined.join(single, ["id", "dup"], "left").mapInArrow(tidy(cut), "id long, kept binary, n_words long, n_removed long")
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     nameless = docs.where(F.col(key).isNull()).select(
         F.lit(None).cast("long").alias("id"), F.array_join(found, " ").cast("binary").alias("kept"), F.size(found).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ._bytes import BYTE_VALUES, slices, texts, tidy
 from ._spark import load, ship
-from ._windows import Depth, cells, covered, map_runs, one_text_an_id, resolve, span_arrays, spans_by_id, take_apart
+from ._windows import Depth, cells, covered, map_runs, numbered, resolve, span_arrays, spans_by_row, take_apart
 
 THRESHOLD = 100
 
@@ -28,21 +28,21 @@ def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: key, kept (binary), n_bytes, n_removed, n_spans, and the columns in ``keep``.
+    """One row per row of ``docs``: key, kept (binary), n_bytes, n_removed, n_spans, and the columns in ``keep``.
 
     Of a string of ``threshold`` bytes that occurs again, every occurrence but the first (by key, then by
     place) is removed, all its bytes.  Texts are taken whole as UTF-8; a null is empty; shorter
-    texts stay as they are.  Of rows that repeat a key the one with the least text counts, rows with a null key
-    come back unchanged and are compared with nothing.
+    texts stay as they are.  Rows that repeat a key are documents of their own, in the order of their texts; a row with a null key
+    comes back unchanged and is compared with nothing.  Keys are numbers.
     """
     ship(docs.sparkSession)
     depth = Depth(threshold, min(32, max(1, threshold // 3)), later=True)
-    base = one_text_an_id(docs, key, text, keep)
-    found = spans_by_id(resolve(map_runs(base, _symbols, depth), later=True, apart=True))
-    joined = base.join(found, "id", "left")
-    finer = spans_by_id(resolve(cells(joined, _symbols, depth), later=True, apart=True)).withColumnRenamed("spans", "finer")
-    single = take_apart(base.join(finer, "id"), _symbols, depth, "finer")
-    single = spans_by_id(resolve(single, later=True, apart=False)).withColumnRenamed("spans", "singles")
+    base = numbered(docs, key, text, keep)
+    found = spans_by_row(resolve(map_runs(base, _symbols, depth), later=True, apart=True))
+    joined = base.join(found, ["id", "dup"], "left")
+    finer = spans_by_row(resolve(cells(joined, _symbols, depth), later=True, apart=True)).withColumnRenamed("spans", "finer")
+    single = take_apart(base.join(finer, ["id", "dup"]), _symbols, depth, "finer")
+    single = spans_by_row(resolve(single, later=True, apart=False)).withColumnRenamed("spans", "singles")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -66,7 +66,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     passed = ["id", *(f"keep_{c}" for c in keep)]
     schema = T.StructType([f for f in base.schema if f.name in passed] + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")])
-    out = joined.join(finer, "id", "left").join(single, "id", "left").select(*passed, "text", "spans", "finer", "singles").mapInArrow(tidy(cut), schema)
+    out = joined.join(finer, ["id", "dup"], "left").join(single, ["id", "dup"], "left").select(*passed, "text", "spans", "finer", "singles").mapInArrow(tidy(cut), schema)
     nameless = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
     nameless = nameless.select(*passed, "kept", F.octet_length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     out = out.unionByName(nameless)

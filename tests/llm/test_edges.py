@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +34,6 @@ def ids(df, key="doc_id"):
 
 
 ALL = sorted((r[0] is None, r[0] or 0) for r in ROWS)
-ONCE = sorted({(r[0] is None, r[0] or 0) for r in ROWS})
 
 
 def operators(spark, items):
@@ -41,8 +43,8 @@ def operators(spark, items):
     return {
         "tokens": (lambda d: token_counts.count_tokens(d, token_counts.default_model()), ALL),
         "languages": (lambda d: language_id.identify(d, language_id.fit(d)), ALL),
-        "substrings": (substring_dedup.deduplicated, ONCE),
-        "strings": (suffix_dedup.deduplicated, ONCE),
+        "substrings": (substring_dedup.deduplicated, ALL),
+        "strings": (suffix_dedup.deduplicated, ALL),
         "minhash": (minhash.near_duplicates, ALL),
         "toxicity": (lambda d: toxicity.score(d, toxicity.fit(d.withColumn("toxic", (F.col("lang") == "fr").cast("int")))), ALL),
         "mixing": (lambda d: mixing.mix(d, labelled(d)), ALL),
@@ -104,3 +106,57 @@ def test_vectors(spark):
     assert got == alone | {1: (2, 1, True), 2: (2, 1, False), 8: (2, 1, False), None: (0, None, True)}
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
     assert embedding_dedup.near_duplicates(df.where("vec_id = 4")).count() == 1
+
+
+def twisted(n):
+    """Two texts whose difference divides every power of two times any odd polynomial's step: sums modulo 2**64 can't tell them apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 11, 13])
+def test_twisted_words(spark, n):
+    a, b = twisted(n)
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {tuple(r)[2:] for r in minhash.near_duplicates(df).collect()} == {(1, True), (2, True)}
+    rest = " " + " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, a + rest), (2, b + rest)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.deduplicated(df).collect()] == [0, 0]
+
+
+def test_twisted_sequences(spark):
+    a, b = twisted(5)
+    rows = [(1, " ".join(a) + " end of it"), (2, " ".join(b) + " end of it"), (3, a * 4 + b * 4), (4, b * 4 + a * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.deduplicated(df).collect()}
+    assert got == {k: v[:2] for k, v in substring_dedup.brute_force(rows).items()}
+    got = {r["doc_id"]: tuple(r)[2:5] for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == {k: v[:3] for k, v in suffix_dedup.brute_force(rows).items()}
+
+
+def test_rows_of_one_id(spark):
+    """They are documents of their own: nothing of them is lost, and they are compared with each other."""
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, "alph1 " + long), (1, "beta2 " + long), (1, "beta2 " + long), (1, "gamma"), (2, "delt3 " + long), (2, "delt3"), (3, None), (3, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring_dedup.deduplicated(df).collect())
+    assert got == sorted([(1, 61, 60, "alph1"), (1, 61, 61, ""), (1, 61, 61, ""), (1, 1, 0, "gamma"), (2, 61, 60, "delt3"), (2, 1, 0, "delt3"), (3, 0, 0, ""), (3, 0, 0, "")])
+    got = sorted((r["row"], bytes(r["kept"]).decode()) for r in suffix_dedup.deduplicated(df, keep=["row"]).collect())
+    assert got == [(0, rows[0][1]), (1, "beta2"), (2, ""), (3, "gamma"), (4, "delt3"), (5, "delt3"), (6, ""), (7, "")]
+
+
+def test_letters():
+    scorer = language_id.Scorer({"langs": ["a", "b"], "words": {}, "grams": {}, "word_logs": None, "gram_logs": np.zeros((0, 2))})
+    for c in map(chr, range(0x30000)):
+        assert (scorer.score(c)[0] != "und") == any(unicodedata.category(x)[0] == "L" for x in c.lower()), c
+    assert scorer.score("½ ² ① Ⅷ") == ("und", 0.0)
+
+
+def test_ties(spark):
+    """Of languages that are as likely the first by name is told; equal vectors are all linked."""
+    model = {"langs": ["b", "c"], "words": {"x": 0}, "grams": {}, "word_logs": np.array([[-1.0, -1.0]]), "gram_logs": np.zeros((0, 2))}
+    assert language_id.Scorer(model).score("x") == ("b", 0.5)
+    df = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(40, 0, -1)], "vec_id long, embedding array<double>")
+    assert {tuple(r)[1:3] for r in embedding_dedup.near_duplicates(df).collect()} == {(39, 1)}
