@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import U64, grams, grouped, mix, signed, slices, texts, tidy, words
@@ -38,9 +38,10 @@ def shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The band keys (texts x BANDS) of non-empty sets."""
+def minima(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures (texts x BANDS * ROWS, the upper halves of the minima) and the band keys (texts x BANDS) of non-empty sets."""
     out = np.empty((len(at) - 1, BANDS), U64)
+    signature = np.empty((len(at) - 1, BANDS * ROWS), np.uint32)
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + _BLOCK, "right")) - 1)
@@ -50,16 +51,28 @@ def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         for m in range(BANDS * ROWS):
             np.multiply(x, _MULTIPLIERS[m], out=buffer)
             np.add(buffer, _ADDENDS[m], out=buffer)
-            key = mix(key * U64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(buffer, begin))
+            least = np.minimum.reduceat(buffer, begin)
+            signature[i:j, m] = least >> U64(32)
+            key = mix(key * U64(0x9E3779B97F4A7C15) ^ least)
             if m % ROWS == ROWS - 1:
                 out[i:j, m // ROWS] = mix(key ^ U64(m))
                 key = np.zeros(j - i, U64)
         i = j
-    return out
+    return signature, out
+
+
+def set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit key of every set, in two halves; of the empty set both are zero."""
+    some = np.flatnonzero(np.diff(at))
+    k1, k2 = np.zeros(len(at) - 1, U64), np.zeros(len(at) - 1, U64)
+    if len(some):
+        k1[some] = np.add.reduceat(mix(h), at[:-1][some])
+        k2[some] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at[:-1][some])
+    return k1, k2
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, k1, k2, bands) of (id, text): the size of the set, a 128-bit key of the set, its band keys."""
+    """(id, row, n, k1, k2, bands, signature) of (id, row, text): the size of the set, its key, band keys and minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,33 +80,92 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 h, at = shingles(batch, size)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                k1, k2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
-                sizes = np.zeros(len(n) + 1, np.int64)
-                keys = np.zeros(0, U64)
-                if len(some):
-                    begin = at[:-1][some]
-                    k1[some] = np.add.reduceat(mix(h), begin)
-                    k2[some] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), begin)
-                    keys = band_keys(h, np.append(begin, at[-1])).ravel()
-                    sizes[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
-                bands = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), signed(keys))
-                ids = batch.column(batch.schema.get_field_index("id"))
-                yield pa.RecordBatch.from_arrays([ids, signed(n), signed(k1), signed(k2), bands], ["id", "n", "k1", "k2", "bands"])
-
-    return docs.mapInArrow(tidy(run), "id long, n long, k1 long, k2 long, bands array<long>")
-
-
-#: Shingles of one block of a candidate group; larger groups are compared block by block.
+                k1, k2 = set_keys(h, at)
+                found, keys = minima(h, np.append(at[:-1][some], at[-1])) if len(some) else (np.zeros((0, BANDS * ROWS), np.uint32), np.zeros((0, BANDS), U64))
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), signed(keys.ravel()))
+                minima_of = iter(found)
+                packed = pa.array([next(minima_of).tobytes() if k else b"" for k in n], pa.binary())
+                same = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "row")]
+                yield pa.RecordBatch.from_arrays([*same, signed(n), signed(k1), signed(k2), bands, packed], ["id", "row", "n", "k1", "k2", "bands", "signature"])
+
+    return docs.mapInArrow(tidy(run), "id long, row long, n long, k1 long, k2 long, bands array<long>, signature binary")
+
+
+#: Shingles of one block of a group of candidates that are still to be told apart.
 BLOCK_SHINGLES = 150_000
 #: Up to so many candidates, their ids are broadcast to the scan of the texts; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Pairs with one set on their right that meet in one task; a set with more is dealt to several.
+PAIRS_A_SET = 2_000
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(node, id, n, k1, k2, last, bands, signature): each set once, with the least and the last id that has it.
+
+    Its node in the graphs below is that least id, or a hash where an id that is repeated has several sets.
+    """
+    sets = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("n"), F.max(F.struct("bands", "signature")).alias("s"))
+    twin = F.row_number().over(Window.partitionBy("id").orderBy("k1", "k2"))
+    return sets.withColumn("twin", twin).select(F.when(F.col("twin") == 1, F.col("id")).otherwise(F.xxhash64("id", "k1", "k2")).alias("node"), "id", "n", "k1", "k2", "last", "s.bands", "s.signature")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(u, v): each set with the least node of every bucket that it is in, from (node, bands)."""
+    buckets = sets.select("node", F.explode("bands").alias("bucket"))
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("bucket", "v")
+    return buckets.join(least, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with the columns of ``table`` (node, x) for u and v as xu and xv; a v of very many pairs is dealt to several tasks."""
+    x = [c for c in table.columns if c != "node"]
+    left = pairs.join(table.select(F.col("node").alias("u"), *(F.col(c).alias(f"{c}u") for c in x)), "u")
+    blocks = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS_A_SET).cast("int").alias("blocks"))
+    right = table.select(F.col("node").alias("v"), *(F.col(c).alias(f"{c}v") for c in x)).join(blocks, "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return left.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).drop("blocks").join(right, ["v", "block"]).drop("block")
+
+
+def least_agreement(percent: int) -> int:
+    """The number of equal minima that sets of the given similarity have, but for six standard deviations."""
+    m, p = BANDS * ROWS, percent / 100
+    return int(np.ceil(m * p - 6 * np.sqrt(m * p * (1 - p))))
+
+
+def by_signature(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes allow the similarity and whose signatures agree as far as such pairs' do."""
+    least = least_agreement(percent)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("signatureu", "signaturev"))
+            keep = (a == b).sum(axis=1) >= least
+            yield batch.select(["u", "v", "nu", "nv"]).filter(pa.array(keep))
+
+    both = _beside(pairs, sets.select("node", "n", "signature")).where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    return both.select("u", "v", "nu", "nv", "signatureu", "signaturev").mapInArrow(tidy(run), "u long, v long, nu long, nv long")
+
+
+def full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(node, set): the shingles of ``sets`` (node, id, k1, k2), read again from the texts of ``docs`` (id, text)."""
+    wanted = sets.select(F.col("id").alias("__id"), "k1", "k2", "node")
+    if sets.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, at = shingles(batch, size)
+                k1, k2 = set_keys(h, at)
+                given = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(U64) for c in ("k1", "k2")]
+                ours = np.flatnonzero((k1 == given[0]) & (k2 == given[1]))  # an id may have other texts
+                length = np.diff(at)[ours]
+                run_of, place = grouped(length)
+                node = batch.column(batch.schema.get_field_index("node")).take(pa.array(ours))
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), signed(h[at[ours][run_of] + place]))], ["node", "set"])
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(u, v): each set with the least id of every bucket that it is in, from (id, bands)."""
-    buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v < last").select("bucket", "v")
-    return buckets.join(least, "bucket").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    return docs.join(wanted, docs["id"] == wanted["__id"]).select("text", "k1", "k2", "node").mapInArrow(tidy(run), "node long, set array<long>")
 
 
 class _Sets:
@@ -119,98 +191,95 @@ class _Sets:
         return np.bincount(self.owner[self.start[hit][run] + place], minlength=len(self.sizes))
 
 
-def _links(ids: list[int], sets: list[np.ndarray], side: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that join the same documents as all links between the two sides (or within the one side, if there is but one)."""
-    parent = list(range(len(ids)))
+def _links(ids: list[int], sets: list[np.ndarray], asked: list[bool], known: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join what all links between the sets that are asked for and the others join, beyond what is ``known`` to be joined."""
+    top = {k: k for k in known}
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
 
-    right = [i for i, s in enumerate(side) if s] or list(range(len(ids)))
-    left = [i for i, s in enumerate(side) if not s] if len(right) < len(ids) else right
-    index, out = _Sets([sets[i] for i in right]), []
-    where = np.array(right)
-
-    def match(i: int) -> np.ndarray:
+    others = [i for i, a in enumerate(asked) if not a]
+    index, out = _Sets([sets[i] for i in others]), []
+    where = np.array(others, np.int64)
+    for i in (i for i, a in enumerate(asked) if a):
         both = index.shared(sets[i])
-        found = where[100 * both >= percent * (len(sets[i]) + index.sizes - both)]
-        for j in found.tolist():
-            a, b = root(i), root(j)
+        for j in where[100 * both >= percent * (len(sets[i]) + index.sizes - both)].tolist():
+            a, b = root(known[i]), root(known[j])
             if a != b:
-                parent[a] = b
-                out.append((ids[i], ids[j]))
-        return found
-
-    if left is right and left:  # those linked with the first need no look-up: they are in one component
-        main = {left[0], *match(left[0]).tolist()}
-        for i in left:
-            if i not in main:
-                match(i)
-    else:
-        for i in left:
-            match(i)
+                top[a] = b
+                out.append((known[i], known[j]))
     return out
 
 
-def verified(docs: DataFrame, groups: DataFrame, size: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(u, v): links that connect exactly what the links within candidate groups connect; ``groups`` has (id, group, n), written."""
-    blocks = groups.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "group").select(F.col("id").alias("__id"), "group", "blocks")
-    if groups.count() <= BROADCAST_IDS:
-        dealt = F.broadcast(dealt)
+def across(sets: DataFrame, members: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(u, v): components that a link joins, of ``members`` (node, n, component, group), written; ``sets`` has (node, set).
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                h, at = shingles(batch, size)
-                ids, group, blocks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "group", "blocks"))
-                own = (mix(ids.view(U64)) % blocks.astype(U64)).astype(np.int64)
-                row, other = grouped(blocks)
-                sets = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
-                for a in range(0, len(row), 2000):
-                    part = slice(a, a + 2000)
-                    r = row[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [signed(group[r]), signed(lo[part]), signed(hi[part]), pa.array((own[r] == hi[part]) & (lo[part] < hi[part])), signed(ids[r]), pa.array([sets[i] for i in r], pa.binary())],
-                        ["group", "lo", "hi", "right", "id", "set"],
-                    )
+    Each pair of components of a group has one that isn't the group's largest.  So the sets of the largest lie in
+    blocks, each in one; the others lie there, too, and are asked for in every block.
+    """
+    sizes = members.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    groups = sizes.groupBy("group").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    asked = F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.concat(F.array(F.struct(own.alias("block"), F.lit(False).alias("asked"))), F.transform(asked, lambda b: F.struct(b.alias("block"), F.lit(True).alias("asked"))))
+    dealt = members.join(groups, "group").select("node", "group", "component", F.explode(places).alias("p")).select("node", "group", "component", "p.*").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("id").to_pydict()
-        found = _links(rows["id"], [np.frombuffer(s, np.uint64) for s in rows["set"]], rows["right"], percent)
+        rows = table.sort_by([("asked", "ascending"), ("node", "ascending")]).combine_chunks()
+        column = rows.column("set").combine_chunks() if isinstance(rows.column("set"), pa.ChunkedArray) else rows.column("set")
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(U64)
+        found = _links(rows.column("node").to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rows.column("asked").to_pylist(), rows.column("component").to_pylist(), percent)
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    sets = docs.join(dealt, docs["id"] == dealt["__id"]).drop("__id").mapInArrow(tidy(deal), "group long, lo long, hi long, right boolean, id long, set binary")
-    return sets.groupBy("group", "lo", "hi").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("group", "block").applyInArrow(compare, "u long, v long")
+
+
+def grouped_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of those of ``sets``, written, that are linked with another.
+
+    A set is first compared with the least of those that it shares a bucket with: by signature, then in full.  That joins
+    most of what belongs together.  Pairs that still lie in two components are then compared group by group.
+    """
+    pairs = cut(candidates(sets.select("node", "bands")))
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    full = cut(full_sets(docs, sets.select("node", "id", "k1", "k2").join(nodes, "node"), size))
+    near = by_signature(pairs.groupBy("u").agg(F.min("v").alias("v")), sets, percent)
+    shared = F.size(F.array_intersect("setu", "setv"))
+    links = _beside(cut(near), full).where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
+    first = components(links)
+    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v")
+    groups = components(apart).select(F.col("node").alias("component"), F.col("component").alias("group"))
+    known = sets.select("node", "n").join(nodes, "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = components(across(full, cut(known.join(groups, "component").select("node", "n", "component", "group")), percent)).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return known.join(joined, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component (the least key reachable over links), kept (it is its own component).
+    """One row per row of ``docs``: key, row (a hash of the text), n_shingles, component (the least key reachable over links), kept (it is its own component).
 
     The words of a text (A-Z lower-cased, split at ASCII white space) give its set of distinct ``size``-word shingles; a text of fewer
     words is one shingle, a null text or one without words has none and is linked with nothing.  Two documents are linked where
     100 * intersection >= percent * union, confirmed on the full sets.  Equal sets are one vertex.  Pairs that share
-    none of the bands aren't found: 2 in 100,000 of those right at similarity 0.8, fewer above.
-    Rows that repeat a key are one vertex with the links of all its texts; a null key is linked with nothing (component null, kept).
+    none of the bands aren't found: 2 in 100,000 of those right at similarity 0.8, fewer above; signatures drop fewer than one in a million.
+    Rows that repeat a key are documents of their own, each with the component of its text, and kept alike where that is the same;
+    a null key is linked with nothing (component null, kept).  Keys are numbers.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     signed_rows = cut(signatures(rows, size))
-    some = signed_rows.where("id IS NOT NULL AND n > 0")
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.min("n").alias("n"), F.max("bands").alias("bands"))
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.flatten(F.collect_list("bands")).alias("bands"), F.sum("n").alias("n"))
-    groups = components(candidates(reps))
-    groups = cut(groups.select(F.col("node").alias("id"), F.col("component").alias("group")).join(reps.select("id", "n"), "id"))
-    links = verified(rows, groups, size, percent)
-    copies = some.join(classes.where("rep < last").select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = components(links.unionByName(copies)).withColumnRenamed("node", "id")
-    out = signed_rows.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    sets = cut(distinct_sets(signed_rows.where("id IS NOT NULL AND n > 0")))
+    found = grouped_sets(rows.select("id", "text"), sets, size, percent)
+    # the least id of a component, as a node may be a hash; sets of one document have its id
+    labelled = sets.select("node", "id", "last", "k1", "k2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = labelled.groupBy("component").agg(F.min("id").alias("label"), F.max("last").alias("last")).where("label < last")
+    labels = labelled.select("component", "k1", "k2").join(least.select("component", "label"), "component").select("k1", "k2", "label")
+    out = signed_rows.select("id", "row", F.col("n").alias("n_shingles"), "k1", "k2").join(labels, ["k1", "k2"], "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "id"))
+    return out.select(F.col("id").alias(key), "row", "n_shingles", component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:

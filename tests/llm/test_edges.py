@@ -76,7 +76,7 @@ def test_results(spark, docs, items):
     assert tokens[2] == tokens[3] == 0 and tokens[5] > 200_000
     langs = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.fit(docs)).collect()}
     assert all(langs[k] == ("und", 0.0) for k in (2, 3, 7, 8))
-    near = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(docs).collect()}
+    near = {r["doc_id"]: tuple(r)[2:] for r in minhash.near_duplicates(docs).collect()}
     assert near[5][1:] == (5, True) and near[6][1:] == (5, False) and near[2] == (0, 2, True) and near[None][1] is None and near[4][1] == 4
     words = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs).collect()}
     assert words[5]["n_removed"] == words[5]["n_words"] == 240_000 and words[6]["n_words"] - words[6]["n_removed"] == 1 and bytes(words[6]["kept"]) == b"end"
@@ -120,7 +120,7 @@ def twisted(n):
 def test_twisted_words(spark, n):
     a, b = twisted(n)
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
-    assert {tuple(r)[2:] for r in minhash.near_duplicates(df).collect()} == {(1, True), (2, True)}
+    assert {tuple(r)[3:] for r in minhash.near_duplicates(df).collect()} == {(1, True), (2, True)}
     rest = " " + " ".join(f"w{i}" for i in range(34))
     df = spark.createDataFrame([(1, a + rest), (2, b + rest)], "doc_id long, text string")
     assert [r["n_removed"] for r in substring_dedup.deduplicated(df).collect()] == [0, 0]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import _bytes, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from corpusloom.llm import _bytes, _components, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from corpusloom.llm._components import components
 
 from ..conftest import DATA
@@ -158,8 +158,9 @@ def brute_links(rows, size, percent):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 300])
-def test_minhash(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast", "one", "pairs"), [(minhash.BLOCK_SHINGLES, minhash.BROADCAST_IDS, _components.ONE_PARTITION, minhash.PAIRS_A_SET), (300, 0, 0, 3)])
+def test_minhash(spark, monkeypatch, block, broadcast, one, pairs):
+    """Against all pairs of sets; also where every bound on a broadcast, a partition or a block is exceeded."""
     random.seed(5)
     base, rows = [f"W{i}" for i in range(60)], []
     for i in range(150):
@@ -168,12 +169,39 @@ def test_minhash(spark, monkeypatch, block):
             t[random.randrange(len(t))] = random.choice("xyzuv")
         rows.append((i * 3, " ".join(t)))
     rows += [(1000, ""), (1001, None), (1002, "a b"), (1003, "A  b"), (1004, "a"), (1005, " "), (1006, "a b c d"), (1007, "a b c D"), (1, rows[9][1])]
-    monkeypatch.setattr(minhash.verified, "__defaults__", (block,))
+    monkeypatch.setattr(minhash.across, "__defaults__", (block,))
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(minhash, "PAIRS_A_SET", pairs)
+    monkeypatch.setattr(_components, "ONE_PARTITION", one)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(df, size=4).collect()}
+    got = {r["doc_id"]: tuple(r)[2:] for r in minhash.near_duplicates(df, size=4).collect()}
     assert got == brute_links(rows, 4, 80)
 
 
+def test_minhash_rows_of_one_id(spark):
+    near, far = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, near), (5, near + " x"), (5, far), (5, far), (7, far + " y"), (9, near), (9, "q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 1, False), (9, 9, True)]
+
+
+def test_signatures_agree_as_sets_do():
+    rng = random.Random(4)
+    least, worst = minhash.least_agreement(80), 1.0
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.random()}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(words[:89]), " ".join(words[:30])]  # 0.89 and 0.28 of the single words
+    h, at = minhash.shingles(pa.record_batch([pa.array(texts)], ["text"]), 1)
+    signature, _ = minhash.minima(h, at)
+    agree = lambda i, j: int((signature[i] == signature[j]).sum())
+    for i in range(0, len(texts), 3):
+        assert agree(i, i + 1) >= least > agree(i, i + 2)
+        worst = min(worst, agree(i, i + 1) / signature.shape[1])
+    assert worst < 0.89
+
+
 def test_embeddings_hard_pairs(spark):
     rng = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
