@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,16 +50,35 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(sc.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder; their lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results, the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir.  Where that is unset, a session on one machine gets a folder of its
-    own; on a cluster that is an error, as executors would write to disks that no other can read.
+    Where that is unset, a session on one machine gets a folder of its own; on a cluster that is an error, as executors would
+    write to disks that no other can read.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder; their lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows, written as a table to the shared folder and read again, and where; of use where few of the columns are read later."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that was stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
