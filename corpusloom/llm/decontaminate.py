@@ -1,9 +1,8 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-The distinct word windows of the benchmark items form a small table.  Where its
-size is proven small it is broadcast as a hash table, and every window of every
-document is looked up during the one scan of the documents; hits are verified by
-comparing the windows themselves.
+The distinct word windows of the benchmark items are broadcast as a hash set of 64-bit hashes, and every window
+of every document is looked up in it during one scan.  Hits are verified by comparing the windows themselves, which
+are read from the texts that have hits.
 """
 
 from __future__ import annotations
@@ -11,69 +10,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load
+from ._spark import cut, load
 
 WINDOW = 13
-#: Broadcast the windows only up to so many; beyond that they are joined by a shuffle.
-BROADCAST_WINDOWS = 100_000
+#: Hashes of one broadcast, at about 64 bytes each in an executor; a larger set is looked up in several scans, each with a part of it.
+HASHES_A_SCAN = 1_000_000
+#: Up to so many documents with hits, their keys are broadcast to the second scan; beyond that they are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def normalised(text: str) -> Column:
-    """The words, each followed by a space, with a space in front; only a space where there is no word."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), _SEPARATORS, " "))
-    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def words(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def count_words(norm: str) -> Column:
-    return (F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1).cast("long")
+def window_hashes(hashes: str, size: int) -> Column:
+    """For each place in an array of word hashes the hash of the ``size`` words from there on; of those at the end that of fewer words, which no window has.
+
+    Words are got one by one, as a slice of an array takes as long as the whole of it.
+    """
+    return F.transform(hashes, lambda _, i: F.xxhash64(F.lit(size), *(F.get(hashes, i + j) for j in range(size))))
 
 
-def windows(norm: str, size: Column | int) -> Column:
-    """Every run of ``size`` words, in order: the place in the array is the place of its first word."""
-    pattern = F.concat(F.lit("(?<= )(?=((?:[^ ]++ ){"), F.lit(size) if isinstance(size, int) else size.cast("string"), F.lit("}))"))
-    return F.regexp_extract_all(norm, pattern, F.lit(1))
+def phrase(words: str, at: Column, size: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(at, at + size - 1), lambda j: F.get(words, j)), " ")
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(size, gram, item): the windows of every item; an item with fewer words is one window, one without words none."""
-    norm = items.select(F.col(item).cast("string").alias("item"), normalised(text).alias("norm")).withColumn("n", count_words("norm"))
-    return (
-        norm.where("n > 0").withColumn("size", F.least("n", F.lit(window)).cast("int"))
-        .select("item", "size", F.explode(windows("norm", F.col("size"))).alias("gram")).distinct()
-    )
+    """(h, size, gram, item): the windows of every item; an item with fewer words is one window, one without words none."""
+    split = items.select(F.col(item).cast("string").alias("item"), words(text).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    split = split.withColumn("size", F.least("n", F.lit(window))).withColumn("hashes", F.transform("w", lambda w: F.xxhash64(w)))
+    h = lambda at: F.coalesce(*(F.when(F.col("size") == s, F.xxhash64(F.lit(s), *(F.get("hashes", at + j) for j in range(s)))) for s in range(1, window + 1)))
+    grams = split.select("item", "size", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda at: F.struct(h(at).alias("h"), phrase("w", at, F.col("size")).alias("gram")))).alias("g"))
+    return grams.select("g.h", "size", "g.gram", "item").distinct()
 
 
 def find_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: its key, n_words, spans (start and size of each hit window, sorted) and items (as strings).
+    """One row per document: its key, row (a hash of the text), n_words, spans (start and size of each hit window, sorted) and items (as strings).
 
     A null or empty text has no words and no hit; null and empty items give no window.  Texts are read
     whole.  Rows that share a key and differ in text are judged apart; rows repeated in full come back as
     often as they came.  A null key is a key like any other.  Without items every document is clean.
     """
-    grams = benchmark_windows(items, item, item_text, window)
-    seen = grams.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row for each window size, at most ``window``
-    # a window that no text holds lets one row of every document through the join
-    marker = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("item"), F.lit(0).alias("size"), F.lit("").alias("gram"))
-    table = grams.unionByName(marker).select(F.xxhash64("gram").alias("h"), F.col("gram").alias("g"), "item", "size")
-    if sum(r["n"] for r in seen) <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-    one = lambda size: F.transform(windows("norm", size), lambda g, i: F.struct(i.cast("int").alias("at"), g.alias("gram")))
-    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("gram")))
-    scanned = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("row"), normalised(text).alias("norm")).select(
-        "k", "row", count_words("norm").alias("n_words"), F.explode(F.concat(first, *(one(r["size"]) for r in sorted(seen)))).alias("w")
-    )
-    found = scanned.select("k", "row", "n_words", "w.at", "w.gram").join(table, (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("g")))
-    return (
-        found.groupBy("k", "row", "n_words")
-        .agg(
-            F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("times"),
-            F.array_sort(F.collect_set(F.when(F.col("size") > 0, F.struct("at", "size")))).alias("spans"),
-            F.array_sort(F.collect_set("item")).alias("items"),
-        )
-        .select(F.col("k").alias(key), "row", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    )
+    grams = cut(benchmark_windows(items, item, item_text, window))
+    hashes = grams.select("h").distinct()
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most ``window``
+    parts = max(1, -(-hashes.count() // HASHES_A_SCAN))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    scanned = rows.select("k", "row", F.transform(words("text"), lambda w: F.xxhash64(w)).alias("w")).select("k", "row", F.size("w").alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), *(window_hashes("w", s) for s in sizes)).alias("w"))
+    scanned = scanned.select("k", "row", "n_words", F.posexplode_outer("w").alias("at", "h"))
+    # element 0 stands for the document itself; of the others those stay that are in the set
+    # (the outer explode gets no inferred filter, which would work out the array in every step of itself)
+    found = None
+    for part in range(parts):
+        seen = F.broadcast(hashes.where(F.pmod("h", F.lit(parts)) == part).withColumnRenamed("h", "hit"))
+        hits = scanned.join(seen, F.col("h") == F.col("hit"), "left").where(F.col("hit").isNotNull() | ((F.col("at") == 0) if part == 0 else F.lit(False)))
+        hits = cut(hits.select("k", "row", "n_words", "at"))
+        found = hits if found is None else found.unionByName(hits)
+    place = F.col("at") - 1
+    size = F.element_at(F.array(*map(F.lit, sizes or [0])), (F.floor(place / F.col("n_words")) + 1).cast("int"))
+    spots = found.where("at > 0").select("k", "row", F.struct(F.pmod(place, F.col("n_words")).alias("at"), size.alias("size")).alias("spot")).groupBy("k", "row").agg(F.collect_set("spot").alias("spots"))
+    spans = _verified(rows, cut(spots), grams)
+    base = found.where("at = 0").select("k", "row", F.col("n_words").cast("long").alias("n_words"))
+    same = base["k"].eqNullSafe(spans["k"]) & (base["row"] == spans["row"])
+    nothing = F.from_json(F.lit("[]"), "array<struct<at:int,size:int>>")
+    return base.join(spans, same, "left").select(base["k"].alias(key), base["row"], "n_words", F.coalesce("spans", nothing).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _verified(rows: DataFrame, spots: DataFrame, grams: DataFrame) -> DataFrame:
+    """(k, row, spans, items) of the spots whose words are those of a window; ``spots`` is written."""
+    wanted = spots.select(F.col("k").alias("__k"), F.col("row").alias("__row"), "spots")
+    keys = wanted.select("__k", "__row")
+    if spots.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    same = F.col("k").eqNullSafe(F.col("__k")) & (F.col("row") == F.col("__row"))
+    # rows repeated in full have the same hits
+    texts = rows.join(keys, same, "left_semi").groupBy("k", "row").agg(F.min("text").alias("text"))
+    split = texts.join(wanted, same).select("k", "row", "spots", words("text").alias("w"))
+    told = split.where(F.size("w") > 0).select("k", "row", F.explode_outer(F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), phrase("w", s["at"], s["size"]).alias("gram")))).alias("s")).select("k", "row", "s.*")
+    return told.join(grams.select("size", "gram", "item"), ["size", "gram"]).groupBy("k", "row").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def covered(spans: str) -> Column:

@@ -27,13 +27,22 @@ def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUES[data], at
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+def broken(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts belong to a character that loses a byte."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    lost = np.zeros(len(data) + 1, bool)
+    lost[character[gone]] = True
+    return lost[character]
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, keep: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
     """One row per row of ``docs``: key, kept (binary), n_bytes, n_removed, n_spans, and the columns in ``keep``.
 
     Of a string of ``threshold`` bytes that occurs again, every occurrence but the first (by key, then by
     place) is removed, all its bytes.  Texts are taken whole as UTF-8; a null is empty; shorter
     texts stay as they are.  Rows that repeat a key are documents of their own, in the order of their texts; a row with a null key
-    comes back unchanged and is compared with nothing.  Keys are numbers.
+    comes back unchanged and is compared with nothing.  Keys are numbers.  With ``whole_characters`` ``kept`` is without
+    the rest of a character that loses some of its bytes, so it is text again; the counts stay.
     """
     ship(docs.sparkSession)
     depth = Depth(threshold, min(32, max(1, threshold // 3)), later=True)
@@ -52,10 +61,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                 kind, at, n, _, row = (np.concatenate(v) for v in zip(*found, strict=True))
                 pick = kind == 1
                 gone = covered(offs, row[pick], at[pick], n[pick], threshold)
+                left = ~(broken(data, gone) if whole_characters else gone)
                 kept, removed, spans = [], [], []
                 for a, b in zip(offs[:-1], offs[1:], strict=True):
                     g = gone[a:b]
-                    kept.append(data[a:b][~g].tobytes())
+                    kept.append(data[a:b][left[a:b]].tobytes())
                     removed.append(int(g.sum()))
                     spans.append(int((g[1:] & ~g[:-1]).sum() + g[:1].sum()))
                 size = np.diff(offs)

@@ -321,6 +321,26 @@ def test_decontaminate(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontaminate_in_parts(spark, monkeypatch):
+    """More windows than one broadcast takes, and more documents with hits: the same result."""
+    wanted = {r["doc_id"]: tuple(r) for r in decontaminate.op10_decontaminate(spark, SMALL).collect()}
+    monkeypatch.setattr(decontaminate, "HASHES_A_SCAN", 700)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["doc_id"]: tuple(r) for r in decontaminate.op10_decontaminate(spark, SMALL).collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_decontaminate_a_long_text(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words of a text. "), 230_000), F.lit(item)).alias("text"))
+    r = decontaminate.judged(decontaminate.find_hits(df, spark.createDataFrame([(1, item)], "item_id long, text string"))).first()
+    assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (1_150_020, 20, ["1"], False)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet((1, 0.4, 0.2), 2000)
