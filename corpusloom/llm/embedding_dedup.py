@@ -7,6 +7,7 @@ its first shared pivot only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,25 +81,23 @@ def _describe(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def index(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    """(pivot, id, unit, near): each vector (id, vector) under each of its pivots; what is linked with nothing is left out."""
+    """(pivot, id, copies, unit, near): each vector (id, copies, vector) under each of its pivots."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(batch.schema.get_field_index("vector")), width)
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero((x != 0).any(axis=1))
-            x, ids = x[some], ids[some]
+            ids, copies = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("id", "copies"))
             near = _describe(x, sent.value)
             unit, codes = [r.tobytes() for r in x], [r.astype(np.int32).tobytes() for r in near]
             for a in range(0, len(x), 1000):
                 r, place = grouped(np.full(len(x[a : a + 1000]), near.shape[1]))
                 r += a
                 yield pa.RecordBatch.from_arrays(
-                    [signed(near[r, place]), signed(ids[r]), pa.array([unit[i] for i in r], pa.binary()), pa.array([codes[i] for i in r], pa.binary())], ["pivot", "id", "unit", "near"]
+                    [signed(near[r, place]), signed(ids[r]), signed(copies[r]), pa.array([unit[i] for i in r], pa.binary()), pa.array([codes[i] for i in r], pa.binary())], ["pivot", "id", "copies", "unit", "near"]
                 )
 
-    return rows.mapInArrow(tidy(run), "pivot long, id long, unit binary, near binary")
+    return rows.mapInArrow(tidy(run), "pivot long, id long, copies long, unit binary, near binary")
 
 
 def _compare(table: pa.Table, width: int, threshold: float) -> pa.Table:
@@ -113,16 +112,10 @@ def _compare(table: pa.Table, width: int, threshold: float) -> pa.Table:
     has[np.arange(len(ids))[:, None], np.searchsorted(names, near)] = 1
     before = has[:, : np.searchsorted(names, pivot)]
     a_side, b_side = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(ids)),) * 2
+    weight = rows.column("copies").to_numpy()
     counts = np.zeros(len(ids), np.int64)
-    parent = np.arange(len(ids))
+    top = np.arange(len(ids))  # of what is joined already, the least
     within = not right.any()
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     for s in range(0, len(a_side), _TILE):
         a = a_side[s : s + _TILE]
         b = b_side[s:] if within else b_side
@@ -132,56 +125,71 @@ def _compare(table: pa.Table, width: int, threshold: float) -> pa.Table:
         ours = (shared >= min(SHARED, near.shape[1])) & ((before[a] @ before[b].T) == 0) & (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
         if within:
             ours &= b[None, :] > a[:, None]
-        i, j = np.nonzero(ours)
-        counts += np.bincount(a[i], minlength=len(ids)) + np.bincount(b[j], minlength=len(ids))
-        if len(i):  # one link to each vector for each of the tile's rows suffices to begin with; the rest joins what is left
-            for u, v in zip(a[i].tolist(), b[j].tolist(), strict=True):
-                if parent[u] != parent[v]:
-                    p, q = root(u), root(v)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                    parent[u] = parent[v] = min(p, q)
-    tops = np.array([root(i) for i in range(len(ids))], np.int64) if len(ids) else parent
+        counts[a] += ours @ weight[b]
+        counts[b] += weight[a] @ ours
+        while True:  # join each vector with one of those that it is linked with and not joined yet
+            open_ = ours & (top[a][:, None] != top[b][None, :])
+            i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(i):
+                break
+            _join(top, np.concatenate((a[i], a[open_[:, j].argmax(axis=0)])), np.concatenate((b[open_[i].argmax(axis=1)], b[j])))
     some = np.flatnonzero(counts)
-    return pa.table({"id": signed(ids[some]), "n": signed(counts[some]), "to": signed(ids[tops[some]])})
+    return pa.table({"id": signed(ids[some]), "n": signed(counts[some]), "to": signed(ids[top[some]])})
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, vectors_a_pivot: int = VECTORS_A_PIVOT) -> DataFrame:
-    """One row per row of ``vectors``: key, n_links, component, kept.
+def _join(top: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins u[i] and v[i]: ``top`` then has the least of all that each is joined with."""
+    while (top[u] != top[v]).any():
+        high, low = np.maximum(top[u], top[v]), np.minimum(top[u], top[v])
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top[:] = top[top]
 
-    Links are the pairs with cosine >= ``threshold`` (double precision) that the index finds: those that share SHARED of their
-    DESCRIBED_BY nearest pivots.  A null or zero vector, one that holds a null or a non-finite component, or one of another width than
-    the most common, is linked with nothing.  Rows that repeat a key are one vector, the least; a null key is linked with nothing (component null, kept).
-    ``component`` is the least key reachable over links.  Other columns are not read.
-    """
-    ship(vectors.sparkSession)
-    raw = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = raw.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
-    rows = rows.where(~F.exists("vector", lambda v: v.isNull() | F.isnan(v)))
-    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
-    ids = raw.select("id")
-    if not widths:
-        return ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    width, count = widths[0]["width"], widths[0]["n"]
-    pivots = choose_pivots(rows.where(F.size("vector") == width), width, int(min(max(count // vectors_a_pivot, PIVOTS[0]), PIVOTS[1])))
+
+def _found(rows: DataFrame, width: int, count: int, threshold: float, vectors_a_pivot: int) -> DataFrame | None:
+    """(id, n, to): verified links among ``rows`` (id, copies, vector), all of one width; None where nothing can be linked."""
+    pivots = choose_pivots(rows, width, int(min(max(count // vectors_a_pivot, PIVOTS[0]), PIVOTS[1])))
     if not len(pivots):
-        return ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
+        return None
     lists = index(rows, pivots, width)
     sizes = lists.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
     dealt = (
         lists.join(F.broadcast(sizes), "pivot").withColumn("own", own)  # a row for each pivot
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"), "id", "unit", "near")
+        .select("pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"), "id", "copies", "unit", "near")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         return _compare(table, width, threshold)
 
-    found = cut(dealt.groupBy("pivot", "lo", "hi").applyInArrow(compare, "id long, n long, to long"))
-    links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    groups = components(found.select(F.col("id").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "id")
-    out = ids.join(links, "id", "left").join(groups, "id", "left")
+    return dealt.groupBy("pivot", "lo", "hi").applyInArrow(compare, "id long, n long, to long")
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, vectors_a_pivot: int = VECTORS_A_PIVOT) -> DataFrame:
+    """One row per row of ``vectors``: key, n_links, component, kept.
+
+    Links are the pairs of vectors of one width with cosine >= ``threshold`` (double precision) that the index finds: those that
+    share SHARED of their DESCRIBED_BY nearest pivots.  Each width has an index of its own.  Equal vectors are indexed once, with the least of
+    their keys, and are all linked with each other.  A null or zero vector and one that holds a null or a non-finite component
+    is linked with nothing.  Rows that repeat a key are one vector, the least; a null key is linked with nothing (component null, kept).
+    ``component`` is the least key reachable over links.  Keys are numbers.  Other columns are not read.
+    """
+    ship(vectors.sparkSession)
+    raw = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = raw.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
+    fit = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vector", lambda v: v != 0)
+    rows = rows.where(fit).select("id", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2"), "vector")
+    equal = cut(rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
+    widths = equal.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).where("n > 1").orderBy("width").collect()  # a row for each width
+    found = [f for w in widths if (f := _found(equal.where(F.size("vector") == w["width"]).select("id", "copies", "vector"), w["width"], w["n"], threshold, vectors_a_pivot)) is not None]
+    nothing = vectors.sparkSession.createDataFrame([], "id long, n long, to long")
+    links = cut(functools.reduce(DataFrame.unionByName, found, nothing))
+    others = links.groupBy("id").agg(F.sum("n").alias("others"))
+    groups = components(links.select(F.col("id").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "id")
+    told = equal.join(others, "id", "left").join(groups, "id", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    told = rows.select("id", "k1", "k2").join(told.where("n_links > 0"), ["k1", "k2"]).drop("k1", "k2")
+    out = raw.select("id").join(told, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -219,6 +219,32 @@ def test_embeddings_hard_pairs(spark):
     assert (got.n_links.to_numpy() <= n).all() and got.n_links.sum() / n.sum() > 0.99  # the large group spans several blocks
 
 
+def test_embeddings_many_pivots(spark):
+    """The measured recall at the most pivots, of pairs right above the threshold."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(rng.normal(size=(10_000, 64)))
+    z = rng.normal(size=a.shape)
+    z = unit(z - (z * a).sum(1)[:, None] * a)
+    c = rng.uniform(0.9, 0.91, size=(10_000, 1))
+    b = c * a + np.sqrt(1 - c * c) * z
+    pivots = unit(rng.normal(size=(embedding_dedup.PIVOTS[1], 64)))
+    near = [embedding_dedup._describe(x, pivots) for x in (a, b)]
+    shared = (near[0][:, :, None] == near[1][:, None, :]).sum(axis=(1, 2))
+    assert (shared >= embedding_dedup.SHARED).mean() > 0.96
+
+
+def test_equal_embeddings(spark):
+    """Equal vectors count one link with each other and with whatever one of them is linked with."""
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(30)] + [(i, [1.0, 0.2, 0.0]) for i in range(30, 50)] + [(50, [0.0, 0.0, 1.0]), (51, [1.0, 0.5, 0.0])]
+    got = {r["vec_id"]: tuple(r)[1:3] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate(links.tolist()))
+    assert {v[1] for k, v in got.items() if k != 50} == {0}
+
+
 # --- filters and classifiers
 
 
