@@ -265,6 +265,21 @@ def test_url_filter(spark):
     assert all(r["verdict"] == "block" for r in rows if r["rule"] is None and ("spam-farm" in r["host"] or "cheap-pills" in r["host"]))
 
 
+def test_url_model():
+    """Hosts that the table doesn't have are told by their words, whatever the path."""
+    w, b = url_filter.fit([(*url_filter.split_url(u), y) for u, y in url_filter.LABELLED])
+    known = {url_filter.split_url(u)[0].rsplit(".", 1)[0] for u, _ in url_filter.LABELLED}
+
+    def blocked(host, path):
+        at = url_filter.slots(host, path)
+        return w[at].sum() / np.sqrt(len(at)) + b >= 0
+
+    for host in ("online-casino24.com", "cheap-viagra.net", "pills-discount.org", "payday-loans.com", "free-poker-bonus.info", "sexcams.net", "spam-mailing.com", "win-an-iphone.com"):
+        assert host.rsplit(".", 1)[0] not in known and blocked(host, "/en/1"), host
+    for host in ("www.national-library.org", "blog.martha.net", "gazette.com", "m.history-today.com", "en.encyclopedia.org", "cathedral.info", "village-school.org", "astronomy.net"):
+        assert host.rsplit(".", 1)[0] not in known and not blocked(host, "/article/7"), host
+
+
 def test_url_rules(spark):
     urls = ["http://example.net/en/1", "http://xexample.net/en/1", "http://net", "http://net/", "http://a.example.com/de/", "http://example.com/dex", "http://a.org/fr/x", "http://a.organ/fr/x", "HTTP://A.ORG/fr/#x", "http://a.org/FR/", "x://y://z/", "http://b.net?u=http://c.net/d", "http://b.net#/e"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
