@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -18,19 +18,39 @@ def place(*columns: str, seed: int = 42) -> Column:
 
 
 def negative_samples(vertices: DataFrame, edges: DataFrame, count: int, seed: int = 42, bucket: int = 8) -> DataFrame:
-    """About ``count`` pairs (src < dst) that are no edges, the first by ``place`` of those drawn.
+    """``count`` pairs (src < dst) that are no edges, or all there are, the first by ``place`` of those drawn.
 
     Rather than from all pairs, pairs are drawn from vertices that meet in small random buckets, in as many rounds as give three
-    times the pairs wanted: an equi-join whose size follows ``count``.  A dense graph may have fewer.
+    times the pairs wanted: an equi-join whose size follows ``count``.  Rounds are doubled until enough are drawn.  Where more than half of
+    all that are no edges are wanted, every pair is looked at, which then are no more than twice the pairs wanted, and the edges.
     """
     n = vertices.count()
-    buckets, rounds = max(1, n // bucket), max(2, -(-6 * count // max(1, n * (bucket - 1))))
+    known = edges.select("src", "dst").distinct()
+    free = n * (n - 1) // 2 - known.count()
+    rounds = max(2, -(-6 * count // max(1, n * (bucket - 1))))
+    while True:
+        every = 2 * count > free
+        pairs = _all_pairs(vertices, max(1, n // 1000)) if every else _drawn_pairs(vertices, max(1, n // bucket), rounds, seed)
+        fresh = pairs.join(known, ["src", "dst"], "left_anti")
+        if every or fresh.count() >= count:
+            return fresh.withColumn("place", place("src", "dst", seed=seed)).orderBy("place").limit(count).drop("place")
+        rounds *= 2
+
+
+def _drawn_pairs(vertices: DataFrame, buckets: int, rounds: int, seed: int) -> DataFrame:
     drawn = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     number = F.conv(F.left(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.col("round").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("long")
     drawn = drawn.withColumn("bucket", F.pmod(number, F.lit(buckets)))
-    pairs = drawn.withColumnRenamed("id", "src").join(drawn.withColumnRenamed("id", "dst"), ["round", "bucket"]).where("src < dst").select("src", "dst").distinct()
-    fresh = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return fresh.withColumn("place", place("src", "dst", seed=seed)).orderBy("place").limit(count).drop("place")
+    return drawn.withColumnRenamed("id", "src").join(drawn.withColumnRenamed("id", "dst"), ["round", "bucket"]).where("src < dst").select("src", "dst").distinct()
+
+
+def _all_pairs(vertices: DataFrame, blocks: int) -> DataFrame:
+    """Every pair, each pair of blocks in a group of its own."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = vertices.select("id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    a = dealt.select(F.col("id").alias("src"), F.col("own").alias("i"), F.col("other").alias("j"))
+    b = dealt.select(F.col("id").alias("dst"), F.col("other").alias("i"), F.col("own").alias("j"))
+    return a.join(b, ["i", "j"]).where("src < dst").select("src", "dst")
 
 
 def labelled_pairs(vertices: DataFrame, edges: DataFrame, seed: int = 42, ratio: float = 1.0) -> DataFrame:
@@ -49,23 +69,33 @@ def node_features(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def split(pairs: DataFrame, share: float = 0.8, label: str = "label", seed: int = 42) -> DataFrame:
-    """``pairs`` with ``part``: train for the first ``share`` of each label by ``place``, else test."""
-    from pyspark.sql import Window
+    """``pairs`` with ``part``: train for the first ``share`` of each label by ``place``, else test.
 
-    w = Window.partitionBy(label).orderBy(place("src", "dst", seed=seed))
-    at = pairs.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(label)))
-    return at.withColumn("part", F.when(F.col("__r") <= F.floor(F.col("__n") * share), "train").otherwise("test")).drop("__r", "__n")
+    Places are counted in 4096 equal parts first; a row's rank is what lies in the parts before its own and its rank within that.
+    """
+    at = pairs.withColumn("__place", place("src", "dst", seed=seed)).withColumn("__part", F.left("__place", F.lit(3)))
+    parts = at.groupBy(label, "__part").agg(F.count("*").alias("__c"))
+    every = Window.partitionBy(label)
+    before = F.coalesce(F.sum("__c").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(label, "__part", before.alias("__before"), F.sum("__c").over(every).alias("__n"))  # at most 4096 rows a label
+    ranked = at.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__part").orderBy("__place")))
+    told = ranked.alias("a").join(parts.alias("b"), (F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}"))) & (F.col("a.__part") == F.col("b.__part")))
+    return told.select(*(F.col(f"a.{c}") for c in pairs.columns), F.when(F.col("__before") + F.col("__r") <= F.floor(F.col("__n") * share), "train").otherwise("test").alias("part"))
 
 
 def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: accuracy, precision, recall, f1 at one half, and the area under the curve by ranks (ties count half)."""
     p, y = F.col(score) >= 0.5, F.col(label) == 1
     c = scored.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
-    from pyspark.sql import Window
-
     by = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = by.select((F.col("pos") * (below + F.col("neg") / 2)).alias("won"), "pos", "neg").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    # negatives below a score: those in lower parts of the range of scores, and those below it in its own part
+    least, most = by.agg(F.min("s"), F.max("s")).first()
+    wide = (most - least) if most is not None and most > least else 1.0
+    by = by.withColumn("part", F.least(F.floor((F.col("s") - F.lit(least if least is not None else 0.0)) / F.lit(wide) * 4096), F.lit(4095)))
+    lower = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = by.groupBy("part").agg(F.sum("neg").alias("neg")).select("part", lower(Window.orderBy("part")).alias("before"))  # at most 4096 rows
+    below = F.col("before") + lower(Window.partitionBy("part").orderBy("s"))
+    auc = by.join(parts, "part").select((F.col("pos") * (below + F.col("neg") / 2)).alias("won"), "pos", "neg").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     precision, recall = tp / F.nullif(tp + fp, F.lit(0)), tp / F.nullif(tp + fn, F.lit(0))
     out = c.select((tp + tn).alias("right"), (tp + fp + fn + tn).alias("all"), F.coalesce(precision, F.lit(0.0)).alias("precision"), F.coalesce(recall, F.lit(0.0)).alias("recall"))

@@ -15,13 +15,26 @@ def char_frequency(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(F.explode(characters(F.col(text))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    return F.explode(F.concat(*(ngrams(text, n) for n in sizes)))
+def _summed(texts: DataFrame, text: str, sizes: Sequence[int], by: Sequence[str], more: DataFrame | None = None) -> DataFrame:
+    """(by..., gram, cnt) of all sizes, and those of ``more`` (by..., gram).
+
+    Only the longest grams are taken apart place by place; shorter ones begin them, but for those within the last few characters
+    of a text.  So each place gives one row to the first sum, and what is left of that gives the other sizes.
+    """
+    most = max(sizes)
+    last = [ngrams(F.right(F.col(text), F.lit(most - 1)), n) for n in sizes if n < most]
+    longest = texts.select(*by, F.explode(F.concat(ngrams(F.col(text), most), *last)).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("cnt"))
+    if last:
+        begun = F.when(F.length("gram") == most, F.array(*(F.left("gram", F.lit(n)) for n in sizes))).otherwise(F.array("gram"))
+        longest = longest.select(*by, F.explode(begun).alias("gram"), "cnt")
+    if more is not None:
+        longest = longest.unionByName(more.groupBy(*by, "gram").agg(F.count("*").alias("cnt")))
+    return longest.groupBy(*by, "gram").agg(F.sum("cnt").alias("cnt")) if last or more is not None else longest
 
 
 def ngram_counts(texts: DataFrame, text: str, sizes: Sequence[int] = (1, 2, 3, 4), by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, gram, cnt): n-grams within each text, all sizes in one pass; summed on the map side before the shuffle."""
-    return texts.select(*by, _grams(F.col(text), sizes).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("cnt")).select(*by, F.length("gram").alias("n"), "gram", "cnt")
+    return _summed(texts, text, sizes, by).select(*by, F.length("gram").alias("n"), "gram", "cnt")
 
 
 def ngram_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -51,13 +64,11 @@ def joined_ngram_counts(texts: DataFrame, author: str, order: str, text: str, si
     characters before it.  The latter come from short heads and tails alone, so no text is shuffled and no author's texts meet in a task.
     """
     reach = max(sizes) - 1
-    within = texts.select(author, _grams(F.col(text), sizes).alias("gram"))
-    if reach:
-        ends = texts.where(F.length(text) > 0).select(author, order, F.left(text, F.lit(reach)).alias("head"), F.right(text, F.lit(reach)).alias("tail"))
-        w = Window.partitionBy(author).orderBy(order)
-        before = F.right(F.concat(*(F.coalesce(F.lag("tail", i).over(w), F.lit("")) for i in range(reach, 0, -1))), F.lit(reach))
-        ends = ends.withColumn("before", before)
-        across = [ends.select(author, F.explode(ngrams(F.concat(F.right("before", F.lit(n - 1)), F.left("head", F.lit(n - 1))), n)).alias("gram")) for n in sizes if n > 1]
-        for part in across:
-            within = within.unionByName(part)
-    return within.groupBy(author, "gram").agg(F.count("*").alias("cnt")).select(author, F.length("gram").alias("n"), "gram", "cnt")
+    if not reach:
+        return ngram_counts(texts, text, sizes, (author,))
+    ends = texts.where(F.length(text) > 0).select(author, order, F.left(text, F.lit(reach)).alias("head"), F.right(text, F.lit(reach)).alias("tail"))
+    w = Window.partitionBy(author).orderBy(order)
+    before = F.right(F.concat(*(F.coalesce(F.lag("tail", i).over(w), F.lit("")) for i in range(reach, 0, -1))), F.lit(reach))
+    across = F.concat(*(ngrams(F.concat(F.right("before", F.lit(n - 1)), F.left("head", F.lit(n - 1))), n) for n in sizes if n > 1))
+    more = ends.withColumn("before", before).select(author, F.explode(across).alias("gram"))
+    return _summed(texts, text, sizes, (author,), more).select(author, F.length("gram").alias("n"), "gram", "cnt")

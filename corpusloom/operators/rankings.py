@@ -38,6 +38,11 @@ def volume_counts(docs: DataFrame, volume: str) -> DataFrame:
     return docs.groupBy(F.col(volume).alias("volume")).agg(F.count("*").alias("docs"))
 
 
+def by_volume(counts: DataFrame) -> DataFrame:
+    """Counts with their place in the order of volumes."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy("volume")))  # a row for each volume
+
+
 def length_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row over the raw texts: total, mean, longest and shortest; of equally long ones the last by key."""
     n = F.length(F.coalesce(F.col(text), F.lit("")))

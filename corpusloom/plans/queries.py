@@ -354,31 +354,36 @@ def pair_distance(spark: SparkSession, folder: str) -> DataFrame:
     return graph.pair_distance(edges, vertices.select(F.col("id").alias("src"), F.lit(1).cast(dict(vertices.dtypes)["id"]).alias("dst")))
 
 
-@query("betweenness")
+_COUNTED = ["c1 AS (SELECT src, dst, 1.0::DOUBLE AS k FROM s)", *(f"c{i} AS (SELECT c.src, s.dst, sum(c.k) AS k FROM c{i - 1} c JOIN s ON c.dst = s.src JOIN sp ON sp.src = c.src AND sp.dst = s.dst AND sp.dist = {i} GROUP BY ALL)" for i in range(2, 9))]
+
+
+@query("betweenness", f"""{_PATHS}, {", ".join(_COUNTED)}, ct AS ({" UNION ALL ".join(f"SELECT src, dst, k, {i} AS dist FROM c{i}" for i in range(1, 9))}),
+b AS (SELECT x.dst AS id, sum(x.k * y.k / z.k) AS b FROM ct x JOIN ct y ON x.dst = y.src JOIN ct z ON z.src = x.src AND z.dst = y.dst AND z.dist = x.dist + y.dist GROUP BY x.dst)
+SELECT v.id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM v LEFT JOIN b USING (id), nn""")
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(*edges_only(spark, folder))
+    return graph.betweenness(*edges_only(spark, folder)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 # --- pages and crawls ------------------------------------------------------------------------------------------------
 
-_BARE = r"""regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g')"""
+_BARE = r"""regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g')"""
 
 
 def _skip_sql(words: tuple[str, ...]) -> str:
     return " AND ".join(f"NOT contains(s, '{w}')" for w in words)
 
 
-@query("page_text", rf"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_BARE}, '<[^>]+>', '', 'g'), '&[^;]+;', '', 'g'), '[ \t\x0B\f\r]+', ' ', 'g') AS t FROM pages WHERE html IS NOT NULL),
+@query("page_text", rf"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_BARE}, '<[^>]+>', '', 'g'), '&[^;]+;', '', 'g'), '[ \t\x0B\f\r]+', ' ', 'g') AS t FROM pages),
 l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND {_skip_sql(T.PLAIN_SKIP)}) AS ls FROM x)
 SELECT page_id, trim(array_to_string(ls, chr(10))) AS content FROM l""")
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").where("html IS NOT NULL").select("page_id", T.page_text(F.col("html"), collapse=False).alias("content"))
+    return table(spark, folder, "pages").select("page_id", T.page_text(F.coalesce("html", F.lit("")), collapse=False).alias("content"))
 
 
-@query("page_text_collapsed", rf"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_BARE}, '<[^>]+>', '', 'g'), '&[^;]+;', '', 'g'), '\s+', ' ', 'g')) AS s FROM pages WHERE html IS NOT NULL)
+@query("page_text_collapsed", rf"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_BARE}, '<[^>]+>', '', 'g'), '&[^;]+;', '', 'g'), '\s+', ' ', 'g')) AS s FROM pages)
 SELECT page_id, CASE WHEN {_skip_sql(T.PLAIN_SKIP)} THEN s ELSE '' END AS content FROM x""")
 def page_text_collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").where("html IS NOT NULL").select("page_id", T.page_text(F.col("html")).alias("content"))
+    return table(spark, folder, "pages").select("page_id", T.page_text(F.coalesce("html", F.lit(""))).alias("content"))
 
 
 @query("page_rich_text")
@@ -386,7 +391,7 @@ def page_rich_text(spark: SparkSession, folder: str) -> DataFrame:
     from ..session import ship
 
     ship(spark)
-    return table(spark, folder, "pages").where("html IS NOT NULL").select("page_id", T.rich_page_text(F.col("html"), collapse=False).alias("content"))
+    return table(spark, folder, "pages").select("page_id", T.rich_page_text(F.coalesce("html", F.lit("")), collapse=False).alias("content"))
 
 
 @query("page_status", r"""SELECT page_id, CASE WHEN page_id % 50 = 0 THEN 'timeout' WHEN page_id % 20 = 0 THEN 'http_error_403' WHEN contains(lower(html), 'spam') THEN 'blocked' WHEN contains(lower(html), 'pills') THEN 'captcha'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean
 from ..operators import graph, mentions
+from ..session import cut
 
 LETTERS = "[^a-z]"
 
@@ -34,7 +35,7 @@ def supplier_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def supplier_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers, and the pairs that meet more than a standard deviation above the mean (src, dst, weight)."""
-    pairs = supplier_pairs(spark, folder)
+    pairs = cut(supplier_pairs(spark, folder))  # read several times
     mean, spread = pairs.agg(F.avg("weight"), F.stddev_pop("weight")).first()
     strong = pairs.where(F.col("weight") > F.lit((mean or 0.0) + (spread or 0.0)))
     return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id")), strong.select(F.col("p1").alias("src"), F.col("p2").alias("dst"), "weight")

@@ -97,13 +97,23 @@ def _json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
 
 
 def read_corpus(spark: SparkSession, path: str, volumes: str | None = None) -> DataFrame:
-    """Poems of a corpus file, or of the volume files where there is none."""
-    found = _json(spark, path, T.StructType([T.StructField("poems", T.ArrayType(POEM))]))
-    if found is None:
+    """Poems of a corpus object, or of the volume files where there is none.
+
+    The object stands in one file, or line by line in a folder (see ``reports``), which is read in parallel.  One without poems is an error.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
         if volumes is None:
-            raise FileNotFoundError(path)
+            raise FileNotFoundError(path) from None
         return read_volumes(spark, volumes).select("title", "volume", "content", "author")
-    return found.select(F.explode("poems").alias("p")).select("p.*")
+    if lines.where(F.startswith("value", F.lit('{"metadata"')) & F.endswith("value", F.lit('"poems": ['))).isEmpty():
+        found = spark.read.schema(T.StructType([T.StructField("poems", T.ArrayType(POEM))])).json(path, multiLine=True)
+        if found.where("poems IS NOT NULL").isEmpty():
+            raise ValueError(f"no poems in {path}")
+        return found.select(F.explode("poems").alias("p")).select("p.*")
+    poems = lines.select(F.regexp_replace("value", "^,", "").alias("v")).where(F.startswith("v", F.lit('{"title"')))
+    return poems.select(F.explode(F.from_json(F.concat(F.lit("["), F.col("v"), F.lit("]")), T.ArrayType(POEM))).alias("p")).select("p.*")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

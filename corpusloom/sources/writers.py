@@ -83,12 +83,6 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     graph_json(nodes, edges).coalesce(1).write.mode("overwrite").text(folder)
 
 
-def write_corpus(poems: DataFrame, folder: str) -> None:
-    """Poems, a JSON object each, and the totals: <folder>/poems, <folder>/metadata."""
-    poems.select("title", "volume", "content", "author").write.mode("overwrite").json(f"{folder}/poems")
-    poems.agg(F.count("*").alias("total_poems"), F.count_distinct("author").alias("total_authors"), F.count_distinct("volume").alias("total_volumes")).write.mode("overwrite").json(f"{folder}/metadata")
-
-
 def report(rows: DataFrame, title: str, line: Column, order: str) -> DataFrame:
     """One row ``value``: a Markdown report with a line for each of a few rows."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))

@@ -146,3 +146,21 @@ def test_circuits():
     h = linkpred.Hybrid()
     losses = h.train(x, y)
     assert losses[-1] < losses[0] and ((0 < h.score(x)) & (h.score(x) < 1)).all()
+
+
+def test_negative_samples_of_a_dense_graph(spark):
+    """All pairs that are no edges are found where as many are wanted, and as many as are wanted otherwise."""
+    import random
+
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    edges = random.Random(1).sample(pairs, 220)
+    v, e = spark.range(30), spark.createDataFrame(edges, "src long, dst long")
+    for count in (215, 300, 120, 90):
+        found = [tuple(r) for r in linkpred.negative_samples(v, e, count).collect()]
+        assert len(found) == len(set(found)) == min(count, 215) and not set(found) & set(edges)
+
+
+def test_split_is_exact(spark):
+    some = spark.createDataFrame([(i, i + 1, int(i % 3 == 0)) for i in range(1000)], "src long, dst long, label int")
+    got = {(r["label"], r["part"]): r["count"] for r in linkpred.split(some).groupBy("label", "part").count().collect()}
+    assert got == {(1, "train"): 267, (1, "test"): 67, (0, "train"): 532, (0, "test"): 134}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from corpusloom.plans import files  # noqa: F401  adds its queries
 from corpusloom.plans.queries import QUERIES, SQL
 
 from .conftest import DATA

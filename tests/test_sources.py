@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import catalog
-from corpusloom.sources import readers, writers
+from corpusloom.operators import catalog, ngrams, rankings
+from corpusloom.sources import readers, reports, writers
 
 from .conftest import rows
 
@@ -107,9 +108,37 @@ def test_writers(spark, tmp_path):
     books = spark.createDataFrame([("u", "T", None, "text")], "urn string, title string, author string, content string")
     assert books.select(writers.book_text(books, {"title": "書名", "author": "作者"})).first()[0] == "書名: T\n" + "=" * 50 + "\n\ntext"
     writers.write_books(books, str(tmp_path / "books"), "urn", {"title": "書名"})
-    poems = spark.createDataFrame([("t", 1, "c", "a")], "title string, volume int, content string, author string")
-    writers.write_corpus(poems, str(tmp_path / "corpus"))
-    assert spark.read.json(str(tmp_path / "corpus/metadata")).first()["total_poems"] == 1
+
+
+@pytest.mark.parametrize("one_file", [True, False])
+def test_corpus_object(spark, tmp_path, one_file):
+    """It is valid JSON whatever is in it, and is read as it was written."""
+    poems = [("t", 1, 'c "quoted"\n,{"title"', "a"), ("t", 1, 'c "quoted"\n,{"title"', "a"), ("u", 2, None, "b"), (None, 1, "d", None)]
+    df = spark.createDataFrame(poems, "title string, volume int, content string, author string").repartition(3)
+    reports.write_corpus(df, str(tmp_path / "corpus"), "now", one_file)
+    files = sorted((tmp_path / "corpus").glob("part*"))
+    found = json.loads("".join(f.read_text(encoding="utf-8") for f in files))
+    assert sorted(map(repr, [(p["title"], p["volume"], p["content"], p["author"]) for p in found["poems"]])) == sorted(map(repr, poems))
+    assert found["metadata"] == {"total_poems": 4, "total_authors": 2, "total_volumes": 2, "generated_at": "now"}
+    assert found["authors"] == {"statistics": {"total_authors": 2, "avg_poems_per_author": 1.5, "single_poem_authors": 1}, "top_authors": {"a": 2, "b": 1}}
+    assert found["volumes"] == {"statistics": {"total_volumes": 2, "avg_poems_per_volume": 2.0}, "volume_poem_counts": {"1": 3, "2": 1}}
+    assert rows(readers.read_corpus(spark, str(tmp_path / "corpus"))) == sorted(poems, key=repr)
+    reports.write_corpus(df.limit(0), str(tmp_path / "none"), "now", one_file)
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part*"))))["poems"] == []
+    (tmp_path / "other.json").write_text('{"x": 1}')
+    with pytest.raises(ValueError, match="no poems"):
+        readers.read_corpus(spark, str(tmp_path / "other.json"))
+
+
+def test_details_object(spark, tmp_path):
+    df = spark.createDataFrame([("李 \"白\"", 1, "abab"), ("b", 2, "abc")], "author string, id int, t string")
+    details = reports.author_details(rankings.author_counts(df, "author"), ngrams.joined_ngram_counts(df, "author", "id", "t"), k=1)
+    reports.write_object(reports.detail_lines(details, "now"), str(tmp_path / "d"))
+    found = json.loads("".join(f.read_text(encoding="utf-8") for f in sorted((tmp_path / "d").glob("part*"))))
+    assert found["metadata"] == {"total_authors": 2, "total_poems": 2, "generated_at": "now", "note": reports.DETAILS_NOTE}
+    assert found["author_statistics"]["李 \"白\""] == {"poem_count": 1, "ngram_counts": {
+        "1gram": {"unique_count": 2, "total_count": 4, "top_ngrams": [{"ngram": "a", "count": 2}]}, "2gram": {"unique_count": 2, "total_count": 3, "top_ngrams": [{"ngram": "ab", "count": 2}]},
+        "4gram": {"unique_count": 1, "total_count": 1, "top_ngrams": [{"ngram": "abab", "count": 1}]}}}
 
 
 def test_table_writers(spark, tmp_path):
