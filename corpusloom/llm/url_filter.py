@@ -21,7 +21,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The small labelled table: 1 for a url that a text crawl does not want.  Hosts and paths are made of common words of either kind: what sells
 #: pills, bets, loans and links, and what publishes texts.  ``filter_urls`` takes any other table of (url, label).
 _SELLS = ("discount-pills", "pillstore24", "cheapmeds-online", "buy-cheap-watches", "casino-royal-bonus", "luckyslots", "bet-and-win", "pokerchips-free", "payday-loans-now", "instant-credit4u",
-    "hot-dating-cams", "xxx-videos", "sexy-chat", "free-iphone-win", "prize-claim", "crypto-profit-bot", "forex-miracle", "seo-link-farm", "backlinks-farming", "spammers-mail", "bulk-spam-mailer", "cheap-spam-traffic", "cheapest-loans", "replica-handbags", "viagra-rx", "weightloss-miracle", "torrent-cracks")
+    "hot-dating-cams", "xxx-videos", "sexy-chat", "free-iphone-win", "prize-claim", "crypto-profit-bot", "forex-miracle", "seo-link-farm", "backlinks-farming", "spammers-mail", "bulk-spam-mailer", "cheap-spam-traffic", "cheapest-loans", "cheap-designer-bags", "pill-market", "mega-pills", "sex-cams-live", "cams4free", "spam-hosting", "link-farmers", "online-betting", "replica-handbags", "viagra-rx", "weightloss-miracle", "torrent-cracks")
 _PUBLISHES = ("www.citylibrary", "news.riverton", "blog.gardening", "m.weather", "university-press", "stories", "history", "science-journal", "museum", "docs.software", "wiki.languages", "schools",
     "radio", "theatre", "cooking", "travel.notes", "health", "council", "archive", "poetry", "www.mountains", "blog.annette", "m.herald", "physics", "orchestra", "the-observer", "books", "maritime", "www.northern", "letters",
     "harbour", "nature", "en.reference", "architecture", "statistics", "m.morning", "blog.thomas", "www.institute", "trains", "forest",
