@@ -168,9 +168,37 @@ def map_runs(docs: DataFrame, symbols: Symbols, depth: Depth) -> DataFrame:
     return docs.select("id", "dup", "text").mapInArrow(tidy(run), RUN_SCHEMA)
 
 
-def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
-    """(id, at, n, kind, ah): kind 1 for repeated runs, and with ``apart`` kind 3 for one run of each content that shares its first digit with another."""
-    dealt = records.repartition(shuffle_partitions(records.sparkSession), "ah").sortWithinPartitions("ah", "ch", "id", "at")
+#: Documents that are looked at for frequent digits, and the share of them (and the number, at least) that must have one.
+SAMPLE_DOCS, FREQUENT_SHARE, FREQUENT_LEAST = 10_000, 0.002, 20
+
+
+def frequent(docs: DataFrame, symbols: Symbols, depth: Depth) -> tuple[list[int], list[int]]:
+    """First digits of runs and cores of cells that very many documents have, seen in a sample of ``docs`` (id, dup, text).
+
+    They decide only how records are dealt, never what is found.  Their number is bounded by that of the sample's runs over FREQUENT_LEAST.
+    """
+    n = docs.count()
+    if n < FREQUENT_LEAST:
+        return [], []
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / n)) + 1).select("id", "dup", "text")
+    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * min(n, SAMPLE_DOCS)))
+    digits = lambda records: [r["ah"] for r in records.where(F.col("kind") != KNOWN).groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("ah").collect()]
+    records = map_runs(some, symbols, depth)
+    firsts = digits(records)
+    if not firsts:
+        return [], []
+    hot = records.where((F.col("kind") != KNOWN) & F.col("ah").isin(firsts)).select("id", "at", "n", F.lit(3).cast("long").alias("kind"), "ah")
+    return firsts, digits(cells(some.join(spans_by_row(hot), ["id", "dup"]), symbols, depth))
+
+
+def resolve(records: DataFrame, later: bool, apart: bool, hot: Sequence[int] = ()) -> DataFrame:
+    """(id, at, n, kind, ah): kind 1 for repeated runs, and with ``apart`` kind 3 for one run of each content that shares its first digit with another.
+
+    Runs whose first digit is ``hot`` are dealt by their content, so they meet in no one task, and count as sharing that digit.
+    """
+    key = F.when(F.col("ah").isin(list(hot)), F.col("ch")).otherwise(F.col("ah")) if hot else F.col("ah")
+    dealt = records.repartition(shuffle_partitions(records.sparkSession), key).sortWithinPartitions("ah", "ch", "id", "at")
+    shared = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_ah = last_ch = None
@@ -213,7 +241,7 @@ def resolve(records: DataFrame, later: bool, apart: bool) -> DataFrame:
                         g = np.cumsum(new_a[heads])  # groups of contents by first digit; 0: goes on from the batch before
                         sizes = np.bincount(g)
                         before = 1 if only is not None else 2  # contents of the group that goes on: one is held, or told already
-                        many = sizes[g] > 1
+                        many = (sizes[g] > 1) | np.isin(a[heads], shared)
                         if sizes[0]:
                             many[g == 0] = True
                             if before == 1:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, grouped, mix, signed, slices, texts, tidy, words
 from ._spark import load, ship, shuffle_partitions
-from ._windows import RUN_SCHEMA, Depth, column, covered, grouped_here, map_runs, numbered, placed, resolve, span_arrays, spans_by_row, windows_of
+from ._windows import RUN_SCHEMA, Depth, column, covered, frequent, grouped_here, map_runs, numbered, placed, resolve, span_arrays, spans_by_row, windows_of
 
 WINDOW = 35
 #: The most passages of one automaton; a shard with more is told by sorting its windows, with the same result.
@@ -115,10 +115,14 @@ def _passages(joined: DataFrame, depth: Depth) -> DataFrame:
     return joined.mapInArrow(tidy(run), "ah long, id long, at long, n long, words binary")
 
 
-def _match(passages: DataFrame, depth: Depth, most: int) -> DataFrame:
-    """Records (see ``_windows``) of repeated windows: known ones from the automata, open ones of shards that are too large."""
-    large = passages.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > most).select("ah")
-    return _automata(passages.join(large, "ah", "left_anti"), depth).unionByName(_windows(passages.join(large, "ah", "left_semi"), depth))
+def _match(passages: DataFrame, depth: Depth, most: int, hot: Sequence[int]) -> DataFrame:
+    """Records (see ``_windows``) of repeated windows: known ones from the automata, open ones of shards that are too large, as those of ``hot`` digits."""
+    rest, out = passages, None
+    if hot:
+        rest, out = passages.where(~F.col("ah").isin(list(hot))), _windows(passages.where(F.col("ah").isin(list(hot))), depth)
+    large = rest.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > most).select("ah")
+    told = _automata(rest.join(large, "ah", "left_anti"), depth).unionByName(_windows(rest.join(large, "ah", "left_semi"), depth))
+    return told if out is None else told.unionByName(out)
 
 
 def _automata(passages: DataFrame, depth: Depth) -> DataFrame:
@@ -185,8 +189,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     ship(docs.sparkSession)
     depth = Depth(window, min(8, max(1, window // 3)), later=False)
     base = numbered(docs, key, text)
-    joined = base.join(spans_by_row(resolve(map_runs(base, _symbols, depth), later=False, apart=True)), ["id", "dup"], "left")
-    single = spans_by_row(resolve(_match(_passages(joined, depth), depth, shard_passages), later=False, apart=False)).withColumnRenamed("spans", "singles")
+    hot, _ = frequent(base, _symbols, depth)
+    joined = base.join(spans_by_row(resolve(map_runs(base, _symbols, depth), later=False, apart=True, hot=hot)), ["id", "dup"], "left")
+    single = spans_by_row(resolve(_match(_passages(joined, depth), depth, shard_passages, hot), later=False, apart=False)).withColumnRenamed("spans", "singles")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

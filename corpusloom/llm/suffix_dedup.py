@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ._bytes import BYTE_VALUES, slices, texts, tidy
 from ._spark import load, ship
-from ._windows import Depth, cells, covered, map_runs, numbered, resolve, span_arrays, spans_by_row, take_apart
+from ._windows import Depth, cells, covered, frequent, map_runs, numbered, resolve, span_arrays, spans_by_row, take_apart
 
 THRESHOLD = 100
 
@@ -47,9 +47,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     ship(docs.sparkSession)
     depth = Depth(threshold, min(32, max(1, threshold // 3)), later=True)
     base = numbered(docs, key, text, keep)
-    found = spans_by_row(resolve(map_runs(base, _symbols, depth), later=True, apart=True))
+    runs, cores = frequent(base, _symbols, depth)
+    found = spans_by_row(resolve(map_runs(base, _symbols, depth), later=True, apart=True, hot=runs))
     joined = base.join(found, ["id", "dup"], "left")
-    finer = spans_by_row(resolve(cells(joined, _symbols, depth), later=True, apart=True)).withColumnRenamed("spans", "finer")
+    finer = spans_by_row(resolve(cells(joined, _symbols, depth), later=True, apart=True, hot=cores)).withColumnRenamed("spans", "finer")
     single = take_apart(base.join(finer, ["id", "dup"]), _symbols, depth, "finer")
     single = spans_by_row(resolve(single, later=True, apart=False)).withColumnRenamed("spans", "singles")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import _bytes, _components, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from corpusloom.llm import _bytes, _components, _windows, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from corpusloom.llm._components import components
 
 from ..conftest import DATA
@@ -122,6 +122,24 @@ def test_substring_dedup(spark, window, shard):
     assert digest(substring_dedup.deduplicated(df, window=window, shard_passages=shard), "n_words", "n_removed") == substring_dedup.brute_force(rows, window)
 
 
+def test_frequent_digits(spark, monkeypatch):
+    """A sentence that many documents share, in texts that differ around it: it is dealt by content, with the same result."""
+    monkeypatch.setattr(_windows, "FREQUENT_LEAST", 8)
+    rng = random.Random(7)
+    common = "this one sentence stands in very many of the documents of the corpus and is longer than a hundred bytes by far, as it should be, with some more words put in to make it thirty-five words long and more"
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(5, 40))), common, *(word() for _ in range(rng.randint(5, 40)))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    base = _windows.numbered(df, "doc_id", "text")
+    runs, cores = _windows.frequent(base, suffix_dedup._symbols, _windows.Depth(100, 32, later=True))
+    assert runs and cores
+    assert digest(suffix_dedup.deduplicated(df), "n_bytes", "n_removed", "n_spans") == suffix_dedup.brute_force(rows)
+    assert digest(substring_dedup.deduplicated(df), "n_words", "n_removed") == substring_dedup.brute_force(rows)
+    records = _windows.map_runs(base, suffix_dedup._symbols, _windows.Depth(100, 32, later=True))
+    dealt = _windows.resolve(records, later=True, apart=True, hot=runs).withColumn("part", F.spark_partition_id()).where(F.col("ah").isin(runs))
+    assert dealt.select("part").distinct().count() > 1
+
+
 def test_suffix_automaton():
     random.seed(5)
     texts = [random.choices("ab", k=random.randint(3, 14)) for _ in range(6)]
