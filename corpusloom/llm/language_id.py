@@ -28,15 +28,21 @@ ORDERS = (5, 4, 3, 2, 1)
 MEMO_WORDS = 200_000
 #: A word is a run of letters, characters of the categories L*; here and in the fit, which runs on the JVM.
 _JAVA_WORD = r"\p{L}+"
+_NEARLY = re.compile(r"[^\W\d_]+")
 
 
 @functools.cache
-def word_pattern() -> re.Pattern:
-    """The same for Python, whose own word characters have numerals such as fractions and circled digits among them."""
+def _letters() -> re.Pattern:
+    """Runs of letters; Python's own word characters have numerals such as fractions and circled digits among them."""
     numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
     return re.compile(f"[^\\W\\d_{re.escape(numerals)}]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    found = _NEARLY.findall(text)
+    return found if all(map(str.isalpha, found)) else _letters().findall(text)
+
+
 def _top(counted: DataFrame, most: int) -> list[dict]:
     """The commonest items of each language, at most ``most``; ties by item."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
@@ -102,7 +108,6 @@ class Scorer:
         if self.known:
             self.rows[: self.known] = model["word_logs"]
         self.memo: dict[str, int] = {}
-        self.found = word_pattern().findall
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean log frequency of the word's longest known n-grams; evidence grows with the order."""
@@ -122,7 +127,7 @@ class Scorer:
         return at
 
     def score(self, text: str | None) -> tuple[str, float]:
-        found = self.found(text.lower()) if text else []
+        found = letter_runs(text.lower()) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
         if len(self.memo) > MEMO_WORDS:
