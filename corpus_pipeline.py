@@ -45,12 +45,12 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A null text comes back empty, texts under 100 bytes as they are.  Rows that share an id are documents of their own, the one with the
     least text first; a row with a null id stays as it is.  ``n_chars``, if there, is counted anew.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup.deduplicated(docs, keep=others, whole_characters=True)
+    others = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # out of the way of the operator's own columns
+    cut = suffix_dedup.deduplicated(docs.withColumnsRenamed(others), keep=list(others.values()), whole_characters=True)
     out = cut.withColumn("text", F.col("kept").cast("string")).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    if "n_chars" in others:
+        out = out.withColumn(others["n_chars"], F.length("text").cast("long"))
+    return out.select("doc_id", "text", *others.values()).withColumnsRenamed({v: c for c, v in others.items()}).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
