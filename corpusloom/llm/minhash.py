@@ -39,9 +39,9 @@ def shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures (texts x BANDS * ROWS, the upper halves of the minima) and the band keys (texts x BANDS) of non-empty sets."""
+    """The signatures (texts x BANDS * ROWS, the upper 16 bits of the minima) and the band keys (texts x BANDS) of non-empty sets."""
     out = np.empty((len(at) - 1, BANDS), U64)
-    signature = np.empty((len(at) - 1, BANDS * ROWS), np.uint32)
+    signature = np.empty((len(at) - 1, BANDS * ROWS), np.uint16)
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + _BLOCK, "right")) - 1)
@@ -52,7 +52,7 @@ def minima(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.multiply(x, _MULTIPLIERS[m], out=buffer)
             np.add(buffer, _ADDENDS[m], out=buffer)
             least = np.minimum.reduceat(buffer, begin)
-            signature[i:j, m] = least >> U64(32)
+            signature[i:j, m] = least >> U64(48)
             key = mix(key * U64(0x9E3779B97F4A7C15) ^ least)
             if m % ROWS == ROWS - 1:
                 out[i:j, m // ROWS] = mix(key ^ U64(m))
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 k1, k2 = set_keys(h, at)
-                found, keys = minima(h, np.append(at[:-1][some], at[-1])) if len(some) else (np.zeros((0, BANDS * ROWS), np.uint32), np.zeros((0, BANDS), U64))
+                found, keys = minima(h, np.append(at[:-1][some], at[-1])) if len(some) else (np.zeros((0, BANDS * ROWS), np.uint16), np.zeros((0, BANDS), U64))
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), signed(keys.ravel()))
                 minima_of = iter(found)
                 packed = pa.array([next(minima_of).tobytes() if k else b"" for k in n], pa.binary())
@@ -139,7 +139,7 @@ def by_signature(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("signatureu", "signaturev"))
+            a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("signatureu", "signaturev"))
             keep = (a == b).sum(axis=1) >= least
             yield batch.select(["u", "v", "nu", "nv"]).filter(pa.array(keep))
 
