@@ -96,7 +96,7 @@ BLOCK_SHINGLES = 150_000
 #: Up to so many candidates, their ids are broadcast to the scan of the texts; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Pairs with one set on their right that meet in one task; a set with more is dealt to several.
-PAIRS_A_SET = 2_000
+PAIRS_A_SET = 250
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
@@ -117,12 +117,17 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """``pairs`` (u, v, ...) with the columns of ``table`` (node, x) for u and v as xu and xv; a v of very many pairs is dealt to several tasks."""
+    """``pairs`` (u, v, ...) with the columns of ``table`` (node, x) for u and v as xu and xv; a v of very many pairs is dealt to several tasks.
+
+    v and its part are one key, a struct: a table that is dealt by v alone would else do for a join on both, and deal all pairs of a v to one task.
+    """
     x = [c for c in table.columns if c != "node"]
     left = pairs.join(table.select(F.col("node").alias("u"), *(F.col(c).alias(f"{c}u") for c in x)), "u")
-    blocks = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS_A_SET).cast("int").alias("blocks"))
-    right = table.select(F.col("node").alias("v"), *(F.col(c).alias(f"{c}v") for c in x)).join(blocks, "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return left.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).drop("blocks").join(right, ["v", "block"]).drop("block")
+    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS_A_SET).cast("int").alias("parts"))
+    right = table.select(F.col("node").alias("v"), *(F.col(c).alias(f"{c}v") for c in x)).join(parts, "v")
+    right = right.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct("v", i.alias("part")))).alias("spot"), *(f"{c}v" for c in x))
+    spot = F.struct("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    return left.join(parts, "v").withColumn("spot", spot).drop("parts").join(right, "spot").drop("spot")
 
 
 def least_agreement(percent: int) -> int:

@@ -196,6 +196,23 @@ def test_minhash(spark, monkeypatch, block, broadcast, one, pairs):
     assert got == brute_links(rows, 4, 80)
 
 
+def test_pairs_of_one_set_are_dealt(spark, monkeypatch):
+    """Also where tables that are dealt by v alone would do for the join."""
+    monkeypatch.setattr(minhash, "PAIRS_A_SET", 50)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.adaptive.enabled")}
+    for c, v in zip(before, ("-1", "false", "false"), strict=True):
+        spark.conf.set(c, v)
+    try:
+        pairs = spark.range(1, 1001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+        table = spark.range(0, 1001).select(F.col("id").alias("node"), (F.col("id") * 2).alias("x"))
+        rows = minhash._beside(pairs, table).select("u", "v", "xu", "xv", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r["u"], r["v"], r["xu"], r["xv"]) for r in rows) == [(i, 0, 2 * i, 0) for i in range(1, 1001)]
+    assert len({r["at"] for r in rows}) > 3
+
+
 def test_minhash_rows_of_one_id(spark):
     near, far = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(1, near), (5, near + " x"), (5, far), (5, far), (7, far + " y"), (9, near), (9, "q r s t u v")]
