@@ -177,7 +177,7 @@ class _Sets:
     """Some sets with an index from values to the sets that hold them."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
