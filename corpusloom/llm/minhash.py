@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "id long, row long, n long, k1 long, k2 long, bands array<long>, signature binary")
 
 
-#: Shingles of one block of a group of candidates that are still to be told apart.
+#: Shingles of one block, and of the sets that are asked for in it at once, of a group of candidates that are still to be told apart.
 BLOCK_SHINGLES = 150_000
 #: Up to so many candidates, their ids are broadcast to the scan of the texts; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -222,15 +222,22 @@ def _links(ids: list[int], sets: list[np.ndarray], asked: list[bool], known: lis
 def across(sets: DataFrame, members: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(u, v): components that a link joins, of ``members`` (node, n, component, group), written; ``sets`` has (node, set).
 
-    Each pair of components of a group has one that isn't the group's largest.  So the sets of the largest lie in
-    blocks, each in one; the others lie there, too, and are asked for in every block.
+    Each pair of components of a group has one that isn't the group's largest.  So the sets of a group lie in
+    blocks, each in one, and those outside its largest component are asked for in every block, a part of them at a time: a task holds
+    a block and a part, each of ``block`` shingles or one set.  Where few are asked for, blocks are smaller, which deals a hot group
+    to more tasks and no more than doubles its rows.
     """
     sizes = members.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    groups = sizes.groupBy("group").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    asked = F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.concat(F.array(F.struct(own.alias("block"), F.lit(False).alias("asked"))), F.transform(asked, lambda b: F.struct(b.alias("block"), F.lit(True).alias("asked"))))
-    dealt = members.join(groups, "group").select("node", "group", "component", F.explode(places).alias("p")).select("node", "group", "component", "p.*").join(sets, "node")
+    groups = sizes.groupBy("group").agg(F.max_by(F.struct("component", "n"), F.struct("c", -F.col("component"))).alias("main"), F.sum("n").alias("n"))
+    rest = F.col("n") - F.col("main.n")
+    one = F.least(F.lit(block), F.greatest(rest, F.lit(max(1, block // 8))))
+    groups = groups.select("group", F.col("main.component").alias("main"), F.ceil(F.col("n") / one).cast("int").alias("blocks"), F.ceil(rest / block).cast("int").alias("parts"))
+    own, part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    place = lambda b, p, asked: F.struct(b.alias("block"), p.alias("part"), F.lit(asked).alias("asked"))
+    lying = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(own, p, False))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(b, part, True))
+    places = F.when(F.col("component") == F.col("main"), lying).otherwise(F.concat(lying, asked))
+    dealt = members.join(groups.where("parts > 0"), "group").select("node", "group", "component", F.explode(places).alias("p")).select("node", "group", "component", "p.*").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("asked", "ascending"), ("node", "ascending")]).combine_chunks()
@@ -239,7 +246,7 @@ def across(sets: DataFrame, members: DataFrame, percent: int, block: int = BLOCK
         found = _links(rows.column("node").to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rows.column("asked").to_pylist(), rows.column("component").to_pylist(), percent)
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    return dealt.groupBy("group", "block").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("group", "block", "part").applyInArrow(compare, "u long, v long")
 
 
 def grouped_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:

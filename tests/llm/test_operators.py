@@ -213,6 +213,27 @@ def test_pairs_of_one_set_are_dealt(spark, monkeypatch):
     assert len({r["at"] for r in rows}) > 3
 
 
+@pytest.mark.parametrize("block", [20, 200, 5000])
+def test_groups_are_dealt_in_blocks_and_parts(spark, block):
+    """Components of one group, against all pairs of sets, whether those outside the largest are few or most."""
+    rng = random.Random(block)
+    for lone in (3, 40):
+        sets = [sorted(rng.sample(range(14), 10)) for _ in range(45 + lone)]
+        component = [0] * 45 + list(range(1, lone + 1))
+        members = spark.createDataFrame([(i, 10, c, 7) for i, c in enumerate(component)], "node long, n long, component long, group long")
+        got = minhash.across(spark.createDataFrame(list(enumerate(sets)), "node long, set array<long>"), members, 80, block).collect()
+        linked = [(component[i], component[j]) for i in range(len(sets)) for j in range(i) if 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})]
+
+        def joined(links):
+            top = list(range(lone + 1))
+            for _ in range(lone + 1):
+                for a, b in links:
+                    top[a] = top[b] = min(top[a], top[b])
+            return top
+
+        assert joined([(r["u"], r["v"]) for r in got]) == joined(linked)
+
+
 def test_minhash_rows_of_one_id(spark):
     near, far = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(1, near), (5, near + " x"), (5, far), (5, far), (7, far + " y"), (9, near), (9, "q r s t u v")]
