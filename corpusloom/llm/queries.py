@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, filter_audit, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat, decontaminate, embedding_dedup, filter_audit, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_chat_format": chat.op11_chat_format,
+    "op12_whitening": whitening.op12_whitening,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
@@ -23,5 +25,6 @@ SQL = {
     "op4_minhash": minhash.OP4_SQL,
     "op8_embedding_dedup": embedding_dedup.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_chat_format": chat.OP11_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
