@@ -57,7 +57,8 @@ def failures(docs: DataFrame, filters: Mapping[str, Callable[[Column], Column]]
         return cells.drop("digest")
     # the first row of a text is found by key and text, so a text that very many rows share is no hot key; both branches read one exchange
     first = cells.groupBy("digest").agg(F.min(F.when(F.col("known"), F.col("k"))).alias("k"), F.sum("n").alias("copies"))
-    told = cells.join(first, ["digest", "k"], "left")
+    both = F.struct("digest", "k").alias("both")  # one key, else the planner may deal rows by the text alone
+    told = cells.select("*", both).join(first.where("k IS NOT NULL").select(both, "copies"), "both", "left")
     again = F.when(F.col("known") & F.col("copies").isNull(), 1 << len(filters)).otherwise(0)
     return told.select("part", "k", "known", (F.col("mask") + again).alias("mask"), "n")
 
