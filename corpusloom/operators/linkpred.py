@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -93,7 +94,9 @@ def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     wide = (most - least) if most is not None and most > least else 1.0
     by = by.withColumn("part", F.least(F.floor((F.col("s") - F.lit(least if least is not None else 0.0)) / F.lit(wide) * 4096), F.lit(4095)))
     lower = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.groupBy("part").agg(F.sum("neg").alias("neg")).select("part", lower(Window.orderBy("part")).alias("before"))  # at most 4096 rows
+    sizes = sorted(tuple(r) for r in by.groupBy("part").agg(F.sum("neg")).collect())  # at most 4096 rows
+    starts = [0, *accumulate(n for _, n in sizes)]
+    parts = F.broadcast(scored.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sizes, starts, strict=False)], "part long, before long"))
     below = F.col("before") + lower(Window.partitionBy("part").orderBy("s"))
     auc = by.join(parts, "part").select((F.col("pos") * (below + F.col("neg") / 2)).alias("won"), "pos", "neg").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import characters, ngrams
+from ..session import stored
+from .order import numbered
+
+#: Texts of one task where characters are carried from text to text.
+RUN = 200_000
 
 
 def char_frequency(texts: DataFrame, text: str) -> DataFrame:
@@ -66,9 +71,23 @@ def joined_ngram_counts(texts: DataFrame, author: str, order: str, text: str, si
     reach = max(sizes) - 1
     if not reach:
         return ngram_counts(texts, text, sizes, (author,))
-    ends = texts.where(F.length(text) > 0).select(author, order, F.left(text, F.lit(reach)).alias("head"), F.right(text, F.lit(reach)).alias("tail"))
-    w = Window.partitionBy(author).orderBy(order)
-    before = F.right(F.concat(*(F.coalesce(F.lag("tail", i).over(w), F.lit("")) for i in range(reach, 0, -1))), F.lit(reach))
+    ends = texts.where(F.length(text) > 0).select(author, F.col(order).alias("__order"), F.left(text, F.lit(reach)).alias("head"), F.right(text, F.lit(reach)).alias("tail"))
+    more = carried(ends, author, "__order", reach).select(author, "head", "before")
     across = F.concat(*(ngrams(F.concat(F.right("before", F.lit(n - 1)), F.left("head", F.lit(n - 1))), n) for n in sizes if n > 1))
-    more = ends.withColumn("before", before).select(author, F.explode(across).alias("gram"))
+    more = more.where("before <> ''").select(author, F.explode(across).alias("gram"))
     return _summed(texts, text, sizes, (author,), more).select(author, F.length("gram").alias("n"), "gram", "cnt")
+
+
+def carried(ends: DataFrame, author: str, order: str, reach: int, run: int = RUN) -> DataFrame:
+    """``ends`` (author, order, tail, ...) with ``before``: the ``reach`` characters that come before a text in its author's texts.
+
+    Texts are numbered by author and order without bringing them together, and runs of ``run`` numbers are a task's work.  A run's last texts, as many as can
+    matter, are also given to the next one, so what is carried crosses runs, and one author's texts may fill any number of them.
+    """
+    at = numbered(stored(ends)[0], author, order, into="__at").withColumn("__run", F.floor((F.col("__at") - 1) / run))
+    last = (F.col("__at") - 1) % run >= run - reach
+    dealt = at.select("*", F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__next"))
+    w = Window.partitionBy(F.col("__run") + F.col("__next")).orderBy("__at")
+    tails = [F.when(F.lag(author, i).over(w).eqNullSafe(F.col(author)), F.lag("tail", i).over(w)) for i in range(reach, 0, -1)]
+    told = dealt.withColumn("before", F.right(F.concat(*(F.coalesce(t, F.lit("")) for t in tails)), F.lit(reach)))
+    return told.where("__next = 0").select(*ends.columns, "before")

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
 
-def ranked(df: DataFrame, by: str, *ties: str, into: str = "rank") -> DataFrame:
-    """Positions 1, 2, ... by ``by`` descending; ties get positions of their own, in the order of ``ties``.
 
-    Meant for one row an author or term: the order is total, so the rows are brought together.
-    """
-    return df.withColumn(into, F.row_number().over(Window.orderBy(F.desc(by), *ties)))
+def ranked(df: DataFrame, by: str, *ties: str, into: str = "rank") -> DataFrame:
+    """Positions 1, 2, ... by ``by`` descending; ties get positions of their own, in the order of ``ties``, which must tell them apart."""
+    return numbered(df, F.desc(by), *ties, into=into)
 
 
 def author_counts(docs: DataFrame, author: Column | str, into: str = "author") -> DataFrame:
@@ -28,10 +27,12 @@ def author_overview(counts: DataFrame) -> DataFrame:
 
 
 def top_shares(counts: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """(k, docs, share): what the first ``k`` authors hold, in per cent."""
-    at = ranked(counts, "docs", "author")
-    sums = at.agg(F.sum("docs").alias("all"), *(F.sum(F.when(F.col("rank") <= k, F.col("docs"))).alias(f"k{k}") for k in ks))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("docs"), F.round(100 * F.col(f"k{k}") / F.col("all"), 6).alias("share")) for k in ks))).alias("s")).select("s.*")
+    """(k, docs, share): what the first ``k`` authors hold, in per cent.  Only the first ones of the largest ``k`` are put in order."""
+    first = counts.orderBy(F.desc("docs"), "author").limit(max(ks)).agg(F.transform(F.array_sort(F.collect_list(-F.col("docs"))), lambda n: -n).alias("best"))
+    whole = counts.agg(F.sum("docs").alias("all")).join(first)  # one row each
+    held = lambda k: F.when(F.size("best") > 0, F.aggregate(F.slice("best", 1, k), F.lit(0).cast("long"), lambda a, n: a + n))
+    shares = F.array(*(F.struct(F.lit(k).alias("k"), held(k).alias("docs")) for k in ks))
+    return whole.select("all", F.explode(shares).alias("s")).select("s.k", "s.docs", F.round(100 * F.col("s.docs") / F.col("all"), 6).alias("share"))
 
 
 def volume_counts(docs: DataFrame, volume: str) -> DataFrame:
@@ -40,7 +41,7 @@ def volume_counts(docs: DataFrame, volume: str) -> DataFrame:
 
 def by_volume(counts: DataFrame) -> DataFrame:
     """Counts with their place in the order of volumes."""
-    return counts.withColumn("place", F.row_number().over(Window.orderBy("volume")))  # a row for each volume
+    return numbered(counts, "volume", into="place")
 
 
 def length_stats(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -213,3 +213,42 @@ def book_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("docs_by_volume", "SELECT lang AS volume, count(*) AS docs, row_number() OVER (ORDER BY lang) AS place FROM documents GROUP BY lang")
 def docs_by_volume(spark: SparkSession, folder: str) -> DataFrame:
     return rankings.by_volume(rankings.volume_counts(docs(spark, folder), "volume"))
+
+
+# --- volumes ---------------------------------------------------------------------------------------------------------
+
+
+def _volumes(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of the volumes that the documents make, written and read again."""
+    path = _folder(spark, "volumes")
+    number = F.when(F.col("volume") == "de", 1).when(F.col("volume") == "en", 2).when(F.col("volume") == "es", 3).otherwise(4)
+    writers.write_volumes(docs(spark, folder).select(number.alias("volume"), "title", "author", F.col("text").alias("content"), F.col("doc_id").alias("seq")), path)
+    return readers.volume_folders(spark, path)
+
+
+_VOL = rf"""{_D}, vo AS (SELECT CASE volume WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS volume, author, text, doc_id,
+  row_number() OVER (PARTITION BY CASE volume WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END ORDER BY doc_id) AS rn FROM d)"""
+
+
+@query("volume_roundtrip", rf"WITH {_VOL} SELECT volume, count(*) AS poems, count(DISTINCT author) AS authors, sum(length(regexp_replace(text, '\s+$', '')) + 1)::BIGINT AS chars FROM vo WHERE rn > 1 GROUP BY volume")
+def volume_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    poems = readers.parse_sections(_volumes(spark, folder))
+    return poems.groupBy("volume").agg(F.count("*").alias("poems"), F.count_distinct("author").alias("authors"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("volume_roundtrip_whole", rf"WITH {_VOL} SELECT volume, count(*) AS poems, count(DISTINCT author) AS authors, sum(length(regexp_replace(text, '\s+$', '')) + 1)::BIGINT AS chars FROM vo GROUP BY volume")
+def volume_roundtrip_whole(spark: SparkSession, folder: str) -> DataFrame:
+    poems = readers.parse_sections(_volumes(spark, folder), drop_header_section=False)
+    return poems.groupBy("volume").agg(F.count("*").alias("poems"), F.count_distinct("author").alias("authors"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("volume_titles", rf"WITH {_VOL} SELECT volume, rn || '. ' || regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') AS title, author, md5(regexp_replace(text, '\s+$', '') || chr(10)) AS content FROM vo")
+def volume_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every poem of the written volumes, whole."""
+    poems = readers.parse_sections(_volumes(spark, folder), drop_header_section=False)
+    return poems.select("volume", "title", "author", F.md5("content").alias("content"))
+
+
+@query("author_scan", "SELECT source AS author, count(*) AS docs FROM documents GROUP BY source")
+def author_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.scan_authors(_volumes(spark, folder)).groupBy("author").agg(F.count("*").alias("docs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, crawl, graph, hierarchy, html, linkpred, mentions, ngrams, rankings, search
-from ..sources import readers, writers
+from ..sources import writers
 from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,9 +164,8 @@ def author_top_chars(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("volume_stats", "SELECT lang AS volume, count(*) AS docs, round(count(*) * 1.0 / (SELECT avg(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)), 6) AS of_mean FROM documents GROUP BY lang")
 def volume_stats(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return rankings.volume_counts(docs(spark, folder), "volume").withColumn("of_mean", F.round(F.col("docs") / F.avg("docs").over(Window.partitionBy()), 6))  # a row for each volume
+    counts = rankings.volume_counts(docs(spark, folder), "volume")
+    return counts.join(counts.agg(F.avg("docs").alias("mean"))).select("volume", "docs", F.round(F.col("docs") / F.col("mean"), 6).alias("of_mean"))  # one row of means
 
 
 @query("length_stats", """WITH l AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
@@ -596,33 +595,7 @@ def catalog_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.distribution(_catalog(spark, folder), catalog.COLUMNS[4])
 
 
-# --- volumes ---------------------------------------------------------------------------------------------------------
-
-
-def _volumes(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.when(F.col("volume") == "de", 1).when(F.col("volume") == "en", 2).when(F.col("volume") == "es", 3).otherwise(4)
-    return writers.render_volumes(docs(spark, folder).select(number.alias("volume"), "title", "author", F.col("text").alias("content"), F.col("doc_id").alias("seq")))
-
-
-_VOL = rf"""{_D}, vo AS (SELECT CASE volume WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS volume, author, text, doc_id,
-  row_number() OVER (PARTITION BY CASE volume WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END ORDER BY doc_id) AS rn FROM d)"""
-
-
-@query("volume_roundtrip", rf"WITH {_VOL} SELECT volume, count(*) AS poems, count(DISTINCT author) AS authors, sum(length(regexp_replace(text, '\s+$', '')) + 1)::BIGINT AS chars FROM vo WHERE rn > 1 GROUP BY volume")
-def volume_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    poems = readers.parse_volumes(_volumes(spark, folder))
-    return poems.groupBy("volume").agg(F.count("*").alias("poems"), F.count_distinct("author").alias("authors"), F.sum(F.length("content")).alias("chars"))
-
-
-@query("volume_roundtrip_whole", rf"WITH {_VOL} SELECT volume, count(*) AS poems, count(DISTINCT author) AS authors, sum(length(regexp_replace(text, '\s+$', '')) + 1)::BIGINT AS chars FROM vo GROUP BY volume")
-def volume_roundtrip_whole(spark: SparkSession, folder: str) -> DataFrame:
-    poems = readers.parse_volumes(_volumes(spark, folder), drop_header_section=False)
-    return poems.groupBy("volume").agg(F.count("*").alias("poems"), F.count_distinct("author").alias("authors"), F.sum(F.length("content")).alias("chars"))
-
-
-@query("author_scan", "SELECT source AS author, count(*) AS docs FROM documents GROUP BY source")
-def author_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.scan_authors(_volumes(spark, folder)).groupBy("author").agg(F.count("*").alias("docs"))
+# --- graphs as files --------------------------------------------------------------------------------------------------
 
 
 @query("graph_json", f"""WITH {_G}, {_IMP} SELECT (SELECT count(*) FROM imp) AS total_nodes, (SELECT count(*) FROM g WHERE src IN (SELECT id FROM imp) AND dst IN (SELECT id FROM imp)) AS total_edges""")

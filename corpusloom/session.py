@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import os
 import tempfile
@@ -12,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+#: Tables that were stored and not dropped, by application.
+_STORED: dict[str, set[str]] = {}
 #: What one batch of rows may hold on its way to a Python worker, so that long texts don't add up.
 BATCH_BYTES = 8 << 20
 
@@ -72,13 +76,45 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """The same rows, written as a table to the shared folder and read again, and where; of use where few of the columns are read later."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The same rows, written as a table to the shared folder and read again, and where; of use where few of the columns are read later.
+
+    A table that nobody drops goes when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    _STORED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a table that was stored."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+@atexit.register
+def _drop_stored() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        spark = SparkSession.getActiveSession()
+        for path in list(_STORED.get(spark.sparkContext.applicationId, ())) if spark else ():
+            dropped(spark, path)
+
+
+class Scratch:
+    """Tables of one computation: what it doesn't return is dropped at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        table, path = stored(df)
+        self.paths.append(path)
+        return table
+
+    def drop(self, after: int = 0) -> None:
+        """Drop all tables but the first ``after``."""
+        for path in self.paths[after:]:
+            dropped(self.spark, path)
+        del self.paths[after:]

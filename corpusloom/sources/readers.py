@@ -20,12 +20,27 @@ GRAPH = "metadata struct<total_nodes:long,total_edges:long>, nodes array<struct<
 FAILURES = "failed_volumes array<struct<volume:int,status:string,description:string,original_status:string>>, total_failed long"
 
 
-def volume_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text) of the volume files of a folder."""
-    read = spark.read.option("pathGlobFilter", f"{PREFIX}*.txt").text(folder, wholetext=True)
+def _sections(found: DataFrame) -> DataFrame:
+    """What a scan with the rule as line separator has read, with the place of each section in its file."""
+    at = F.struct(F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return found.select("*", F.col("_metadata.file_path").alias("path"), at.alias("at"))
+
+
+def volume_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, volume, at, section) of the volume files of a folder, a row for each section; ``at`` has their order within a file.
+
+    Rules end records of the scan, so Spark splits a file of any length between its tasks and no row holds a file.
+    """
+    found = _sections(spark.read.option("pathGlobFilter", f"{PREFIX}*.txt").option("lineSep", RULE).text(folder))
     # the name in a path is percent-encoded; plus signs are plain there
-    name = F.try_url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("+"), F.lit("%2B")))
-    return read.select(name.alias("file"), F.col("value").alias("text"))
+    name = F.try_url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return found.select(name.alias("file"), volume_number(name).alias("volume"), "at", F.col("value").alias("section"))
+
+
+def volume_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, volume, at, section) of volumes as ``writers.write_volumes`` leaves them: a folder for each, which may have several files."""
+    found = _sections(spark.read.schema("value string, volume int").option("lineSep", RULE).text(folder))
+    return found.select(F.format_string("volume=%d", "volume").alias("file"), "volume", "at", F.col("value").alias("section"))
 
 
 def volume_number(file: Column) -> Column:
@@ -33,45 +48,38 @@ def volume_number(file: Column) -> Column:
     return F.when(n == "", 0).otherwise(F.try_to_number(n, F.lit("999999999")).cast("int"))
 
 
-def parse_volumes(files: DataFrame, drop_header_section: bool = True) -> DataFrame:
-    """(title, volume, content, author, file, seq) of volume files (file, text).
+def parse_sections(sections: DataFrame, drop_header_section: bool = True) -> DataFrame:
+    """(title, volume, content, author, file, at) of sections (file, volume, at, section).
 
     Sections end at a rule.  A section's first line is the title (its number stays), the first later line with the author mark
     has the author, and what follows the first content mark is the content.  Sections without a title or an author are left out.
-    The header of a file stands in its first section, so that section's poem is lost; with ``drop_header_section=False`` the
+    The header of a volume stands in its first section, so that section's poem is lost; with ``drop_header_section=False`` a
     header's lines go first and the poem is kept.
     """
-    section = files.select("file", volume_number(F.col("file")).alias("volume"), F.posexplode(F.split("text", RULE)).alias("seq", "section"))
     body = F.col("section")
     if not drop_header_section:
-        body = F.when(F.col("seq") == 0, F.regexp_replace(body, f"(?s)\\A\\s*{TITLE}[^\\n]*\\n=*\\s*", "")).otherwise(body)
-    lines = F.split(strip(body), "\n")
-    section = section.withColumn("lines", lines).where(F.size("lines") >= 3)
+        body = F.regexp_replace(body, f"(?s)\\A\\s*{TITLE}[^\\n]*\\n=+\\s*", "")
+    section = sections.withColumn("lines", F.split(strip(body), "\n")).where(F.size("lines") >= 3)
     rest = F.slice("lines", 2, F.size("lines"))
     title = strip(F.col("lines")[0])
     named = F.filter(rest, lambda s: F.contains(s, F.lit(AUTHOR)))
     author = strip(F.split(F.get(named, F.lit(0)), AUTHOR)[1])
-    state = F.aggregate(
-        rest,
-        F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("kept")),
-        lambda a, s: F.when(F.contains(s, F.lit(CONTENT)), F.struct(F.lit(True).alias("on"), a["kept"].alias("kept")))
-        .when(a["on"], F.struct(a["on"].alias("on"), F.array_append(a["kept"], F.concat(s, F.lit("\n"))).alias("kept")))
-        .otherwise(a),
-        lambda a: F.array_join(a["kept"], ""),
-    )
-    out = section.select(title.alias("title"), "volume", state.alias("content"), author.alias("author"), "file", "seq")
+    marked = F.array_position(F.transform(rest, lambda s: F.contains(s, F.lit(CONTENT))), True).cast("int")  # 0 where there is no content
+    after = F.filter(F.slice(rest, marked + 1, F.size("lines")), lambda s: ~F.contains(s, F.lit(CONTENT)))
+    content = F.when(marked > 0, F.array_join(F.transform(after, lambda s: F.concat(s, F.lit("\n"))), "")).otherwise("")
+    out = section.select(title.alias("title"), "volume", content.alias("content"), author.alias("author"), "file", "at")
     return out.where((F.col("title") != "") & ~F.startswith("title", F.lit(TITLE)) & (F.coalesce("author", F.lit("")) != ""))
 
 
 def read_volumes(spark: SparkSession, folder: str, drop_header_section: bool = True) -> DataFrame:
-    return parse_volumes(volume_files(spark, folder), drop_header_section)
+    return parse_sections(volume_sections(spark, folder), drop_header_section)
 
 
-def scan_authors(files: DataFrame, text: str = "text", parity: bool = True) -> DataFrame:
+def scan_authors(sections: DataFrame, text: str = "section", parity: bool = True) -> DataFrame:
     """(author): every author mark of the texts, one row each; with ``parity`` an empty mark takes the next line as the name."""
     gap = r"\s*" if parity else r"[ \t]*"
     found = F.regexp_extract_all(F.col(text), F.lit(f"{AUTHOR}{gap}(.+?)(?:\n|\\z)"), F.lit(1))
-    return files.select(F.explode(F.transform(found, strip)).alias("author")).where(~F.col("author").isin("", UNKNOWN))
+    return sections.select(F.explode(F.transform(found, strip)).alias("author")).where(~F.col("author").isin("", UNKNOWN))
 
 
 def read_names(spark: SparkSession, path: str, least: int = 2) -> DataFrame:

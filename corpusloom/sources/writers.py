@@ -7,31 +7,36 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .readers import AUTHOR, CONTENT, PREFIX, RULE, TITLE
+from ..operators.order import numbered
+from .readers import AUTHOR, CONTENT, RULE, TITLE
 
 # Fixed names: headers of the published tables.
 GRAM_HEADER = ("排名", "詞彙", "出現次數")
 PERSON_HEADER = ("排名", "人物", "提及次數", "相關詩歌數", "關聯人物數")
 PERSON_POEM_HEADER = ("詩歌ID", "作者", "標題", "人物", "提及次數")
-EMPTY_VOLUME = "（無內容）"
 
 
-def volume_file(volume: Column) -> Column:
-    return F.format_string(f"{PREFIX}%03d卷.txt", volume.cast("int"))
+def volume_lines(poems: DataFrame, order: str = "seq") -> DataFrame:
+    """(volume, number, value): each poem (volume, title, author, content) as it stands in its volume, numbered in order, the first under the header.
 
-
-def render_volumes(poems: DataFrame, order: str = "seq") -> DataFrame:
-    """(volume, file, text): each volume's poems (volume, title, author, content) in order, numbered, under its header."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("title", F.lit("未知標題")).alias("t"), F.coalesce("author", F.lit("未知作者")).alias("a"), F.coalesce("content", F.lit("無內容")).alias("c"))))
-    entry = lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["t"], F.lit(f"\n   {AUTHOR} "), r["a"], F.lit(f"\n   {CONTENT}\n"), r["c"], F.lit(f"\n{RULE}\n\n"))
+    ``order`` must tell the poems of a volume apart.  The newline that ends a row is not part of it.
+    """
+    at = numbered(poems, order, into="number", group=["volume"])
+    field = lambda c, none: F.coalesce(F.col(c), F.lit(none))
+    entry = F.concat(F.col("number").cast("string"), F.lit(". "), field("title", "未知標題"), F.lit(f"\n   {AUTHOR} "), field("author", "未知作者"), F.lit(f"\n   {CONTENT}\n"), field("content", "無內容"), F.lit(f"\n{RULE}\n"))
     head = F.concat(F.lit(f"{TITLE} 第"), F.col("volume").cast("string"), F.lit("卷\n" + "=" * 50 + "\n\n"))
-    texts = poems.groupBy("volume").agg(rows.alias("rows"))
-    return texts.select("volume", volume_file(F.col("volume")).alias("file"), F.concat(head, F.array_join(F.transform("rows", entry), "")).alias("text"))
+    return at.select("volume", "number", F.concat(F.when(F.col("number") == 1, head).otherwise(""), entry).alias("value"))
 
 
 def write_volumes(poems: DataFrame, folder: str, order: str = "seq") -> None:
-    """A text file in a folder of its own for each volume: <folder>/volume=<n>/part-*.txt."""
-    render_volumes(poems, order).select("volume", "text").write.mode("overwrite").option("lineSep", "\n").partitionBy("volume").text(folder)
+    """A folder for each volume, <folder>/volume=<n>; its files, in the order of their names, are the volume.
+
+    A poem is a row, so a volume may be larger than a row or a task; small volumes have one file.
+    """
+    lines = volume_lines(poems, order)
+    n = int(poems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(n, "volume", "number").sortWithinPartitions("volume", "number")
+    dealt.select("volume", "value").write.mode("overwrite").option("lineSep", "\n").partitionBy("volume").text(folder)
 
 
 def write_lines(rows: DataFrame, line: Column, folder: str, order: str | None = None) -> None:

@@ -30,17 +30,46 @@ def test_volumes(spark, tmp_path):
     assert rows(found.select("title", "volume", "content", "author")) == sorted([("2. 乙", 7, "二\n四\n", "杜甫"), ("4. 丁", 7, "𠮷\n", "王維"), ("2. 丑", 0, "b\n", "某")], key=repr)
     whole = readers.read_volumes(spark, str(tmp_path), drop_header_section=False)
     assert {r["title"] for r in whole.collect()} == {"1. 甲", "2. 乙", "4. 丁", "1. 子", "2. 丑"}
-    names = readers.scan_authors(readers.volume_files(spark, str(tmp_path)))
+    names = readers.scan_authors(readers.volume_sections(spark, str(tmp_path)))
     assert ("李白著",) in rows(names) and ("內容:",) in rows(names)
-    assert ("內容:",) not in rows(readers.scan_authors(readers.volume_files(spark, str(tmp_path)), parity=False))
+    assert ("內容:",) not in rows(readers.scan_authors(readers.volume_sections(spark, str(tmp_path)), parity=False))
 
 
 def test_volume_files_round_trip(spark, tmp_path):
     poems = spark.createDataFrame([(3, "t1", "a", "x\ny", 1), (3, "t2", "b", "z", 2), (4, "t3", None, "w", 1), (4, "t4", "c", None, 2)], "volume int, title string, author string, content string, seq int")
     writers.write_volumes(poems, str(tmp_path / "v"))
-    back = spark.read.text(str(tmp_path / "v"), wholetext=True).select(F.format_string("全唐詩_第%03d卷.txt", "volume").alias("file"), F.col("value").alias("text"))
-    assert rows(readers.parse_volumes(back).select("title", "volume", "content")) == [("2. t2", 3, "z\n"), ("2. t4", 4, "無內容\n")]
-    assert readers.parse_volumes(back, drop_header_section=False).count() == 4
+    back = readers.volume_folders(spark, str(tmp_path / "v"))
+    assert rows(readers.parse_sections(back).select("title", "volume", "content")) == [("2. t2", 3, "z\n"), ("2. t4", 4, "無內容\n")]
+    assert readers.parse_sections(back, drop_header_section=False).count() == 4
+    whole = "".join(f.read_text(encoding="utf-8") for f in sorted((tmp_path / "v/volume=3").glob("*.txt")))
+    assert whole == volume(("t1", "a", "x\ny"), ("t2", "b", "z"), number=3)
+
+
+def test_large_volume(spark, tmp_path):
+    """A volume of many splits, whose rules and characters lie on their borders, has the same poems as if read at once, in order."""
+    poems = [(f"t{i}", f"作{i % 7}", "字é" * (i * 37 % 900) + f"\n{i}") for i in range(4000)]
+    write(tmp_path, "全唐詩_第003卷.txt", volume(*poems, number=3))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("99991", "262147"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = readers.read_volumes(spark, str(tmp_path), drop_header_section=False)
+        assert found.rdd.getNumPartitions() > 8
+        got = [tuple(r) for r in found.orderBy("at").select("title", "author", "content").collect()]
+        assert got == [(f"{i}. {t}", a, c + "\n") for i, (t, a, c) in enumerate(poems, 1)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_volume_of_several_files(spark, tmp_path):
+    """A volume with most of the poems is written by several tasks, numbered throughout."""
+    poems = [(1 if i % 10 else 2, f"t{i}", "a", f"c{i}", i) for i in range(900)]
+    df = spark.createDataFrame(poems, "volume int, title string, author string, content string, seq int").repartition(5)
+    writers.write_volumes(df, str(tmp_path / "v"))
+    files = sorted((tmp_path / "v/volume=1").glob("*.txt"))
+    assert len(files) > 4
+    assert "".join(f.read_text(encoding="utf-8") for f in files) == volume(*((t, a, c) for v, t, a, c, _ in poems if v == 1), number=1)
+    assert readers.parse_sections(readers.volume_folders(spark, str(tmp_path / "v"))).count() == 898
 
 
 def test_names(spark, tmp_path):
