@@ -23,6 +23,8 @@ from ._spark import cut, load, ship
 FIT_VECTORS = 20_000
 PIVOTS = (32, 2048)
 VECTORS_A_PIVOT = 100
+#: Pivots are so many times the angle of a link apart.
+APART = 1.25
 DESCRIBED_BY = 8
 SHARED = 2
 #: Vectors of one block of an inverted list; longer lists are compared block by block.
@@ -46,8 +48,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)[:, None]
 
 
-def choose_pivots(rows: DataFrame, width: int, count: int) -> np.ndarray:
-    """``count`` vectors of a bounded sample, each the farthest of a few from those before, so that hot spots don't take them all."""
+def choose_pivots(rows: DataFrame, width: int, count: int, threshold: float = 0.9) -> np.ndarray:
+    """Up to ``count`` vectors of a bounded sample, each the farthest of a few from those before, and no two of them nearly linked.
+
+    In a tight cluster pivots that are near each other would be told apart by noise alone, so that linked vectors seldom share any.
+    """
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_VECTORS / max(count * VECTORS_A_PIVOT, FIT_VECTORS))) + 1
     found = rows.where(share).orderBy(F.xxhash64("id"), "id").limit(FIT_VECTORS).select("vector").toArrow()
     x = _matrix(found.column("vector"), width)
@@ -58,13 +63,15 @@ def choose_pivots(rows: DataFrame, width: int, count: int) -> np.ndarray:
     x = x[rng.permutation(len(x))]
     chosen = [0]
     near = x @ x[0]
-    for _ in range(min(count, len(x)) - 1):
+    apart = np.cos(APART * np.arccos(np.clip(threshold, -1, 1)))
+    for _ in range(4 * count):
         some = rng.integers(0, len(x), 8)
         i = int(some[near[some].argmin()])
-        if near[i] > 0.999:
-            continue
-        chosen.append(i)
-        near = np.maximum(near, x @ x[i])
+        if len(chosen) == min(count, len(x)):
+            break
+        if near[i] < apart:
+            chosen.append(i)
+            near = np.maximum(near, x @ x[i])
     return x[chosen]
 
 
@@ -148,7 +155,7 @@ def _join(top: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 def _found(rows: DataFrame, width: int, count: int, threshold: float, vectors_a_pivot: int) -> DataFrame | None:
     """(id, n, to): verified links among ``rows`` (id, copies, vector), all of one width; None where nothing can be linked."""
-    pivots = choose_pivots(rows, width, int(min(max(count // vectors_a_pivot, PIVOTS[0]), PIVOTS[1])))
+    pivots = choose_pivots(rows, width, int(min(max(count // vectors_a_pivot, PIVOTS[0]), PIVOTS[1])), threshold)
     if not len(pivots):
         return None
     lists = index(rows, pivots, width)
