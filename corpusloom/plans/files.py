@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crawl, mentions, ngrams, rankings
+from ..operators import crawl, mentions, ngrams, rankings, search, textindex
 from ..session import shared_folder
 from ..sources import readers, reports, writers
-from .queries import _D, _G, _IMP, _JOINED, _LOG, _M, NAMES, _catalog, _grams_sql, _log, _network, query
+from .queries import _D, _G, _IMP, _JOINED, _LOG, _M, NAMES, SQL, _catalog, _grams_sql, _log, _network, query
 from .tables import docs, table
 
 AT = "2024-01-01 00:00:00"
@@ -252,3 +252,37 @@ def volume_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query("author_scan", "SELECT source AS author, count(*) AS docs FROM documents GROUP BY source")
 def author_scan(spark: SparkSession, folder: str) -> DataFrame:
     return readers.scan_authors(_volumes(spark, folder)).groupBy("author").agg(F.count("*").alias("docs"))
+
+
+# --- look-ups in what was written --------------------------------------------------------------------------------------
+
+
+@query("search_indexed", SQL["search"])
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    index = textindex.write_index(docs(spark, folder).select("doc_id", "author", "title", "text"), _folder(spark, "index"), ("title", "author", "text"))
+    return index.search(spark, "License").select("doc_id", "author", "title")
+
+
+@query("search_indexed_all", f"WITH {_D} SELECT doc_id, author FROM d WHERE contains(lower(title), 'licens') OR contains(lower(author), 'licens') OR contains(lower(text), 'licens')")
+def search_indexed_all(spark: SparkSession, folder: str) -> DataFrame:
+    index = textindex.write_index(docs(spark, folder).select("doc_id", "author", "title", "text"), _folder(spark, "index"), ("title", "author", "text"))
+    return index.search_all(spark, "LICENS").select("doc_id", "author")
+
+
+def _laid_out(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "by-volume")
+    textindex.write_laid_out(docs(spark, folder).select("doc_id", "author", "title", "volume"), path)
+    return spark.read.parquet(path)
+
+
+@query("by_volume_pruned", SQL["by_volume"])
+def by_volume_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    return search.by_volume(_laid_out(spark, folder), "de").select("doc_id", "volume")
+
+
+@query("by_volume_joined", f"WITH {_D}, n AS (SELECT lang FROM documents GROUP BY lang HAVING count(*) < (SELECT count(*) / 4 FROM documents)) SELECT doc_id, author, volume FROM d WHERE volume IN (SELECT lang FROM n)")
+def by_volume_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of the volumes that have less than a quarter of all."""
+    table_, counts = _laid_out(spark, folder), rankings.volume_counts(docs(spark, folder), "volume")
+    small = counts.join(counts.agg(F.sum("docs").alias("all"))).where(F.col("docs") < F.col("all") / 4)  # one row of sums
+    return textindex.rows_of_values(table_, small).select("doc_id", "author", "volume")

@@ -560,6 +560,14 @@ def subtree_text(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.subtree_text(tree, 3, "event_type")
 
 
+@query("subtree_lines", f"""WITH RECURSIVE {_TREE}, w(node, depth, path) AS (SELECT node, 0, [0::BIGINT] FROM tr WHERE node = 3 UNION ALL SELECT t.node, w.depth + 1, list_append(w.path, t.ord::BIGINT) FROM w JOIN tr t ON t.parent = w.node)
+SELECT row_number() OVER (ORDER BY path) AS number, depth, event_type AS value FROM w JOIN events ON event_id = node WHERE event_type <> ''""")
+def subtree_lines(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("event_id")
+    tree = table(spark, folder, "events").select(n.alias("node"), F.when(n > 0, F.floor((n - 1) / 10)).cast("long").alias("parent"), ((n - 1) % 10).alias("ord"), "event_type")
+    return hierarchy.subtree_lines(tree, 3, "event_type")
+
+
 @query("simplify_chars", f"WITH {_D} SELECT doc_id, translate('學而時習之 ' || title, '{T.TRADITIONAL}', '{T.SIMPLIFIED}') AS title FROM d")
 def simplify_chars(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", T.simplify(F.concat(F.lit("學而時習之 "), "title")).alias("title"))

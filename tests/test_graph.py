@@ -5,7 +5,10 @@ from collections import deque
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import graph, linkpred, mentions
+from corpusloom.session import Scratch
 
 from .conftest import rows
 
@@ -60,6 +63,26 @@ def test_long_chain(spark):
     assert graph.pair_distance(e, spark.createDataFrame([(0, 39), (3, 3)], "src long, dst long")).where("src = 0").first()["dist"] == 39
 
 
+def test_pair_distance_from_both_ends(spark, example, monkeypatch):
+    """Distances are those of whole searches, and frontiers have fewer rows."""
+    n, near, (v, e) = example
+    pairs = [(a, b) for a in near for b in near if (a * 7 + b) % 5 == 0] + [(3, 3), (0, n - 1)]
+    df = spark.createDataFrame(pairs + pairs[:3], "src long, dst long")
+    got = [tuple(r) for r in graph.pair_distance(e, df).collect()]
+    assert sorted(got) == sorted((a, b, distances(near, a).get(b, 10)) for a, b in pairs + pairs[:3])
+    assert {tuple(r)[2] for r in graph.pair_distance(e, df, most=2).collect()} == {0, 1, 2, 10}
+    assert graph.pair_distance(e, df.limit(0)).count() == 0
+    _, tree = table(spark, 255, [(i, (i - 1) // 2) for i in range(1, 255)])
+    seen = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: seen.append(keep(self, df)) or seen[-1])
+    leaves = spark.createDataFrame([(200, 250), (130, 131), (254, 1)], "src long, dst long")
+    assert rows(graph.pair_distance(tree, leaves)) == [(130, 131, 6), (200, 250, 12), (254, 1, 8)]
+    monkeypatch.undo()
+    whole = graph.shortest_paths(tree, leaves.select(F.col("src").alias("id")).distinct()).count()
+    assert whole == 3 * 254
+
+
 def test_paths_have_no_bound(spark):
     _, e = table(spark, 71, [(i, i + 1) for i in range(70)])
     starts = spark.createDataFrame([(0,)], "id long")

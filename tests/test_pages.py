@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import crawl, hierarchy, html, rankings, search
+from corpusloom.session import Scratch
 
 from .conftest import rows
 
@@ -58,6 +61,38 @@ def test_deep_hierarchy(spark):
     assert hierarchy.walk(tree, 500).count() == 0
 
 
+def test_very_deep_hierarchy(spark):
+    """A chain of 100,000 takes seventeen rounds, and a circle beside it none."""
+    rounds = []
+    keep = Scratch.keep
+    tree = spark.range(100_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0).alias("ord"))
+    tree = tree.unionByName(spark.createDataFrame([(200_000, 200_001, 0), (200_001, 200_000, 0), (200_002, 300_000, 0)], "id long, parent long, ord int"))
+    Scratch.keep = lambda self, df: rounds.append(1) or keep(self, df)
+    try:
+        found = hierarchy.walk(tree, 0, node="id", paths=False)
+        assert found.where("depth = node").count() == found.count() == 100_000 and len(rounds) <= 19
+    finally:
+        Scratch.keep = keep
+
+
+def test_subtree_lines(spark, tmp_path):
+    rng = random.Random(2)
+    parents = {i: rng.randrange(max(0, i - 4), i) for i in range(1, 300)}
+    tree = [(i, parents.get(i), i, f"t{i}" if i % 7 else "") for i in range(300)]
+    children = {}
+    for i, p in parents.items():
+        children.setdefault(p, []).append(i)
+
+    def told(v):
+        return ([f"t{v}"] if v % 7 else []) + [t for c in sorted(children.get(v, ())) for t in told(c)]
+
+    df = spark.createDataFrame(tree, "node long, parent long, ord int, t string").repartition(5)
+    for root in (0, 9, 299):
+        assert [r["value"] for r in hierarchy.subtree_lines(df, root, "t").orderBy("number").collect()] == told(root)
+    hierarchy.write_subtree(df, 0, "t", str(tmp_path / "s"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "s").glob("part*"))).splitlines() == told(0)
+
+
 def test_wide_hierarchy(spark):
     """More rows than the 1,000,000 of a recursive query."""
     tree = spark.range(1_000_002).select("id", F.when(F.col("id") > 0, F.lit(0)).alias("parent"), F.col("id").alias("ord"))
