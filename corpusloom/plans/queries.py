@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, crawl, graph, hierarchy, html, linkpred, mentions, ngrams, rankings, search
+from ..operators import catalog, crawl, graph, heavy, hierarchy, html, linkpred, mentions, ngrams, rankings, search
 from ..sources import writers
 from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, table
 
@@ -76,6 +76,11 @@ for _n in (1, 2, 3, 4):
     _ngram_query(_n)
 
 
+@query("ngram_top_bounded", SQL["ngram_counts_3"])
+def ngram_top_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    return heavy.top_ngrams(docs(spark, folder), "c", 3, 100)
+
+
 @query("ngram_totals", f"WITH {_D}, g AS ({' UNION ALL '.join(_grams_sql(n) for n in (1, 2, 3, 4))}), k AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram) SELECT n, count(*) AS unique_grams, sum(cnt)::BIGINT AS total_grams FROM k GROUP BY n")
 def ngram_totals(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.ngram_totals(ngrams.ngram_counts(docs(spark, folder), "c"))
