@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 _WITHIN = (1 << 33) - 1
+#: Rows of one task where wide rows are put in order.
+BLOCK = 100_000
 
 
 def numbered(df: DataFrame, *order: Column | str, into: str = "rank", group: Sequence[str] = ()) -> DataFrame:
@@ -39,3 +41,20 @@ def numbered(df: DataFrame, *order: Column | str, into: str = "rank", group: Seq
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
     return rows.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__place") + 1).alias(into))
+
+
+def arranged(df: DataFrame, order: str, group: str, into: str = "number", block: int = BLOCK) -> DataFrame:
+    """``df`` as ``numbered`` by one column within each value of another, dealt by ranges and sorted in that order, so that it can be written in it.
+
+    For wide rows: only their keys are numbered first.  Every ``block`` of numbers has its first key in a table of that many rows less, which
+    is broadcast; a row finds its block there, travels once, and is counted within its block.
+    """
+    keys = numbered(df.select(F.col(group).alias("__g"), F.col(order).alias("__lo")), "__lo", into="__n", group=["__g"])
+    starts, _ = stored(keys.where((F.col("__n") - 1) % block == 0))
+    after = F.lead(F.struct("__lo")).over(Window.partitionBy("__g").orderBy("__n"))  # a row for each block
+    starts = starts.select("__g", F.struct("__lo").alias("__lo"), "__n", after.alias("__hi"))
+    at = F.struct(F.col(order).alias("__lo"))
+    within = F.col(group).eqNullSafe(F.col("__g")) & (at >= F.col("__lo")) & (F.col("__hi").isNull() | (at < F.col("__hi")))
+    dealt = df.join(F.broadcast(starts), within).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "__n")
+    w = Window.partitionBy(group, "__n").orderBy(order)
+    return dealt.withColumn(into, F.col("__n") + F.row_number().over(w) - 1).select(*df.columns, into).sortWithinPartitions(group, into)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.order import numbered
+from ..operators.order import BLOCK, arranged
 from .readers import AUTHOR, CONTENT, RULE, TITLE
 
 # Fixed names: headers of the published tables.
@@ -16,27 +16,24 @@ PERSON_HEADER = ("排名", "人物", "提及次數", "相關詩歌數", "關聯
 PERSON_POEM_HEADER = ("詩歌ID", "作者", "標題", "人物", "提及次數")
 
 
-def volume_lines(poems: DataFrame, order: str = "seq") -> DataFrame:
-    """(volume, number, value): each poem (volume, title, author, content) as it stands in its volume, numbered in order, the first under the header.
+def volume_lines(poems: DataFrame, order: str = "seq", block: int = BLOCK) -> DataFrame:
+    """(volume, value): each poem (volume, title, author, content) as it stands in its volume, in order and numbered, the first under the header.
 
     ``order`` must tell the poems of a volume apart.  The newline that ends a row is not part of it.
     """
-    at = numbered(poems, order, into="number", group=["volume"])
+    at = arranged(poems, order, "volume", block=block)
     field = lambda c, none: F.coalesce(F.col(c), F.lit(none))
     entry = F.concat(F.col("number").cast("string"), F.lit(". "), field("title", "未知標題"), F.lit(f"\n   {AUTHOR} "), field("author", "未知作者"), F.lit(f"\n   {CONTENT}\n"), field("content", "無內容"), F.lit(f"\n{RULE}\n"))
     head = F.concat(F.lit(f"{TITLE} 第"), F.col("volume").cast("string"), F.lit("卷\n" + "=" * 50 + "\n\n"))
-    return at.select("volume", "number", F.concat(F.when(F.col("number") == 1, head).otherwise(""), entry).alias("value"))
+    return at.select("volume", F.concat(F.when(F.col("number") == 1, head).otherwise(""), entry).alias("value"))
 
 
-def write_volumes(poems: DataFrame, folder: str, order: str = "seq") -> None:
+def write_volumes(poems: DataFrame, folder: str, order: str = "seq", block: int = BLOCK) -> None:
     """A folder for each volume, <folder>/volume=<n>; its files, in the order of their names, are the volume.
 
-    A poem is a row, so a volume may be larger than a row or a task; small volumes have one file.
+    A poem is a row and ``block`` poems a task's work, so a volume may be larger than either; small volumes have one file.
     """
-    lines = volume_lines(poems, order)
-    n = int(poems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartitionByRange(n, "volume", "number").sortWithinPartitions("volume", "number")
-    dealt.select("volume", "value").write.mode("overwrite").option("lineSep", "\n").partitionBy("volume").text(folder)
+    volume_lines(poems, order, block).write.mode("overwrite").option("lineSep", "\n").partitionBy("volume").text(folder)
 
 
 def write_lines(rows: DataFrame, line: Column, folder: str, order: str | None = None) -> None:

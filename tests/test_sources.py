@@ -65,7 +65,7 @@ def test_volume_of_several_files(spark, tmp_path):
     """A volume with most of the poems is written by several tasks, numbered throughout."""
     poems = [(1 if i % 10 else 2, f"t{i}", "a", f"c{i}", i) for i in range(900)]
     df = spark.createDataFrame(poems, "volume int, title string, author string, content string, seq int").repartition(5)
-    writers.write_volumes(df, str(tmp_path / "v"))
+    writers.write_volumes(df, str(tmp_path / "v"), block=70)
     files = sorted((tmp_path / "v/volume=1").glob("*.txt"))
     assert len(files) > 4
     assert "".join(f.read_text(encoding="utf-8") for f in files) == volume(*((t, a, c) for v, t, a, c, _ in poems if v == 1), number=1)
