@@ -188,6 +188,14 @@ def graph_file(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(number(F.least).alias("a"), number(F.greatest).alias("b"), "weight")
 
 
+@query("graph_json", f"""WITH {_G}, {_IMP} SELECT (SELECT count(*) FROM imp) AS total_nodes, (SELECT count(*) FROM g WHERE src IN (SELECT id FROM imp) AND dst IN (SELECT id FROM imp)) AS total_edges""")
+def graph_json(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "graph")
+    writers.write_graph(*_network(spark, folder), path)
+    head = spark.read.text(path).where(F.startswith("value", F.lit('{"metadata"')))
+    return head.select(F.from_json(F.regexp_extract("value", r'^\{"metadata": (\{[^}]*\})', 1), "total_nodes long, total_edges long").alias("m")).select("m.*")
+
+
 @query("failure_file", f"WITH {_LOG} SELECT event_id AS volume, kind AS status, status AS original_status FROM k WHERE kind <> 'success'")
 def failure_file(spark: SparkSession, folder: str) -> DataFrame:
     path = _folder(spark, "failures")
@@ -286,3 +294,22 @@ def by_volume_joined(spark: SparkSession, folder: str) -> DataFrame:
     table_, counts = _laid_out(spark, folder), rankings.volume_counts(docs(spark, folder), "volume")
     small = counts.join(counts.agg(F.sum("docs").alias("all"))).where(F.col("docs") < F.col("all") / 4)  # one row of sums
     return textindex.rows_of_values(table_, small).select("doc_id", "author", "volume")
+
+
+@query("person_poems_file", f"""WITH {_M} SELECT d.author || '_' || d.title AS poem, d.author, d.title, m.person, mc.mentions FROM m JOIN d USING (doc_id) JOIN mc ON mc.person = m.person""")
+def person_poems_file(spark: SparkSession, folder: str) -> DataFrame:
+    d, path = docs(spark, folder).withColumn("poem", F.concat("author", F.lit("_"), "title")), _folder(spark, "person-poems")
+    writers.write_person_poems(mentions.mention_rows(mentions.mentions(d, "doc_id", "text", NAMES), d, "doc_id", "poem", "author", "title"), path)
+    poem, author, title, person, count = writers.PERSON_POEM_HEADER
+    read = spark.read.option("header", True).option("escape", "\\").option("emptyValue", "").csv(path)
+    return read.select(F.col(poem).alias("poem"), F.col(author).alias("author"), F.col(title).alias("title"), F.col(person).alias("person"), F.col(count).cast("long").alias("mentions"))
+
+
+@query("book_files", "SELECT p_brand AS urn, count(*) AS books, sum(length('brand: ' || p_brand || chr(10) || repeat('=', 50) || chr(10) || chr(10) || p_name) - 53)::BIGINT AS chars FROM part GROUP BY p_brand")
+def book_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The books of a brand in a folder; their lines are read again, without the rules and blank lines."""
+    path = _folder(spark, "books")
+    part = table(spark, folder, "part")
+    writers.write_books(part, path, "p_brand", {"p_brand": "brand"}, "p_name")
+    lines = spark.read.text(path).where((F.col("value") != "") & ~F.startswith("value", F.lit("=")))
+    return lines.groupBy("urn").agg(F.count_if(F.startswith("value", F.lit("brand: "))).alias("books"), F.sum(F.length("value")).alias("chars"))

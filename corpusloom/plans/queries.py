@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, crawl, graph, heavy, hierarchy, html, linkpred, mentions, ngrams, rankings, search
-from ..sources import writers
 from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,13 +605,3 @@ def catalog_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query("catalog_distribution", "SELECT p_brand AS value, count(*) AS n FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0 GROUP BY p_brand")
 def catalog_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.distribution(_catalog(spark, folder), catalog.COLUMNS[4])
-
-
-# --- graphs as files --------------------------------------------------------------------------------------------------
-
-
-@query("graph_json", f"""WITH {_G}, {_IMP} SELECT (SELECT count(*) FROM imp) AS total_nodes, (SELECT count(*) FROM g WHERE src IN (SELECT id FROM imp) AND dst IN (SELECT id FROM imp)) AS total_edges""")
-def graph_json(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _network(spark, folder)
-    value = writers.graph_json(nodes, edges)
-    return value.select(F.from_json("value", "metadata struct<total_nodes:long,total_edges:long>").alias("g")).select("g.metadata.*")

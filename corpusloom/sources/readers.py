@@ -124,18 +124,32 @@ def read_corpus(spark: SparkSession, path: str, volumes: str | None = None) -> D
     return poems.select(F.explode(F.from_json(F.concat(F.lit("["), F.col("v"), F.lit("]")), T.ArrayType(POEM))).alias("p")).select("p.*")
 
 
+def _members(lines: DataFrame, first: str, kind: str) -> DataFrame:
+    """The objects of a list that stands line by line, of those whose first field is ``first``."""
+    own = lines.select(F.regexp_replace("value", "^,", "").alias("v")).where(F.startswith("v", F.lit(f'{{"{first}"')))
+    return own.select(F.from_json("v", kind).alias("x")).select("x.*")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, weight, size) and edges (src, dst, weight) of a graph file, the edges with src < dst."""
-    g = spark.read.schema(GRAPH).json(path, multiLine=True)
-    edges = g.select(F.explode("edges").alias("e")).select(F.least("e.source", "e.target").alias("src"), F.greatest("e.source", "e.target").alias("dst"), "e.weight")
-    return g.select(F.explode("nodes").alias("n")).select("n.*"), edges
+    """Nodes (id, weight, size) and edges (src, dst, weight) of a graph object, the edges with src < dst; it stands in one file, or line by line in a folder."""
+    lines = spark.read.text(path)
+    if lines.where(F.startswith("value", F.lit('{"metadata"')) & F.endswith("value", F.lit('"nodes": ['))).isEmpty():
+        g = spark.read.schema(GRAPH).json(path, multiLine=True)
+        nodes, edges = g.select(F.explode("nodes").alias("n")).select("n.*"), g.select(F.explode("edges").alias("e")).select("e.*")
+    else:
+        nodes, edges = _members(lines, "id", "id string, weight long, size double"), _members(lines, "source", "source string, target string, weight long")
+    return nodes, edges.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "weight")
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
     """Failed volumes; none if there is no file, or it can't be read."""
+    kind = "volume int, status string, description string, original_status string"
     found = _json(spark, path, FAILURES)
     if found is None:
-        return spark.createDataFrame([], "volume int, status string, description string, original_status string")
+        return spark.createDataFrame([], kind)
+    lines = spark.read.text(path)
+    if not lines.where(F.col("value") == '{"failed_volumes": [').isEmpty():
+        return _members(lines, "volume", kind)
     return found.select(F.explode("failed_volumes").alias("f")).select("f.*")
 
 

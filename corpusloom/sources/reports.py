@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Headings and labels of the published reports.
+from ..operators.order import numbered
+
+# Headings and labels of the published reports, here and in the lines of corpus_report, char_ranking_lines, comparison_report, network_report and grams_report.
 CORPUS_TITLE, DETAILS_NOTE, WORDS_NOTE = "全唐詩數據分析報告", "不包含標題的n-gram分析", "只統計詩歌內容字符，不包含標題"
 COMPARISON_TITLE, NETWORK_TITLE, GRAMS_TITLE = "全唐詩標題對比分析報告", "# 全唐詩人物關係網路分析報告 (改進版)", "# 全唐詩作者 N-gram 分析報告 (不包含標題)"
 CHARS_TITLE = "全唐詩作者字符數排名 (不包含標題)"
@@ -19,20 +21,20 @@ CHARS_TITLE = "全唐詩作者字符數排名 (不包含標題)"
 Line = tuple[str, Sequence[Column]]
 
 
+def listed(items: DataFrame, section: int) -> DataFrame:
+    """(section, place, value): ``items`` (place, value) as members of a list or map, in order; every one but the first has a comma before it."""
+    at = numbered(items.select(F.struct("place", F.monotonically_increasing_id().alias("row")).alias("o"), "value"), "o", into="place")  # rows that share a place don't meet in one task
+    return at.select(F.lit(section).alias("section"), "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), "value").alias("value"))
+
+
+def fixed_line(spark: SparkSession, section: int, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(section).alias("section"), F.lit(None).cast("long").alias("place"), F.lit(text).alias("value"))
+
+
 def object_lines(items: DataFrame, head: str, tail: str) -> DataFrame:
-    """(section, place, value): the lines of an object whose list or map has ``items`` (place, value) between ``head`` and ``tail``.
-
-    Every item but the first has a comma before it; items that share the first place go on one line.
-    """
-    least = items.agg(F.min("place").alias("m"))  # one row
-    marked = items.join(F.broadcast(least)).withColumn("first", F.col("place") == F.col("m"))
-    lead = marked.where("first").groupBy("place").agg(F.array_join(F.collect_list("value"), ",").alias("value"))
-    rest = marked.where("NOT first").select("place", F.concat(F.lit(","), F.col("value")).alias("value"))
-    nowhere = F.lit(None).cast(items.schema["place"].dataType)
+    """(section, place, value): the lines of an object whose list or map has ``items`` (place, value) between ``head`` and ``tail``."""
     spark = items.sparkSession
-    ends = [spark.range(1).select(F.lit(n).alias("section"), nowhere.alias("place"), F.lit(text).alias("value")) for n, text in ((0, head), (2, tail))]
-    body = lead.unionByName(rest).select(F.lit(1).alias("section"), "place", "value")
-    return ends[0].unionByName(body).unionByName(ends[1])
+    return fixed_line(spark, 0, head).unionByName(listed(items, 1)).unionByName(fixed_line(spark, 2, tail))
 
 
 def write_object(lines: DataFrame, folder: str, one_file: bool = False) -> None:
@@ -63,7 +65,7 @@ def corpus_lines(poems: DataFrame, at: str, k: int = 20) -> DataFrame:
     of_volumes = volumes.agg(F.count("*").alias("total_volumes"), F.avg("n").alias("avg_poems_per_volume"))
     best = authors.orderBy(F.desc("n"), "author").limit(k)
     meta = _json(corpus_totals(poems).withColumn("generated_at", F.lit(at)))
-    items = poems.select(F.struct("volume", "title", "author", "content").alias("place"), F.to_json(F.struct("title", "volume", "content", "author"), {"ignoreNullFields": "false"}).alias("value"))
+    items = poems.select(F.struct("volume", F.xxhash64("title", "author", "content").alias("h")).alias("place"), F.to_json(F.struct("title", "volume", "content", "author"), {"ignoreNullFields": "false"}).alias("value"))
     tail = f'], "authors": {{"statistics": {_json(of_authors)}, "top_authors": {_by_name(best, "author", "n")}}}, "volumes": {{"statistics": {_json(of_volumes)}, "volume_poem_counts": {_by_name(volumes, "volume", "n")}}}}}'
     return object_lines(items, f'{{"metadata": {meta}, "poems": [', tail)
 

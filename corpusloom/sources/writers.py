@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.order import BLOCK, arranged
+from ..operators.order import BLOCK, arranged, numbered
 from .readers import AUTHOR, CONTENT, RULE, TITLE
 
 # Fixed names: headers of the published tables.
@@ -49,13 +50,14 @@ def write_ranking(ranking: DataFrame, folder: str, name: str = "author", count:
 
 
 def write_names(names: DataFrame, folder: str, column: str = "author") -> None:
-    """A name list as numbered lines, and as a Python list: <folder>/txt, <folder>/py."""
-    from ..operators.rankings import ranked
+    """A name list as numbered lines, and as a Python list: <folder>/txt, <folder>/py; the files of each, in the order of their names, are the list."""
+    from .reports import fixed_line, write_object
 
-    at = ranked(names.select(F.lit(0).alias("z"), F.col(column).alias("name")).distinct(), "z", "name")
-    write_lines(at, F.format_string("%4d. %s", F.col("rank"), F.col("name")), f"{folder}/txt", "rank")
-    quoted = F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("    '"), n, F.lit("',"))), "\n")
-    at.agg(F.concat(F.lit("authors = [\n"), quoted, F.lit("\n]")).alias("value")).write.mode("overwrite").text(f"{folder}/py")
+    at = numbered(names.select(F.col(column).alias("name")).distinct(), "name", into="place")
+    at.orderBy("place").select(F.format_string("%4d. %s", "place", "name").alias("value")).write.mode("overwrite").text(f"{folder}/txt")
+    quoted = at.select(F.lit(1).alias("section"), "place", F.concat(F.lit("    '"), "name", F.lit("',")).alias("value"))
+    spark = names.sparkSession
+    write_object(fixed_line(spark, 0, "authors = [").unionByName(quoted).unionByName(fixed_line(spark, 2, "]")), f"{folder}/py")
 
 
 def write_csv(rows: DataFrame, folder: str, header: Mapping[str, str] | None = None, partition: tuple[str, ...] = (), bom: bool = False) -> None:
@@ -74,15 +76,23 @@ def write_author_grams(top: DataFrame, folder: str, author: str = "author") -> N
     write_csv(top.withColumnRenamed(author, "author"), folder, dict(zip(("rank", "gram", "cnt"), GRAM_HEADER, strict=True)), ("author", "n"))
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row ``value``: the graph as JSON.  For filtered networks, which are small."""
-    n = nodes.agg(F.count("*").alias("total_nodes"), F.array_sort(F.collect_list(F.struct("id", "weight", "size"))).alias("nodes"))
-    e = edges.agg(F.count("*").alias("total_edges"), F.array_sort(F.collect_list(F.struct("source", "target", "weight"))).alias("edges"))
-    return n.join(e).select(F.to_json(F.struct(F.struct("total_nodes", "total_edges").alias("metadata"), "nodes", "edges")).alias("value"))
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(section, place, value): the lines of a graph object, a node (id, weight, size) or edge (source, target, weight) each, under its totals."""
+    from .reports import fixed_line, listed
+
+    spark = nodes.sparkSession
+    n = nodes.select(F.col("id").alias("place"), F.to_json(F.struct(F.col("id").cast("string").alias("id"), "weight", "size"), {"ignoreNullFields": "false"}).alias("value"))
+    e = edges.select(F.struct("source", "target").alias("place"), F.to_json(F.struct(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), "weight"), {"ignoreNullFields": "false"}).alias("value"))
+    head = f'{{"metadata": {{"total_nodes": {nodes.count()}, "total_edges": {edges.count()}}}, "nodes": ['
+    parts = (fixed_line(spark, 0, head), listed(n, 1), fixed_line(spark, 2, '], "edges": ['), listed(e, 3), fixed_line(spark, 4, "]}"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    graph_json(nodes, edges).coalesce(1).write.mode("overwrite").text(folder)
+    """The graph object line by line; the files of the folder, in the order of their names, are the object."""
+    from .reports import write_object
+
+    write_object(graph_lines(nodes, edges), folder)
 
 
 def report(rows: DataFrame, title: str, line: Column, order: str) -> DataFrame:
@@ -102,9 +112,12 @@ def write_books(books: DataFrame, folder: str, urn: str, fields: Mapping[str, st
 
 
 def write_failures(failed: DataFrame, folder: str) -> None:
-    """Failed volumes as one JSON object."""
-    rows = F.array_sort(F.collect_list(F.struct("volume", "status", "description", "original_status")))
-    failed.agg(rows.alias("failed_volumes"), F.count("*").alias("total_failed")).write.mode("overwrite").json(folder)
+    """Failed volumes as one JSON object, line by line."""
+    from .reports import object_lines, write_object
+
+    fields = ("volume", "status", "description", "original_status")
+    items = failed.select(F.struct(*fields).alias("place"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    write_object(object_lines(items, '{"failed_volumes": [', f'], "total_failed": {failed.count()}}}'), folder)
 
 
 def write_grams(counts: DataFrame, folder: str, k: int = 100) -> None:
