@@ -84,7 +84,7 @@ def _lacks(word: str):  # noqa: ANN202
 
 def _lines(text: Column, skip: Sequence[str], rich: bool, collapse: bool) -> Column:
     flat = F.regexp_replace(text, r"\s+", " ") if collapse else F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")
-    kept = F.filter(F.transform(F.split(flat, "\n"), F.trim), lambda s: s != "")
+    kept = F.filter(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take the place for its second argument
     for word in skip:
         kept = F.filter(kept, _lacks(word))
     if rich:

@@ -80,6 +80,18 @@ def ngram_top_bounded(spark: SparkSession, folder: str) -> DataFrame:
     return heavy.top_ngrams(docs(spark, folder), "c", 3, 100)
 
 
+#: Characters that stand for the letters, so that the tables' texts have some within the default character set.
+_HAN = "".join(chr(0x4E00 + i) for i in range(26))
+
+
+@query("ngram_counts_han", f"""WITH d AS (SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz', '{_HAN}'), '[^一-鿿]', '', 'g') AS c FROM documents),
+g AS ({_grams_sql(2)}) SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram ORDER BY cnt DESC, gram LIMIT 100""")
+def ngram_counts_han(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in the default character set."""
+    han = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _HAN)
+    return ngrams.top(ngrams.ngram_counts(table(spark, folder, "documents").select(T.clean(han).alias("c")), "c", (2,)), 100, "gram")
+
+
 @query("ngram_totals", f"WITH {_D}, g AS ({' UNION ALL '.join(_grams_sql(n) for n in (1, 2, 3, 4))}), k AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram) SELECT n, count(*) AS unique_grams, sum(cnt)::BIGINT AS total_grams FROM k GROUP BY n")
 def ngram_totals(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.ngram_totals(ngrams.ngram_counts(docs(spark, folder), "c"))
@@ -389,7 +401,15 @@ def page_text_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", T.page_text(F.coalesce("html", F.lit(""))).alias("content"))
 
 
-@query("page_rich_text")
+_BLOCK = r'(?s)<div[^>]*class="[^"]*text[^"]*"[^>]*>(.*?)</div>'
+
+
+@query("page_rich_text", rf"""WITH b AS (SELECT page_id, {_BARE} AS b FROM pages), m AS (SELECT page_id, CASE WHEN regexp_matches(b, '{_BLOCK}') THEN regexp_extract(b, '{_BLOCK}', 1) ELSE b END AS b FROM b),
+x AS (SELECT page_id, regexp_replace(regexp_replace(b, '<br\s*/?>|<p[^>]*>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM m),
+e AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM x),
+l AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(t, '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '' AND {_skip_sql(T.RICH_SKIP)}
+  AND NOT regexp_matches(s, '^[\d\s\-_]+$') AND (length(s) >= 3 OR regexp_matches(s, '[一-鿿]'))) AS ls FROM e)
+SELECT page_id, trim(array_to_string(ls, chr(10))) AS content FROM l""")
 def page_rich_text(spark: SparkSession, folder: str) -> DataFrame:
     from ..session import ship
 
@@ -426,6 +446,13 @@ def page_dom_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(docs(spark, folder).select("doc_id", page.alias("page")), "doc_id", "page")
 
 
+@query("page_without_author", f"""WITH {_D}, x AS (SELECT doc_id, {_PLAIN.format('title')} AS title, {_PLAIN.format('text')} AS content FROM d) SELECT doc_id, 0 AS pos, title, '佚名' AS author, content FROM x WHERE title <> '' AND content <> ''""")
+def page_without_author(spark: SparkSession, folder: str) -> DataFrame:
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[<>&]", ""), r"\s+", " "))
+    page = F.concat(F.lit("<html><body><table><tr><td><h2>《<a>"), plain("title"), F.lit("</a>》</h2></td></tr></table><table border='0'><tr><td class='ctext'>"), plain("text"), F.lit("</td></tr></table></body></html>"))
+    return html.extract(docs(spark, folder).select("doc_id", page.alias("page")), "doc_id", "page")
+
+
 def _poem_page(d: DataFrame) -> DataFrame:
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[<>&]", ""), r"\s+", " "))
     page = F.concat(
