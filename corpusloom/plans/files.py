@@ -145,6 +145,13 @@ def ranking_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(f"{path}/txt").select(*(F.regexp_extract("value", pattern, i).cast(kind).alias(name) for i, name, kind in ((1, "rank", "long"), (2, "author", "string"), (3, "docs", "long"))))
 
 
+@query("ranking_json", SQL["ranking_files"])
+def ranking_json(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "ranking")
+    writers.write_ranking(rankings.ranked(rankings.author_counts(docs(spark, folder), "author"), "docs", "author"), path)
+    return spark.read.schema("author string, docs long, rank long").json(f"{path}/json")
+
+
 @query("name_files", "SELECT DISTINCT source AS name, 'txt' AS kind FROM documents UNION ALL SELECT DISTINCT source, 'py' FROM documents")
 def name_files(spark: SparkSession, folder: str) -> DataFrame:
     path = _folder(spark, "names")
@@ -160,6 +167,14 @@ def gram_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("gram string, cnt long, n int").json(f"{path}/json")
 
 
+@query("gram_lines", f"""WITH {_D}, g AS ({' UNION ALL '.join(_grams_sql(n) for n in (1, 2))}), k AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, gram) AS rank FROM k QUALIFY rank <= 100) SELECT printf('%d-gram %4d. %s: %d', n, rank, gram, cnt) AS line FROM r""")
+def gram_lines(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "grams")
+    writers.write_grams(ngrams.ngram_counts(docs(spark, folder), "c", (1, 2)), path)
+    return spark.read.text(f"{path}/txt").select(F.col("value").alias("line"))
+
+
 @query("author_gram_files", f"""WITH {_D}, g AS ({_grams_sql(2, by='author, ')}), k AS (SELECT author, n, gram, count(*) AS cnt FROM g GROUP BY ALL)
 SELECT author, n, gram, cnt, row_number() OVER (PARTITION BY author ORDER BY cnt DESC, gram) AS rank FROM k QUALIFY rank <= 50""")
 def author_gram_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -313,3 +328,10 @@ def book_files(spark: SparkSession, folder: str) -> DataFrame:
     writers.write_books(part, path, "p_brand", {"p_brand": "brand"}, "p_name")
     lines = spark.read.text(path).where((F.col("value") != "") & ~F.startswith("value", F.lit("=")))
     return lines.groupBy("urn").agg(F.count_if(F.startswith("value", F.lit("brand: "))).alias("books"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("page_files", "SELECT page_id, length(coalesce(html, '')) + 1 AS chars, md5(coalesce(html, '') || chr(10)) AS html FROM pages")
+def page_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "pages")
+    writers.write_pages(table(spark, folder, "pages"), path, "page_id")
+    return readers.read_pages(spark, path).select(F.col("page_id").cast("long").alias("page_id"), F.length("html").cast("long").alias("chars"), F.md5("html").alias("html"))

@@ -163,5 +163,7 @@ def read_catalog(spark: SparkSession, titles: str, details: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, html) of saved pages."""
-    return spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("html"))
+    """(file, html) of saved pages, and what the names of their folders tell (<name>=<value>)."""
+    found = spark.read.text(folder, wholetext=True)
+    told = [c for c in found.columns if c != "value"]
+    return found.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("html"), *told)

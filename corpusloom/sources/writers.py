@@ -111,6 +111,11 @@ def write_books(books: DataFrame, folder: str, urn: str, fields: Mapping[str, st
     books.select(F.col(urn).alias("urn"), book_text(books, fields, content).alias("value")).write.mode("overwrite").partitionBy("urn").text(folder)
 
 
+def write_pages(pages: DataFrame, folder: str, key: str, html: str = "html") -> None:
+    """A folder with a file for each page: <folder>/<key>=<value>."""
+    pages.select(key, F.coalesce(F.col(html), F.lit("")).alias("value")).write.mode("overwrite").partitionBy(key).text(folder)
+
+
 def write_failures(failed: DataFrame, folder: str) -> None:
     """Failed volumes as one JSON object, line by line."""
     from .reports import object_lines, write_object
