@@ -7,14 +7,16 @@ reads only the blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ends a text, so that its last characters begin a trigram too and queries of one or two characters have lists.
-END = "\x00\x00"
+from ..session import ship
+
 LIST_FOLDERS = 64
 BLOCKS = 64
 #: Lists that are intersected; more of them read more and exclude little.
@@ -27,13 +29,34 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _grams(text: Column, end: str = END) -> Column:
-    return F.regexp_extract_all(F.concat(F.lower(text), F.lit(end)), F.lit("(?s)(?=(...))"), F.lit(1))
+def _codes(text: str) -> np.ndarray:
+    """The trigrams of a text, each as a number of 63 bits, sorted, once; the last ones are filled up with zeros."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    whole = np.concatenate((points, [0, 0]))
+    return np.unique((whole[:-2] << 42) | (whole[1:-1] << 21) | whole[2:])
 
 
-def _list_folder(gram: Column) -> Column:
+def _folder(gram: Column) -> Column:
     """Lists lie by their first character, so what begins alike lies together."""
-    return F.pmod(F.xxhash64(F.left(gram, F.lit(1))), F.lit(LIST_FOLDERS)).cast("int")
+    return F.pmod(F.xxhash64(F.shiftright(gram, 42)), F.lit(LIST_FOLDERS)).cast("int")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, base, n, at): of each batch of (key, text, ...) the keys of every trigram, as offsets from a base."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        texts = zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True)
+        found = [np.unique(np.concatenate([_codes(t) for t in own if t] or [np.zeros(0, np.int64)])) for own in texts]
+        if not sum(map(len, found)):
+            continue
+        gram, key = np.concatenate(found), np.repeat(keys, [len(f) for f in found])
+        base = key >> 31 << 31  # offsets fit an int
+        order = np.lexsort((key, base, gram))
+        gram, base, at = gram[order], base[order], (key - base)[order].astype(np.int32)
+        new = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (base[1:] != base[:-1]))))
+        ends = np.concatenate((new, [len(gram)]))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at))
+        yield pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(base[new]), pa.array(np.diff(ends)), lists], ["gram", "base", "n", "at"])
 
 
 def _block(key: Column) -> Column:
@@ -51,28 +74,29 @@ class TextIndex:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/{name}")
 
-    def grams_of(self, spark: SparkSession, query: str) -> list[str]:
-        """Those of a query, lower-cased as the texts were."""
-        return sorted(set(spark.range(1).select(_grams(F.lit(query), "")).first()[0]))
+    def grams_of(self, spark: SparkSession, query: str) -> list[int]:
+        """Those of a query, lower-cased as the texts were, without what ends a text."""
+        lowered = spark.range(1).select(F.lower(F.lit(query))).first()[0]
+        return [g for g in _codes(lowered).tolist() if g & (1 << 21) - 1] if len(lowered) >= 3 else []
 
     def candidates(self, spark: SparkSession, query: str) -> DataFrame:
         """(key): rows that have the query's rarest trigrams, and so all that contain it."""
-        known = self.table(spark, "grams")
-        if len(query) < 3:
-            start = spark.range(1).select(F.lower(F.lit(query)), _list_folder(F.lower(F.lit(query)))).first()
-            lists = self.table(spark, "postings").where((F.col("folder") == start[1]) & F.startswith("gram", F.lit(start[0])))
-            return lists.select("key").distinct()
-        wanted = self.grams_of(spark, query)
-        folders = {r[0]: r[1] for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select("gram", _list_folder(F.col("gram"))).collect()}
-        among = lambda grams: F.col("folder").isin(sorted({folders[g] for g in grams})) & F.col("gram").isin(grams)
-        found = sorted((r["n"], r["gram"]) for r in known.where(among(wanted)).select("gram", "n").collect())  # as many as the query has
+        lists, wanted = self.table(spark, "postings"), self.grams_of(spark, query)
+        key = lambda rows: rows.select("gram", F.explode("at").alias("o"), "base").select("gram", (F.col("base") + F.col("o")).alias("key"))
+        if not wanted:  # one or two characters: the trigrams that begin with them
+            points = [ord(c) for c in spark.range(1).select(F.lower(F.lit(query))).first()[0]]
+            low, width = sum(p << 21 * (2 - i) for i, p in enumerate(points)), 1 << 21 * (3 - len(points))
+            place = spark.range(1).select(_folder(F.lit(low))).first()[0]
+            return key(lists.where((F.col("folder") == place) & (F.col("gram") >= low) & (F.col("gram") < low + width))).select("key").distinct()
+        places = {r[0]: r[1] for r in spark.createDataFrame([(g,) for g in wanted], "gram long").select("gram", _folder(F.col("gram"))).collect()}
+        among = lambda grams: F.col("folder").isin(sorted({places[g] for g in grams})) & F.col("gram").isin(grams)
+        sizes = self.table(spark, "grams").where(among(wanted)).select("n", "gram")
+        found = sorted(tuple(r) for r in sizes.collect())  # as many as the query has
         if len(found) < len(wanted):
-            return known.select(F.lit(None).cast(self.table(spark, "postings").schema["key"].dataType).alias("key")).limit(0)
+            return spark.createDataFrame([], "key long")
         rare = [g for _, g in found[:LISTS]]
-        hits = self.table(spark, "postings").where(among(rare))
-        if len(rare) == 1:
-            return hits.select("key")
-        return hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("key")
+        hits = key(lists.where(among(rare)))
+        return hits.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("key")
 
     def search(self, spark: SparkSession, query: str, limit: int = 10) -> DataFrame:
         """The first rows, by key, with the query in one of the columns, regardless of case; a limit below one gives one row.
@@ -112,12 +136,19 @@ class TextIndex:
 
 
 def write_index(docs: DataFrame, folder: str, columns: Sequence[str], key: str = "doc_id") -> TextIndex:
-    """Write the index of ``docs``.  Lists are sorted by trigram and key and cut into files by ranges of both, so a very common trigram fills many files."""
-    n = _partitions(docs.sparkSession)
-    has = F.array_distinct(F.concat(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in columns)))
-    lists = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(has).alias("gram")).withColumn("folder", _list_folder(F.col("gram")))
-    lists.repartitionByRange(n, "folder", "gram", "key").sortWithinPartitions("folder", "gram", "key").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/postings")
-    sizes = docs.sparkSession.read.parquet(f"{folder}/postings").groupBy("folder", "gram").agg(F.count("*").alias("n"))
+    """Write the index of ``docs``, whose keys are integers; rows without one are not found.
+
+    A batch of rows gives one list for each trigram, so the keys are sorted and put together before they travel.  Lists lie by the first character and
+    a hash of their content, sorted by trigram, so the many lists of a very common trigram fill many files.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    n = _partitions(spark)
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), *(F.lower(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)))
+    lists = texts.mapInArrow(_lists, "gram long, base long, n long, at array<int>").withColumn("folder", _folder(F.col("gram")))
+    dealt = lists.repartition(n, "folder", F.pmod(F.xxhash64("gram", "at"), F.lit(max(1, n // LIST_FOLDERS)))).sortWithinPartitions("folder", "gram", "base")
+    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/postings")
+    sizes = spark.read.parquet(f"{folder}/postings").groupBy("folder", "gram").agg(F.sum("n").alias("n"))
     sizes.repartitionByRange(n, "folder", "gram").sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/grams")
     rows = docs.withColumn("block", _block(F.col(key)))
     rows.repartitionByRange(n, "block", key).sortWithinPartitions("block", key).write.mode("overwrite").partitionBy("block").parquet(f"{folder}/rows")
