@@ -12,7 +12,9 @@ from ..session import stored
 
 _WITHIN = (1 << 33) - 1
 #: Rows of one task where wide rows are put in order.
-BLOCK = 100_000
+BLOCK = 25_000
+#: Blocks of a span.
+FAN = 512
 
 
 def numbered(df: DataFrame, *order: Column | str, into: str = "rank", group: Sequence[str] = ()) -> DataFrame:
@@ -47,14 +49,17 @@ def arranged(df: DataFrame, order: str, group: str, into: str = "number", block:
     """``df`` as ``numbered`` by one column within each value of another, dealt by ranges and sorted in that order, so that it can be written in it.
 
     For wide rows: only their keys are numbered first.  Every ``block`` of numbers has its first key in a table of that many rows less, which
-    is broadcast; a row finds its block there, travels once, and is counted within its block.
+    is broadcast; a row finds a span of ``FAN`` blocks and its block in that, travels once, and is counted within its block.
     """
     keys = numbered(df.select(F.col(group).alias("__g"), F.col(order).alias("__lo")), "__lo", into="__n", group=["__g"])
-    starts, _ = stored(keys.where((F.col("__n") - 1) % block == 0))
-    after = F.lead(F.struct("__lo")).over(Window.partitionBy("__g").orderBy("__n"))  # a row for each block
-    starts = starts.select("__g", F.struct("__lo").alias("__lo"), "__n", after.alias("__hi"))
+    starts, _ = stored(keys.where((F.col("__n") - 1) % block == 0).select("__g", F.struct("__lo").alias("__lo"), "__n", F.floor((F.col("__n") - 1) / (block * FAN)).alias("__of")))
+    w = Window.partitionBy("__g").orderBy("__n")  # a row for each block
+    blocks = starts.select(F.col("__g").alias("__h"), F.col("__of").alias("__in"), "__lo", "__n", F.lead("__lo").over(w).alias("__hi"))
+    spans = starts.where((F.col("__n") - 1) % (block * FAN) == 0).select("__g", "__of", F.col("__lo").alias("__from"), F.lead("__lo").over(w).alias("__to"))
     at = F.struct(F.col(order).alias("__lo"))
-    within = F.col(group).eqNullSafe(F.col("__g")) & (at >= F.col("__lo")) & (F.col("__hi").isNull() | (at < F.col("__hi")))
-    dealt = df.join(F.broadcast(starts), within).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "__n")
+    within = lambda lo, hi: (at >= F.col(lo)) & (F.col(hi).isNull() | (at < F.col(hi)))
+    found = df.join(F.broadcast(spans), F.col(group).eqNullSafe(F.col("__g")) & within("__from", "__to"))
+    found = found.join(F.broadcast(blocks), F.col(group).eqNullSafe(F.col("__h")) & (F.col("__of") == F.col("__in")) & within("__lo", "__hi"))
+    dealt = found.select(*df.columns, "__n").repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "__n")
     w = Window.partitionBy(group, "__n").orderBy(order)
     return dealt.withColumn(into, F.col("__n") + F.row_number().over(w) - 1).select(*df.columns, into).sortWithinPartitions(group, into)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import catalog, ngrams, rankings
+from corpusloom.operators import catalog, ngrams, order, rankings
 from corpusloom.sources import readers, reports, writers
 
 from .conftest import rows
@@ -61,8 +61,10 @@ def test_large_volume(spark, tmp_path):
     spark.conf.set("spark.sql.files.openCostInBytes", old[1])
 
 
-def test_volume_of_several_files(spark, tmp_path):
+@pytest.mark.parametrize("fan", [2, 512])
+def test_volume_of_several_files(spark, tmp_path, monkeypatch, fan):
     """A volume with most of the poems is written by several tasks, numbered throughout."""
+    monkeypatch.setattr(order, "FAN", fan)
     poems = [(1 if i % 10 else 2, f"t{i}", "a", f"c{i}", i) for i in range(900)]
     df = spark.createDataFrame(poems, "volume int, title string, author string, content string, seq int").repartition(5)
     writers.write_volumes(df, str(tmp_path / "v"), block=70)
