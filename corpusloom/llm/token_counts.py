@@ -9,6 +9,7 @@ only the rest is merged by the library.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,35 +24,46 @@ MEMO_WORDS = 400_000
 MEMO_WORD_CHARS = 64
 
 
+def _marked(library: object, text: str) -> list[str]:
+    """The pieces of a text whose words are encoded one after another with their marks."""
+    out: list[str] = []
+    for part in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)):
+        out += library.encode(part[1:], out_type=str) if len(part) > 1 else [MARK]
+    return out
+
+
+def _library(model: bytes) -> object:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def prove(model: bytes) -> tuple[bool, bool, list[str]]:
+    """What the vocabulary of a sentencepiece BPE model (given as bytes) allows: whether words can be counted apart, whether a line feed ends them, and the words that are one token alone."""
+    sp = _library(model)
+    plain = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    #: What the shortcut rests on; where it doesn't hold, every text goes through the library whole.
+    proven = (
+        not any(re.search(f"[^{MARK}]{MARK}", p) for p in plain)
+        and [sp.encode(t, out_type=str) for t in ("", "a  b ", "ﬁ")] == [[], *(_marked(sp, t) for t in ("a  b ", "ﬁ"))]
+    )
+    #: A line feed is in no piece, so it ends words too and is a token of its own.
+    feed = proven and not any("\n" in p for p in plain) and len(sp.encode("\n")) == 2
+    starting = [p for p in plain if p[0] == MARK and MARK not in p[1:] and len(p) > 1]
+    encoded = sp.encode([p[1:] for p in starting])
+    return proven, feed, [p[1:] for p, ids in zip(starting, encoded, strict=True) if len(ids) == 1]
+
+
 class WholeTokens:
-    """Counts the tokens of texts under a sentencepiece BPE model given as bytes."""
-
-    def __init__(self, model: bytes) -> None:
-        import sentencepiece
-
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        sp = self.library
-        plain = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        #: What the shortcut rests on; where it doesn't hold, every text goes through the library whole.
-        self.proven = (
-            not any(re.search(f"[^{MARK}]{MARK}", p) for p in plain)
-            and [sp.encode(t, out_type=str) for t in ("", "a  b ", "ﬁ")] == [[], *(self._marked(t) for t in ("a  b ", "ﬁ"))]
-        )
-        #: A line feed is in no piece, so it ends words too and is a token of its own.
-        self.feed = self.proven and not any("\n" in p for p in plain) and len(sp.encode("\n")) == 2
-        starting = [p for p in plain if p[0] == MARK and MARK not in p[1:] and len(p) > 1]
-        encoded = sp.encode([p[1:] for p in starting])
-        self.whole = {p[1:]: 1 for p, ids in zip(starting, encoded, strict=True) if len(ids) == 1}
+    """Counts the tokens of texts under a sentencepiece BPE model given as bytes, by what ``prove`` tells of it."""
+
+    def __init__(self, model: bytes, proof: tuple[bool, bool, list[str]] | None = None) -> None:
+        self.library = _library(model)
+        self.proven, self.feed, whole = proof or prove(model)
+        self.whole = dict.fromkeys(whole, 1)
         self.memo: dict[str, int] = {}
         self.after: dict[str, int] = {}
 
-    def _marked(self, text: str) -> list[str]:
-        """The pieces of a text whose words are encoded one after another with their marks."""
-        out: list[str] = []
-        for part in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)):
-            out += self.library.encode(part[1:], out_type=str) if len(part) > 1 else [MARK]
-        return out
-
     def _merge(self, words: set[str], memo: dict[str, int], lead: str) -> None:
         extra = len(self.library.encode(lead)) if lead else 0
         if len(memo) > MEMO_WORDS:
@@ -115,6 +127,17 @@ class WholeTokens:
         return sum(counts)
 
 
+@functools.lru_cache(maxsize=4)
+def _proof(proto: bytes) -> tuple[bool, bool, list[str]]:
+    return prove(proto)
+
+
+def _with_proof(model: str) -> tuple[bytes, tuple[bool, bool, list[str]]]:
+    with open(model, "rb") as f:
+        proto = f.read()
+    return proto, _proof(proto)
+
+
 def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """``docs`` with a column of token counts (long), row by row, without a shuffle.
 
@@ -122,10 +145,10 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n
     a column that is already called ``into`` is replaced.  Texts are read whole.
     """
     ship(docs.sparkSession)
-    with open(model, "rb") as f:
-        proto = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
+    sent = docs.sparkSession.sparkContext.broadcast(_with_proof(model))  # one vocabulary file and its words
+
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = WholeTokens(proto.value)
+        counter = WholeTokens(*sent.value)
         for batch in batches:
             yield pd.Series([counter.count(t) for t in batch], dtype="int64")
 
