@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,26 +14,58 @@ from ._spark import column_udf, load, ship
 
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SLOTS = 1 << 13
+SLOTS = 1 << 15
 ORDERS = (3, 4, 5)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The small labelled table: 1 for a url that a text crawl does not want.  Hosts and paths are made of common words of either kind: what sells
-#: pills, bets, loans and links, and what publishes texts.  ``filter_urls`` takes any other table of (url, label).
-_SELLS = ("discount-pills", "pillstore24", "cheapmeds-online", "buy-cheap-watches", "casino-royal-bonus", "luckyslots", "bet-and-win", "pokerchips-free", "payday-loans-now", "instant-credit4u",
-    "hot-dating-cams", "xxx-videos", "sexy-chat", "free-iphone-win", "prize-claim", "crypto-profit-bot", "forex-miracle", "seo-link-farm", "backlinks-farming", "spammers-mail", "bulk-spam-mailer", "cheap-spam-traffic", "cheapest-loans", "cheap-designer-bags", "pill-market", "mega-pills", "sex-cams-live", "cams4free", "spam-hosting", "link-farmers", "online-betting", "replica-handbags", "viagra-rx", "weightloss-miracle", "torrent-cracks")
-_PUBLISHES = ("www.citylibrary", "news.riverton", "blog.gardening", "m.weather", "university-press", "stories", "history", "science-journal", "museum", "docs.software", "wiki.languages", "schools",
-    "radio", "theatre", "cooking", "travel.notes", "health", "council", "archive", "poetry", "www.mountains", "blog.annette", "m.herald", "physics", "orchestra", "the-observer", "books", "maritime", "www.northern", "letters",
-    "harbour", "nature", "en.reference", "architecture", "statistics", "m.morning", "blog.thomas", "www.institute", "trains", "forest",
-    "theology", "thoughts", "www.thirdsector", "nationalpark", "traditions", "en.nation", "station", "the-village", "northland", "teaching", "birds", "www.lighthouse", "rivers", "old-maps", "choir", "translation")
-_ENDS = ("com", "org", "net", "info")
+#: The small labelled table: 1 for a url that a text crawl does not want.  Hosts are made of words by topic, each alone, with another of its topic,
+#: and with a modifier that either kind may have.  Those of the last wanted topic are common words and names that have the letters of an unwanted one inside.
+#: ``filter_urls`` takes any other table of (url, label).
+_UNWANTED = {
+    "pharmacy": "pills meds pharmacy viagra cialis tablets weightloss",
+    "betting": "bets betting bookmaker odds wager sportsbook bet",
+    "casino": "casino slots jackpot roulette poker bingo lottery",
+    "adult": "porn xxx sex cams nude escorts adult erotic dating",
+    "advertising": "ads adserver adservices clicks tracker tracking banners popups pixel syndication ad",
+    "link spam": "spam backlinks linkfarm seo traffic bulkmail contentfarm",
+    "fraud": "prize winner giveaway iphone payday loans instantcredit crypto forex bonus",
+    "copies": "replica rolex handbags torrents warez cracks keygen",
+}
+_WANTED = {
+    "reference": "wikipedia encyclopedia dictionary archive gutenberg library reference atlas translation",
+    "news": "bbc guardian times herald gazette observer chronicle post newsroom weather radio",
+    "science": "nature physics astronomy chemistry biology mathematics journal geology institute statistics",
+    "learning": "university school college teaching academy lectures students languages textbooks",
+    "public life": "parliament council ministry courts townhall embassy elections park hospital",
+    "culture": "museum theatre orchestra poetry stories cathedral gallery festival choir literature history philosophy",
+    "daily life": "cooking recipes gardening travel parenting health trains mountains fishing village forest",
+    "technology": "software docs github stackoverflow kernel python electronics robotics networking",
+    "people": "annette thomas margaret schmidt letters diary blogger notes daniel sofia",
+    "near misses": "middlesex adriatic alphabet better elizabeth diabetes address roads shadows spinoza winchester winter freedom farmers windfarm athletics railway pillars caterpillar linked headlines cards camping department adults-learning",
+}
+_FIRST, _LAST = ("best-", "my", "free-", "the-", "cheap-", "online"), ("24", "-online", "hub", "-now", "world", "-win", "site", "-store")
+_PLACES, _ENDS = ("", "www.", "m.", "blog.", "news.", "cdn."), ("com", "org", "net", "info")
 _OFFERS, _TEXTS = ("buy-now?aff=7", "order/cheap.php", "win/bonus", "click.html?id=99"), ("article/1", "en/2024/about.html", "posts/12?page=2", "de/index")
-LABELLED = tuple(
-    (f"{scheme}://{host}.{end}/{path}", label)
-    for label, hosts, paths in ((1, _SELLS, _OFFERS), (0, _PUBLISHES, _TEXTS))
-    for n, host in enumerate(hosts)
-    for scheme, end, path in (("http", _ENDS[n % 4], paths[n % 4]), ("https", _ENDS[(n + 1) % 4], ""), ("http", _ENDS[(n + 2) % 4], _TEXTS[(n + 1) % 4]))
-)
+
+
+def labelled_table(unwanted: Mapping[str, str] = _UNWANTED, wanted: Mapping[str, str] = _WANTED) -> tuple[tuple[str, int], ...]:
+    """Four hosts of each word with paths that are as common for either kind, so they tell nothing; an unwanted word has an offer's path besides."""
+    table = []
+    for label, topics in ((1, unwanted), (0, wanted)):
+        n = 0
+        for words in map(str.split, topics.values()):
+            for i, word in enumerate(words):
+                hosts = (word, _FIRST[n % 6] + word, word + _LAST[n % 8], f"{word}-{words[i - 1]}")
+                ends = ("", _TEXTS[n % 4], "", _TEXTS[(n + 1) % 4]) if n % 2 else (_TEXTS[n % 4], "", _TEXTS[(n + 1) % 4], "")
+                urls = [f"http://{_PLACES[(n + j) % 6]}{host}.{_ENDS[(n + j) % 4]}/{end}" for j, (host, end) in enumerate(zip(hosts, ends, strict=True))]
+                if label:
+                    urls.append(f"https://{word}.{_ENDS[n % 4]}/{_OFFERS[n // 2 % 4]}")
+                table += [(url, label) for url in urls]
+                n += 1
+    return tuple(table)
+
+
+LABELLED = labelled_table()
 
 
 def host_of(url: str) -> Column:
@@ -64,8 +96,8 @@ def slots(host: str, path: str) -> list[int]:
     return sorted(found)
 
 
-def fit(labelled: Sequence[tuple[str, str, int]], rounds: int = 400, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full gradient steps over a small table of (host, path, label); zero weights if it is empty."""
+def fit(labelled: Sequence[tuple[str, str, int]], rounds: int = 1000, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full gradient steps over a small table of (host, path, label), both kinds of which weigh the same; zero weights if it is empty."""
     w, b = np.zeros(SLOTS), 0.0
     if not labelled:
         return w, b
@@ -73,11 +105,13 @@ def fit(labelled: Sequence[tuple[str, str, int]], rounds: int = 400, rate: float
     row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
     size = 1 / np.sqrt([len(a) for a in at])
     y = np.array([x for _, _, x in labelled], float)
+    weight = np.where(y > 0, 1 / max(1.0, y.sum()), 1 / max(1.0, (1 - y).sum()))
+    weight /= weight.sum()
     for _ in range(rounds):
         z = np.bincount(row, w[col], len(at)) * size + b
-        e = 1 / (1 + np.exp(-z)) - y
-        w -= rate * (np.bincount(col, (e * size)[row], SLOTS) / len(at) + decay * w)
-        b -= rate * e.mean()
+        e = (1 / (1 + np.exp(-z)) - y) * weight
+        w -= rate * (np.bincount(col, (e * size)[row], SLOTS) + decay * w)
+        b -= rate * e.sum()
     return w, b
 
 
