@@ -24,6 +24,8 @@ UNKNOWN = "und"
 DOCS_A_LANGUAGE = 1500
 WORDS_A_LANGUAGE = 15_000
 GRAMS_A_LANGUAGE = 15_000
+#: The fit takes n-grams from words of up to so many letters: longer runs are data rather than words, and one may be a whole text.  They count as words, and are scored whole.
+GRAM_WORD_LETTERS = 60
 ORDERS = (5, 4, 3, 2, 1)
 MEMO_WORDS = 200_000
 #: A word is a run of letters, characters of the categories L*; here and in the fit, which runs on the JVM.
@@ -76,7 +78,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         words = _top(counted.where("n >= 2"), WORDS_A_LANGUAGE)
         bounded = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
         grams = (
-            counted.where(F.length("item") <= 60)
+            counted.where(F.length("item") <= GRAM_WORD_LETTERS)
             .select("lang", "n", bounded.alias("w"))
             .select("lang", "n", F.explode(F.concat(*(F.regexp_extract_all("w", F.lit("(?=(" + "." * o + "))"), F.lit(1)) for o in ORDERS))).alias("item"))
             .groupBy("lang", "item").agg(F.sum("n").alias("n"))

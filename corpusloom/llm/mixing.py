@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, WHITESPACE, release, slices, texts, word_spans, words
-from ._spark import column_udf, cut, load, ship
+from ._spark import column_udf, cut, labelled_sample, load, ship
 
-#: Bounds of the classifier: labelled documents of each domain, characters of a document to be learned from (longer ones aren't),
-#: known words and the documents that a word must be in to be known.
+#: Bounds of the classifier: labelled documents of each domain and their bytes, known words and the documents that a word must be in to be known.
 DOCS_A_DOMAIN = 800
-DOC_CHARS = 10_000
+BYTES_A_DOMAIN = 4_000_000
 KNOWN_WORDS = 20_000
 LEAST_DOCS = 3
 #: The miss, as a share of all tokens, that counts as none; passes after which the fit gives up (and says so); first and last pull.
@@ -102,16 +101,10 @@ def fit_texts(some: Sequence[str], domains: Sequence[str], names: Sequence[str],
 
 
 def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> dict:
-    """The classifier from labelled rows; nulls are left out, of each domain a share chosen by a hash of the key is used."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(domain).isin(*names) & (F.length(text) <= DOC_CHARS))
+    """The classifier from labelled rows; nulls are left out, of each domain the first by hash are used (``labelled_sample``), as many as the bounds allow."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(domain).isin(*names))
     rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(domain).alias("d"))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for d, n in sizes.items():
-        chosen = chosen | ((F.col("d") == d) & (place < int(1_000_000 * min(1.0, 0.95 * DOCS_A_DOMAIN / n)) + 1))
-    found = rows.where(chosen).limit(len(names) * DOCS_A_DOMAIN).collect()  # the limit is beyond what the shares give, but for chance
-    found.sort(key=lambda r: (r["k"], r["t"]))
+    found, sizes = labelled_sample(rows, "d", DOCS_A_DOMAIN, BYTES_A_DOMAIN)
     model = fit_texts([r["t"] for r in found], [r["d"] for r in found], names, sizes)
     del found
     release()

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, U64, grouped, release, slices, texts, words
-from ._spark import column_udf, load, ship
+from ._spark import column_udf, labelled_sample, load, ship
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 CHAR_SLOTS = 1 << 13
-#: Bounds of the fit: labelled texts of each class, characters of a text to be learned from (longer ones aren't), known words.
+#: Bounds of the fit: labelled texts of each class and their bytes, known words.
 TEXTS_A_CLASS = 2000
-TEXT_CHARS = 20_000
+BYTES_A_CLASS = 8_000_000
 KNOWN_WORDS = 20_000
 #: A word of fewer texts tells nothing: it may belong to copies of one text.
 LEAST_TEXTS = 5
@@ -287,16 +287,10 @@ def fit_texts(some: list[str], labels: list[int], toxic_share: float | None = No
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """A model from labelled rows; null texts and labels are left out, of each class a share chosen by a hash of the key is used."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) <= TEXT_CHARS))
+    """A model from labelled rows; null texts and labels are left out, of each class the first by hash are used (``labelled_sample``), as many as the bounds allow."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
     rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for y, n in sizes.items():
-        chosen = chosen | ((F.col("y") == y) & (place < int(1_000_000 * min(1.0, 0.95 * TEXTS_A_CLASS / n)) + 1))
-    found = rows.where(chosen).limit(2 * TEXTS_A_CLASS).collect()  # the limit is beyond what the shares give, but for chance
-    found.sort(key=lambda r: (r["k"], r["t"]))
+    found, sizes = labelled_sample(rows, "y", TEXTS_A_CLASS, BYTES_A_CLASS)
     model = fit_texts([r["t"] for r in found], [r["y"] for r in found], sizes.get(1, 0) / max(1, sum(sizes.values())))
     del found
     release()

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import warnings
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes, _components, _windows, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from corpusloom.llm._components import components
+from corpusloom.llm._spark import labelled_sample
 
 from ..conftest import DATA
 
@@ -74,6 +78,18 @@ def test_token_counts_match_the_library(spark):
     assert all(got[k]["n_bytes"] == len(t.encode()) and got[k]["over_limit"] == (got[k]["n_tokens"] > 4096) for k, t in texts.items())
 
 
+def test_tokens_proven_once(spark, monkeypatch):
+    """The vocabulary is proven before texts are read, once for however many tasks and calls."""
+    calls = []
+    plain = token_counts.prove
+    monkeypatch.setattr(token_counts, "prove", lambda proto: calls.append(1) or plain(proto))
+    token_counts._proof.cache_clear()
+    docs = spark.createDataFrame([(i, "two words") for i in range(20)], "doc_id long, text string").repartition(5)
+    for _ in range(2):
+        assert {r["n_tokens"] for r in token_counts.count_tokens(docs, token_counts.default_model()).collect()} == {2}
+    assert len(calls) == 1
+
+
 def test_token_counts_of_odd_texts():
     with open(token_counts.default_model(), "rb") as f:
         counter = token_counts.WholeTokens(f.read())
@@ -314,11 +330,49 @@ def test_url_filter(spark):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     assert len(rows) == len(urls)
     for r in rows:
-        host, path = url_filter.split_url(urls[r["page_id"]])
+        host, path = plain_split(urls[r["page_id"]])
         found = sorted((x for x in url_filter.RULES if fits(x[1], host, path)), key=lambda x: -len(x[1]))
         assert (r["host"], r["path"], r["rule"]) == (host, path, found[0][1] if found else None)
         assert r["verdict"] == (found[0][0] if found else "block" if r["score"] >= 0.5 else "allow")
-    assert all(r["verdict"] == "block" for r in rows if r["rule"] is None and ("spam-farm" in r["host"] or "cheap-pills" in r["host"]))
+
+
+def plain_split(url):
+    """Host and path, character by character."""
+    at = (url or "").find("://")
+    if at < 0:
+        return "", ""
+    host, path, rest = "", "", list(url[at + 3 :])
+    while rest and rest[0] not in "/?#":
+        c = rest.pop(0)
+        host += chr(ord(c) + 32) if "A" <= c <= "Z" else c
+    while rest and rest[0] not in "?#":
+        path += rest.pop(0)
+    return host, path
+
+
+def test_url_scores(spark):
+    """The score of each page is the logistic function of its n-grams' weights, got one by one."""
+    w, b = url_filter.fit([(*url_filter.split_url(u), y) for u, y in url_filter.LABELLED])
+    for r in url_filter.op5_url_filter(spark, SMALL).limit(200).collect():
+        grams = set()
+        for tag, part in (("h", "^" + r["host"] + "$"), ("p", "^" + r["path"] + "$")):
+            for n in (3, 4, 5):
+                grams |= {tag + part[i : i + n] for i in range(len(part)) if i + n <= len(part) or i == 0}
+        at = {zlib.crc32(g.encode()) % url_filter.SLOTS for g in grams}
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-sum(w[i] for i in at) / math.sqrt(len(at)) - b)), abs=1e-9)
+
+
+def test_url_hosts_held_out():
+    """Ten times a tenth of the table's hosts is held out whole: they are told by the words that they share with others."""
+    table = [(*url_filter.split_url(u), y) for u, y in url_filter.LABELLED]
+    part = lambda host: zlib.crc32(re.sub(r"^(www|m|blog|news|cdn)\.|\.[a-z]+$", "", host).encode()) % 10
+    right = {0: [], 1: []}
+    for p in range(10):
+        w, b = url_filter.fit([x for x in table if part(x[0]) != p])
+        for host, _, y in (x for x in table if part(x[0]) == p):
+            at = url_filter.slots(host, "/")
+            right[y].append((w[at].sum() / np.sqrt(len(at)) + b >= 0) == bool(y))
+    assert np.mean(right[0]) > 0.9 and np.mean(right[1]) > 0.9
 
 
 def test_url_model():
@@ -360,6 +414,44 @@ def test_language_backoff():
     assert s.score("12 !") == ("und", 0.0)
 
 
+def plain_toxicity(model, text):
+    """The network on one window after the other, in loops over steps and units."""
+    m, size = {k: v.astype(float) for k, v in model["net"].items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    hashes = [int(_bytes.words(*_bytes.texts(pa.array([w], pa.large_string())), _bytes.NOT_WORD, lower=True)[0][0]) for w in words]
+    known = {int(h): i for i, h in enumerate(model["known"])}
+
+    def entry(word, h):
+        marks = [256, *word.encode(), 257]
+        slots = [((a * 66049 + b * 257 + c) * 0x9E3779B1 >> 7) % toxicity.CHAR_SLOTS for a, b, c in zip(marks, marks[1:], marks[2:])]
+        return [*m["E"][known.get(h, len(known))], *(sum(m["C"][s][j] for s in slots) / len(slots) for j in range(toxicity.CHAR_DIM))]
+
+    def states(xs, way):
+        h, out = [0.0] * size, []
+        for x in xs:
+            gate = lambda j: sum(v * m[way + "P"][i][j] for i, v in enumerate(x)) + m[way + "b"][j]  # noqa: B023, E731
+            back = lambda j: sum(v * m[way + "U"][i][j] for i, v in enumerate(h))  # noqa: B023, E731
+            z, r = [sigmoid(gate(j) + back(j)) for j in range(size)], [sigmoid(gate(size + j) + back(size + j)) for j in range(size)]
+            n = [math.tanh(gate(2 * size + j) + r[j] * back(2 * size + j)) for j in range(size)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(size)]
+            out.append(h)
+        return out
+
+    def logit(xs):
+        if not xs:
+            return float(m["b"][0])
+        s = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = [sum(math.tanh(sum(x * m["A"][i][j] for i, x in enumerate(row)) + m["a"][j]) * m["v"][j] for j in range(toxicity.ATTENTION)) for row in s]
+        weight = [math.exp(x) / sum(map(math.exp, e)) for x in e]
+        return sum(a * sum(x * m["w"][i] for i, x in enumerate(row)) for a, row in zip(weight, s, strict=True)) + float(m["b"][0])
+
+    xs = [entry(w, h) for w, h in zip(words, hashes, strict=True)]
+    starts = range(0, max(1, len(xs) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE)
+    scale, shift = model["calibration"]
+    return sigmoid(scale * max(logit(xs[a : a + toxicity.WINDOW]) for a in starts) + shift)
+
+
 def test_toxicity():
     rng = random.Random(3)
     plain = [f"w{i}" for i in range(300)]
@@ -384,6 +476,32 @@ def test_toxicity():
     assert (s[6:] > s[:6]).all()
 
 
+def test_toxicity_scores_by_the_book():
+    """A text's score is that of the plain network, unit by unit and step by step, on its best window."""
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(60)]
+    some = [" ".join(rng.choices(plain, k=rng.randint(3, 60)) + (["vile"] if i % 3 == 0 else [])) for i in range(240)]
+    model = toxicity.fit_texts(some, [int(i % 3 == 0) for i in range(240)])
+    tried = [*some[:12], "", "new words only", "Vile w1 vile", " ".join(plain)]
+    found = toxicity.text_scores(model, *_bytes.texts(pa.array(tried)))
+    assert found == pytest.approx([plain_toxicity(model, t) for t in tried], abs=2e-3)
+
+
+def test_labelled_sample(spark):
+    """Long texts are as likely as others, bounds hold, rows repeated in full are taken once and counted each."""
+    rows = [(str(i), "x" * (30_000 if i % 10 == 0 else 10), i % 2) for i in range(400)] + [("same", "text", 0)] * 300 + [("huge", "y" * 500_000, 1)]
+    df = spark.createDataFrame(rows, "k string, t string, y int").repartition(5)
+    found, sizes = labelled_sample(df, "y", 10_000, 100_000_000)
+    assert sizes == {0: 500, 1: 201} and [(r["k"], r["t"], r["y"]) for r in found] == sorted(set(rows))
+    found, sizes = labelled_sample(df, "y", 50, 400_000)
+    for y in (0, 1):
+        mine = [r for r in found if r["y"] == y]
+        assert 0 < len(mine) <= 50 and sum(len(r["t"]) for r in mine) <= 400_000
+    assert any(len(r["t"]) > 10_000 for r in found) and "huge" not in {r["k"] for r in found}
+    assert [tuple(r) for r in labelled_sample(df.repartition(3), "y", 50, 400_000)[0]] == [tuple(r) for r in found]
+    assert labelled_sample(df.limit(0), "y", 50, 400_000) == ([], {})
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(1)
     net = toxicity.start(rng, 0)
