@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import typing
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut, ship
 from ._bytes import tidy
 
-__all__ = ["column_udf", "cut", "labelled_sample", "load", "ship", "shuffle_partitions"]
+__all__ = ["column_udf", "cut", "labelled_sample", "load", "ship", "shuffle_partitions", "with_place"]
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,19 +36,25 @@ def column_udf(kind: str, run: Callable[[Iterator], Iterator]) -> Callable[...,
     return F.pandas_udf(kind)(wrapped).asNondeterministic()
 
 
+def with_place(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with what ``labelled_sample`` chooses by: a hash of key and text, and the text's bytes.  Before a join with labels, so that it needs no texts to choose."""
+    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text), 1)
+    return docs.withColumns({"__place": place, "__bytes": F.octet_length(text)})
+
+
 def labelled_sample(rows: DataFrame, kind: str, most: int, most_bytes: int) -> tuple[list, dict]:
-    """A bounded sample of each class of ``rows`` (k, t and ``kind``: key, text and class, none null), sorted by key and text, and how many rows each class has in all.
+    """A bounded sample of each class of ``rows`` (k, t and ``kind``: key, text and class, none null, ``with_place``), sorted by key and text, and how many rows each class has in all.
 
     Rows are taken in the order of a hash of key and text, whatever their length, until a class has ``most`` rows or ``most_bytes`` bytes of
     text; a text that is longer than ``most_bytes`` by itself is passed over.  Rows repeated in full are counted each and taken once.
     """
-    placed = rows.withColumn("__place", F.shiftrightunsigned(F.xxhash64("k", "t"), 1))
     sizes = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
     # the first by hash: a share of the hash's range that holds about ``most`` rows, of which only places and lengths are looked at
     shares = {c: min(1.0, (most + 4 * most**0.5) / n) for c, n in sizes.items()}
-    within = lambda ends: F.coalesce(*(F.when(F.col(kind) == c, F.col("__place") <= end) for c, end in ends.items()), F.lit(False))
-    first = placed.where(within({c: min((1 << 63) - 1, int(share * 2.0**63)) for c, share in shares.items()}))
-    seen = first.groupBy(kind, "__place").agg(F.max(F.octet_length("t")).alias("bytes")).collect()
+    # as alternatives, so that the places' part of it passes below a join with the labels and only texts that may be chosen travel
+    within = lambda ends: reduce(operator.or_, ((F.col(kind) == c) & (F.col("__place") <= end) for c, end in ends.items()), F.lit(False))
+    first = rows.where(within({c: min((1 << 63) - 1, int(share * 2.0**63)) for c, share in shares.items()}))
+    seen = first.groupBy(kind, "__place").agg(F.max("__bytes").alias("bytes")).collect()
     ends = dict.fromkeys(sizes, -1)
     for c in sizes:
         total = 0
@@ -55,5 +63,5 @@ def labelled_sample(rows: DataFrame, kind: str, most: int, most_bytes: int) -> t
             if n >= most or total > most_bytes:
                 break
             ends[c] = r["__place"]
-    found = placed.where(within(ends) & (F.octet_length("t") <= most_bytes)).drop("__place").dropDuplicates().collect()
+    found = rows.where(within(ends) & (F.col("__bytes") <= most_bytes)).select("k", "t", kind).dropDuplicates().collect()
     return sorted(found, key=lambda r: (r["k"], r["t"])), sizes

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, WHITESPACE, release, slices, texts, word_spans, words
-from ._spark import column_udf, cut, labelled_sample, load, ship
+from ._spark import column_udf, cut, labelled_sample, load, ship, with_place
 
 #: Bounds of the classifier: labelled documents of each domain and their bytes, known words and the documents that a word must be in to be known.
 DOCS_A_DOMAIN = 800
@@ -102,8 +102,9 @@ def fit_texts(some: Sequence[str], domains: Sequence[str], names: Sequence[str],
 
 def fit(labelled: DataFrame, names: Sequence[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> dict:
     """The classifier from labelled rows; nulls are left out, of each domain the first by hash are used (``labelled_sample``), as many as the bounds allow."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(domain).isin(*names))
-    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(domain).alias("d"))
+    placed = labelled if "__place" in labelled.columns else with_place(labelled, key, text)
+    rows = placed.where(F.col(text).isNotNull() & F.col(domain).isin(*names))
+    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(domain).alias("d"), "__place", "__bytes")
     found, sizes = labelled_sample(rows, "d", DOCS_A_DOMAIN, BYTES_A_DOMAIN)
     model = fit_texts([r["t"] for r in found], [r["d"] for r in found], names, sizes)
     del found
@@ -232,7 +233,7 @@ def labelled_documents(spark: SparkSession, folder: str, docs: DataFrame) -> Dat
     """(doc_id, text, domain) of the labelled documents: toxic, good or plain."""
     labels = load(spark, folder, "labels").where("toxic IS NOT NULL OR quality IS NOT NULL")
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("plain")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id")
+    return with_place(docs.select("doc_id", "text"), "doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id")
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, NOT_WORD, U64, grouped, release, slices, texts, words
-from ._spark import column_udf, labelled_sample, load, ship
+from ._spark import column_udf, labelled_sample, load, ship, with_place
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -288,8 +288,9 @@ def fit_texts(some: list[str], labels: list[int], toxic_share: float | None = No
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """A model from labelled rows; null texts and labels are left out, of each class the first by hash are used (``labelled_sample``), as many as the bounds allow."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
-    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
+    placed = labelled if "__place" in labelled.columns else with_place(labelled, key, text)
+    rows = placed.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
+    rows = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"), "__place", "__bytes")
     found, sizes = labelled_sample(rows, "y", TEXTS_A_CLASS, BYTES_A_CLASS)
     model = fit_texts([r["t"] for r in found], [r["y"] for r in found], sizes.get(1, 0) / max(1, sum(sizes.values())))
     del found
@@ -320,6 +321,6 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     labels = load(spark, folder, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
-    model = fit(docs.where(~out).join(labels, "doc_id"))
+    model = fit(with_place(docs.where(~out), "doc_id", "text").join(labels, "doc_id"))
     scored = score(docs.withColumn("held_out", out), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

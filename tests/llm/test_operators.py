@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes, _components, _windows, decontaminate, embedding_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from corpusloom.llm._components import components
-from corpusloom.llm._spark import labelled_sample
+from corpusloom.llm._spark import labelled_sample, with_place
 
 from ..conftest import DATA
 
@@ -490,7 +490,7 @@ def test_toxicity_scores_by_the_book():
 def test_labelled_sample(spark):
     """Long texts are as likely as others, bounds hold, rows repeated in full are taken once and counted each."""
     rows = [(str(i), "x" * (30_000 if i % 10 == 0 else 10), i % 2) for i in range(400)] + [("same", "text", 0)] * 300 + [("huge", "y" * 500_000, 1)]
-    df = spark.createDataFrame(rows, "k string, t string, y int").repartition(5)
+    df = with_place(spark.createDataFrame(rows, "k string, t string, y int").repartition(5), "k", "t")
     found, sizes = labelled_sample(df, "y", 10_000, 100_000_000)
     assert sizes == {0: 500, 1: 201} and [(r["k"], r["t"], r["y"]) for r in found] == sorted(set(rows))
     found, sizes = labelled_sample(df, "y", 50, 400_000)
