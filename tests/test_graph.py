@@ -226,3 +226,23 @@ def test_split_is_exact(spark):
     some = spark.createDataFrame([(i, i + 1, int(i % 3 == 0)) for i in range(1000)], "src long, dst long, label int")
     got = {(r["label"], r["part"]): r["count"] for r in linkpred.split(some).groupBy("label", "part").count().collect()}
     assert got == {(1, "train"): 267, (1, "test"): 67, (0, "train"): 532, (0, "test"): 134}
+
+
+def test_paths_in_blocks(spark, monkeypatch):
+    """Several blocks of sources, tiles and salts give the distances of whole searches, and counts of pairs at each; no step makes a row for each source and edge."""
+    random.seed(5)
+    pairs = [(100 * c + a, 100 * c + b) for c in range(3) for a, b in (random.sample(range(50), 2) for _ in range(90))]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    wanted = {(s, t, d) for s in near for t, d in distances(near, s).items() if d}
+    _, e = table(spark, 1, pairs)
+    for name, value in (("WORDS", 1), ("TILE", 16), ("SALT_ROWS", 40)):
+        monkeypatch.setattr(graph, name, value)
+    made = []
+    stepped = graph._stepped
+    monkeypatch.setattr(graph, "_stepped", lambda *a: made.append(stepped(*a)) or made[-1])
+    assert {tuple(r) for r in graph.shortest_paths(e).collect()} == wanted
+    assert made and "block" in made[0].columns
+    assert dict(graph.path_lengths(e).collect()) == {d: sum(1 for s, t, x in wanted if s < t and x == d) for d in {d for _, _, d in wanted}}
