@@ -346,7 +346,7 @@ def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("path_lengths", f"{_PATHS} SELECT dist, count(*) AS pairs FROM sp WHERE src < dst GROUP BY dist")
 def path_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.shortest_paths(edges_only(spark, folder)[1]).where("src < dst").groupBy("dist").agg(F.count("*").alias("pairs"))
+    return graph.path_lengths(edges_only(spark, folder)[1])
 
 
 @query("components", f"{_PATHS}, c AS (SELECT v.id, least(v.id, coalesce(min(sp.dst), v.id)) AS component FROM v LEFT JOIN sp ON sp.src = v.id GROUP BY v.id) SELECT id, component FROM c")
