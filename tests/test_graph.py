@@ -246,3 +246,15 @@ def test_paths_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in graph.shortest_paths(e).collect()} == wanted
     assert made and "block" in made[0].columns
     assert dict(graph.path_lengths(e).collect()) == {d: sum(1 for s, t, x in wanted if s < t and x == d) for d in {d for _, _, d in wanted}}
+
+
+def test_pair_features_of_edges_take_a_step(spark, monkeypatch):
+    """The search is for the pairs alone: where they are edges it ends after a step, however large the graph."""
+    v, e = table(spark, 40, [(i, i + 1) for i in range(39)])
+    whole = []
+    monkeypatch.setattr(graph, "shortest_paths", lambda *a: whole.append(a))
+    seen = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: seen.append(1) or keep(self, df))
+    assert {r["path_length"] for r in graph.pair_features(v, e, e).collect()} == {0.1}
+    assert not whole and len(seen) <= 8
