@@ -258,3 +258,16 @@ def test_pair_features_of_edges_take_a_step(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", lambda self, df: seen.append(1) or keep(self, df))
     assert {r["path_length"] for r in graph.pair_features(v, e, e).collect()} == {0.1}
     assert not whole and len(seen) <= 8
+
+
+def test_betweenness_of_several_blocks(spark, monkeypatch):
+    """More sources than a row has, in several components and rounds."""
+    random.seed(6)
+    near = {i: set() for i in range(30)}
+    for a, b in (sorted(random.sample(range(c, c + 14), 2)) for c in (0, 14) for _ in range(22)):
+        near[a].add(b)
+        near[b].add(a)
+    v, e = table(spark, 30, [(a, b) for a in near for b in near[a] if a < b])
+    monkeypatch.setattr(graph, "_PATHS", graph._PATHS[:5])
+    monkeypatch.setattr(graph, "TILE", 8)
+    assert {r["id"]: r["betweenness"] for r in graph.betweenness(v, e, block_rows=250).collect()} == pytest.approx(brandes(near), abs=1e-8)
