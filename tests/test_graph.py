@@ -271,3 +271,16 @@ def test_betweenness_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(graph, "_PATHS", graph._PATHS[:5])
     monkeypatch.setattr(graph, "TILE", 8)
     assert {r["id"]: r["betweenness"] for r in graph.betweenness(v, e, block_rows=250).collect()} == pytest.approx(brandes(near), abs=1e-8)
+
+
+def test_cooccurrence_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    """More lines make more tasks, not larger ones; the pairs are the same."""
+    from corpusloom.plans import tables
+
+    lines = [(o, p) for o in range(60) for p in {o % 7, o % 5, o % 3 + 4}]
+    spark.createDataFrame(lines + lines[:9], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    found = tables.supplier_pairs(spark, str(tmp_path))
+    assert tables._tasks(spark, str(tmp_path)) == -(-(len(lines) + 9) // 10) == found.rdd.getNumPartitions()
+    orders = spark.createDataFrame(lines, "k long, person long").distinct()
+    assert rows(found) == rows(mentions.cooccurrence(orders, "k"))
