@@ -284,3 +284,15 @@ def test_cooccurrence_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     assert tables._tasks(spark, str(tmp_path)) == -(-(len(lines) + 9) // 10) == found.rdd.getNumPartitions()
     orders = spark.createDataFrame(lines, "k long, person long").distinct()
     assert rows(found) == rows(mentions.cooccurrence(orders, "k"))
+
+
+def test_pair_distance_steps_from_the_smaller_frontier(spark, monkeypatch):
+    """Many sources and one target: the target's frontier is the one that goes on."""
+    v, e = table(spark, 60, [(i, i + 1) for i in range(9)] + [(i, i + 1) for i in range(20, 59)])
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, after=0: None)
+    found = graph.pair_distance(e, v.select(F.col("id").alias("src"), F.lit(1).cast("long").alias("dst")))
+    assert {r["src"]: r["dist"] for r in found.collect()} == {i: abs(i - 1) if i < 10 else 10 for i in range(60)}
+    assert max(t.count() for t in kept if t.columns == ["end", "v"]) == 59
