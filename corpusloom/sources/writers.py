@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import BLOCK, arranged, numbered
+from ..session import dropped, stored
 from .readers import AUTHOR, CONTENT, RULE, TITLE
 
 # Fixed names: headers of the published tables.
@@ -129,11 +130,13 @@ def write_grams(counts: DataFrame, folder: str, k: int = 100) -> None:
     """Grams (n, gram, cnt): the ``k`` commonest of each size as text, all as JSON, and the totals: <folder>/txt, <folder>/json, <folder>/totals."""
     from ..operators.ngrams import ngram_totals, top_each
 
+    counts, path = stored(counts)  # counted once for the three
     best = top_each(counts, k, ("n",), "gram")
     line = F.format_string("%d-gram %4d. %s: %d", F.col("n"), F.col("rank"), F.col("gram"), F.col("cnt"))
     best.orderBy("n", "rank").coalesce(1).select(line.alias("value")).write.mode("overwrite").text(f"{folder}/txt")
     counts.write.mode("overwrite").partitionBy("n").json(f"{folder}/json")
     ngram_totals(counts).write.mode("overwrite").json(f"{folder}/totals")
+    dropped(counts.sparkSession, path)
 
 
 def write_person_poems(rows: DataFrame, folder: str) -> None:

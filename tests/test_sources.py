@@ -185,3 +185,21 @@ def test_table_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "grams/totals")).count() == 2
     writers.write_crawl_summary(spark.createDataFrame([("success", 3)], "outcome string, n long"), str(tmp_path / "crawl"))
     assert spark.read.json(str(tmp_path / "crawl")).first()["n"] == 3
+
+
+def test_grams_are_counted_once(spark, tmp_path):
+    """The three files of the grams come from one count."""
+    from corpusloom.sources import writers
+
+    made = spark.sparkContext.accumulator(0)
+    given = [("ab", 3, 2), ("b", 5, 1), ("a", 4, 1)]
+
+    def seen(r):
+        made.add(1)
+        return r
+
+    counts = spark.createDataFrame(spark.sparkContext.parallelize(given, 1).map(seen), "gram string, cnt long, n int")
+    writers.write_grams(counts, str(tmp_path / "grams"))
+    assert made.value == len(given)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "grams/txt")).collect()] == ["1-gram    1. b: 5", "1-gram    2. a: 4", "2-gram    1. ab: 3"]
+    assert spark.read.json(str(tmp_path / "grams/json")).count() == 3
