@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import dropped, ship, stored
 
+#: Rows that a forest's trees are drawn from; where there are more, equal ones are drawn together, in bundles, so no row is left out.
+FOREST_ROWS = 1_000_000
+
 
 def place(*columns: str, seed: int = 42) -> Column:
     """A fixed pseudo-random place of a row, the same in any engine that has md5."""
@@ -53,7 +56,8 @@ def _first_by_place(pairs: DataFrame, count: int) -> DataFrame:
 
 
 def _drawn_pairs(vertices: DataFrame, buckets: int, rounds: int, seed: int) -> DataFrame:
-    drawn = vertices.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    dealt = vertices.select("id").repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a row makes one for each round
+    drawn = dealt.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     number = F.conv(F.left(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.col("round").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("long")
     drawn = drawn.withColumn("bucket", F.pmod(number, F.lit(buckets)))
     return drawn.withColumnRenamed("id", "src").join(drawn.withColumnRenamed("id", "dst"), ["round", "bucket"]).where("src < dst").select("src", "dst").distinct()
@@ -70,6 +74,7 @@ def _all_pairs(vertices: DataFrame, blocks: int) -> DataFrame:
 
 def labelled_pairs(vertices: DataFrame, edges: DataFrame, seed: int = 42, ratio: float = 1.0) -> DataFrame:
     """(src, dst, label): all edges and as many pairs (times ``ratio``) that are none."""
+    edges, _ = stored(edges.select("src", "dst"))  # read several times
     n = int(edges.count() * ratio)
     return edges.select("src", "dst", F.lit(1).alias("label")).unionByName(negative_samples(vertices, edges, n, seed).withColumn("label", F.lit(0)))
 
@@ -98,11 +103,15 @@ def split(pairs: DataFrame, share: float = 0.8, label: str = "label", seed: int
     return told.select(*(F.col(f"a.{c}") for c in pairs.columns), F.when(F.col("__before") + F.col("__r") <= F.floor(F.col("__n") * share), "train").otherwise("test").alias("part"))
 
 
-def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: accuracy, precision, recall, f1 at one half, and the area under the curve by ranks (ties count half)."""
-    p, y = F.col(score) >= 0.5, F.col(label) == 1
-    c = scored.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
-    by = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+def metrics(scored: DataFrame, score: str = "score", label: str = "label", rows: str | None = None) -> DataFrame:
+    """One row: accuracy, precision, recall, f1 at one half, and the area under the curve by ranks (ties count half).
+
+    ``scored`` is read once, for a table of its different scores; ``rows`` names a column that tells how many rows one stands for.
+    """
+    p, y, n = F.col("s") >= 0.5, F.col(label) == 1, F.col(rows) if rows else F.lit(1)
+    total = lambda which, what: F.coalesce(F.sum(F.when(which, what)), F.lit(0)).cast("long")
+    by, _ = stored(scored.groupBy(F.col(score).alias("s")).agg(total(y, n).alias("pos"), total(~y, n).alias("neg")))
+    c = by.agg(total(p, F.col("pos")).alias("tp"), total(p, F.col("neg")).alias("fp"), total(~p, F.col("pos")).alias("fn"), total(~p, F.col("neg")).alias("tn"))
     # negatives below a score: those in lower parts of the range of scores, and those below it in its own part
     least, most = by.agg(F.min("s"), F.max("s")).first()
     wide = (most - least) if most is not None and most > least else 1.0
@@ -140,29 +149,45 @@ def baselines(pairs: DataFrame, features: Sequence[str], seed: int = 42) -> Data
     """(model, auc, accuracy, precision, recall, f1) on the test part, of a random forest, a logistic regression, and support vector machines with a linear and a radial kernel.
 
     The radial one is an approximation: a linear machine on random Fourier features of the kernel exp(-|x - y|^2 / number of features), of standardised features.
+    Rows of the same features, label and part are one row that weighs as many, so the models' work follows the different rows.
     """
     from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    cast = pairs.select("src", "dst", "part", F.col("label").cast("double").alias("label"), *(F.col(f).cast("double").alias(f) for f in features))
-    raw = VectorAssembler(inputCols=list(features), outputCol="raw").transform(cast)
-    train = raw.where("part = 'train'")
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train).transform(raw)
+    cast = pairs.select("part", F.col("label").cast("double").alias("label"), *(F.col(f).cast("double").alias(f) for f in features))
+    told, _ = stored(cast.groupBy(*cast.columns).agg(F.count("*").cast("double").alias("rows")))
+    train, n = told.where("part = 'train'"), F.sum("rows")
+    count, *means = train.agg(n, *(F.sum(F.col(f) * F.col("rows")) / n for f in features)).first()
+    spreads = train.agg(*(F.sqrt(F.sum((F.col(f) - F.lit(m)) ** 2 * F.col("rows")) / F.lit(max(count - 1, 1))) for f, m in zip(features, means, strict=True))).first()
+    scaled = told.withColumns({f: (F.col(f) - F.lit(m)) * F.lit(1 / s if s else 0.0) for f, m, s in zip(features, means, spreads, strict=True)})
+    scaled = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled).select("part", "label", "rows", "features")
     scaled = radial_features(scaled, "features", "radial", 1 / len(features), seed=seed).cache()
+    # the features' spread is one, so nothing is left to standardise
     models = {
-        "random_forest": RandomForestClassifier(numTrees=100, seed=seed), "logistic_regression": LogisticRegression(regParam=1e-4), "linear_svc": LinearSVC(maxIter=50, regParam=0.01),
-        "radial_svc": LinearSVC(maxIter=50, regParam=0.001, featuresCol="radial", standardization=False),
+        "random_forest": RandomForestClassifier(numTrees=100, seed=seed), "logistic_regression": LogisticRegression(regParam=1e-4, standardization=False),
+        "linear_svc": LinearSVC(maxIter=50, regParam=0.01, standardization=False), "radial_svc": LinearSVC(maxIter=50, regParam=0.001, featuresCol="radial", standardization=False),
     }
     out = None
     for name, model in models.items():
-        seen = model.fit(scaled.where("part = 'train'")).transform(scaled.where("part = 'test'"))
+        rows = scaled.where("part = 'train'")
+        if name == "random_forest":
+            rows = bundles(rows.drop("radial"), "rows", -(-int(count) // FOREST_ROWS))
+        seen = model.setWeightCol("rows").fit(rows).transform(scaled.where("part = 'test'"))
         score = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])) if name.endswith("svc") else vector_to_array("probability")[1]
-        row = metrics(seen.withColumn("score", score)).withColumn("model", F.lit(name))
+        row = metrics(seen.withColumn("score", score), rows="rows").withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
+    scaled.unpersist()  # all scores are stored
     return out.select("model", "auc", "accuracy", "precision", "recall", "f1")
 
 
+def bundles(told: DataFrame, rows: str, size: int) -> DataFrame:
+    """Rows that each stand for ``rows`` equal ones, dealt to rows that stand for about ``size`` each, at least one: what a bootstrap draws.  The sum of ``rows`` stays."""
+    k = F.greatest(F.round(F.col(rows) / size), F.lit(1)).cast("int")
+    dealt = told.repartition(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few rows may stand for very many
+    return dealt.withColumn("__k", k).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__k")))).withColumn(rows, F.col(rows) / F.col("__k")).drop("__k", "__i")
+
+
 # --- circuits -------------------------------------------------------------------------------------------------------
 
 

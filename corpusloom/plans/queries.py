@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, crawl, graph, heavy, hierarchy, html, linkpred, mentions, ngrams, rankings, search
+from ..session import stored
 from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,7 +541,8 @@ def split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("linkpred_metrics")
 def linkpred_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return linkpred.baselines(linkpred.split(_pairs(spark, folder)), ("w1", "s1", "w2", "s2"))
+    pairs, _ = stored(_pairs(spark, folder))  # read twice
+    return linkpred.baselines(linkpred.split(pairs), ("w1", "s1", "w2", "s2"))
 
 
 @query("circuit_scores")

@@ -296,3 +296,32 @@ def test_pair_distance_steps_from_the_smaller_frontier(spark, monkeypatch):
     found = graph.pair_distance(e, v.select(F.col("id").alias("src"), F.lit(1).cast("long").alias("dst")))
     assert {r["src"]: r["dist"] for r in found.collect()} == {i: abs(i - 1) if i < 10 else 10 for i in range(60)}
     assert max(t.count() for t in kept if t.columns == ["end", "v"]) == 59
+
+
+def test_baselines_weigh_equal_rows(spark, monkeypatch):
+    """Models see each different row once, and the result is that of all rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    some = [(i, i + 1, int((i * 7919) % 11 < 2 + 2 * (i % 3) + i % 4), "test" if i % 5 == 0 else "train", i % 3, (i % 4) / 2) for i in range(3000)]
+    pairs = spark.createDataFrame(some, "src long, dst long, label int, part string, w long, s double")
+    seen, made = [], linkpred.radial_features
+    monkeypatch.setattr(linkpred, "radial_features", lambda rows, *a, **k: (seen.append(rows.count()), made(rows, *a, width=16, **k))[1])
+    found = {r["model"]: r for r in linkpred.baselines(pairs, ("w", "s")).collect()}
+    assert seen == [len({r[2:] for r in some})] and seen[0] < 100
+    cast = VectorAssembler(inputCols=["w", "s"], outputCol="raw").transform(pairs.withColumn("label", F.col("label").cast("double")))
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(cast.where("part = 'train'")).transform(cast)
+    model = LogisticRegression(regParam=1e-4).fit(scaled.where("part = 'train'"))
+    wanted = linkpred.metrics(model.transform(scaled.where("part = 'test'")).withColumn("score", F.round(vector_to_array("probability")[1], 9))).first()
+    assert found["logistic_regression"]["auc"] == pytest.approx(wanted["auc"], abs=1e-6)
+    assert found["logistic_regression"]["accuracy"] == pytest.approx(wanted["accuracy"], abs=1e-6)
+    assert len(found) == 4 and all(0 <= r[c] <= 1 for r in found.values() for c in ("auc", "accuracy", "precision", "recall", "f1"))
+
+
+def test_bundles_leave_no_row_out(spark):
+    told = spark.createDataFrame([("a", 1.0), ("b", 10.0), ("c", 25.0)], "x string, rows double")
+    assert {(r["x"], r["n"], r["k"]) for r in linkpred.bundles(told, "rows", 1).groupBy("x").agg({"rows": "sum", "x": "count"}).toDF("x", "n", "k").collect()} == {("a", 1, 1), ("b", 10, 10), ("c", 25, 25)}
+    some = linkpred.bundles(told, "rows", 10).collect()
+    assert sorted(r["x"] for r in some) == ["a", "b", "c", "c"] + ["c"] * (len(some) - 4) and sum(r["rows"] for r in some) == pytest.approx(36)
