@@ -519,9 +519,9 @@ def negative_samples(spark: SparkSession, folder: str) -> DataFrame:
     return linkpred.negative_samples(vertices, edges, edges.count())
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str, nodes: DataFrame | None = None) -> DataFrame:
     vertices, edges = edges_only(spark, folder)
-    return linkpred.node_features(linkpred.labelled_pairs(vertices, edges), supplier_nodes(spark, folder))
+    return linkpred.node_features(linkpred.labelled_pairs(vertices, edges), supplier_nodes(spark, folder) if nodes is None else nodes)
 
 
 _NODES = "nd AS (SELECT person AS id, mentions AS weight, least(mentions / 5 + 5, 30.0) AS size FROM men)"
@@ -561,8 +561,9 @@ m AS (SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(t
 u AS (SELECT avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) AS auc FROM x p, x q WHERE p.label = 1 AND q.label = 0)
 SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(auc, 6) AS auc FROM m, u""")
 def score_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    most = supplier_nodes(spark, folder).agg(F.max("weight")).first()[0]
-    scored = _pairs(spark, folder).withColumn("score", (F.col("w1") + F.col("w2")) / F.lit(2.0 * (most or 1)))
+    nodes, _ = stored(supplier_nodes(spark, folder))  # read several times
+    most = nodes.agg(F.max("weight")).first()[0]
+    scored = _pairs(spark, folder, nodes).withColumn("score", (F.col("w1") + F.col("w2")) / F.lit(2.0 * (most or 1)))
     return linkpred.metrics(scored).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")))
 
 

@@ -325,3 +325,19 @@ def test_bundles_leave_no_row_out(spark):
     assert {(r["x"], r["n"], r["k"]) for r in linkpred.bundles(told, "rows", 1).groupBy("x").agg({"rows": "sum", "x": "count"}).toDF("x", "n", "k").collect()} == {("a", 1, 1), ("b", 10, 10), ("c", 25, 25)}
     some = linkpred.bundles(told, "rows", 10).collect()
     assert sorted(r["x"] for r in some) == ["a", "b", "c", "c"] + ["c"] * (len(some) - 4) and sum(r["rows"] for r in some) == pytest.approx(36)
+
+
+def test_metrics_read_their_input_once(spark):
+    from pyspark.sql import functions as F
+
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    scored = spark.createDataFrame([(i % 10 / 10, i % 3 % 2) for i in range(300)], "score double, label int").repartition(3)
+    m = linkpred.metrics(scored.withColumn("score", F.udf(seen, "double")("score"))).first()
+    assert n.value == 300 and tuple(m) == tuple(linkpred.metrics(scored).first())
+    told = scored.groupBy("score", "label").agg(F.count("*").cast("double").alias("rows"))
+    assert tuple(linkpred.metrics(told, rows="rows").first()) == tuple(m)
