@@ -167,3 +167,8 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.text(folder, wholetext=True)
     told = [c for c in found.columns if c != "value"]
     return found.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("html"), *told)
+
+
+def read_page_lines(spark: SparkSession, folder: str, key: str, kind: str = "long") -> DataFrame:
+    """(key, html) of pages as ``writers.write_page_lines`` leaves them; Spark splits files of any length between its tasks."""
+    return spark.read.schema(f"`{key}` {kind}, html string").option("mode", "FAILFAST").json(folder)

@@ -203,3 +203,15 @@ def test_grams_are_counted_once(spark, tmp_path):
     assert made.value == len(given)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "grams/txt")).collect()] == ["1-gram    1. b: 5", "1-gram    2. a: 4", "2-gram    1. ab: 3"]
     assert spark.read.json(str(tmp_path / "grams/json")).count() == 3
+
+
+def test_pages_as_lines(spark, tmp_path):
+    """Many pages in few files, and whole: the same as from a file for each."""
+    odd = ["<p>a</p>", None, "", "a\r\nb\n\nc\r", '{"html": "x"}\\ \u2028 \x00 \t 😀', "x" * 300_000]
+    pages = spark.createDataFrame([(i, odd[i % 6]) for i in range(60)], "page_id long, html string").repartition(2)
+    writers.write_page_lines(pages, str(tmp_path / "lines"), "page_id")
+    assert len(list((tmp_path / "lines").rglob("part*"))) <= 2
+    found = {r["page_id"]: r["html"] for r in readers.read_page_lines(spark, str(tmp_path / "lines"), "page_id").collect()}
+    assert found == {i: (odd[i % 6] or "") + "\n" for i in range(60)}
+    writers.write_pages(pages.where("page_id < 12"), str(tmp_path / "each"), "page_id")
+    assert {r["page_id"]: r["html"] for r in readers.read_pages(spark, str(tmp_path / "each")).collect()} == {i: found[i] for i in range(12)}
