@@ -13,20 +13,29 @@ from ..session import stored
 _WITHIN = (1 << 33) - 1
 #: Rows of one task where wide rows are put in order.
 BLOCK = 25_000
+#: Bytes of text that a task puts in order, about.
+TASK_BYTES = 64 << 20
 #: Blocks of a span.
 FAN = 512
 
 
-def numbered(df: DataFrame, *order: Column | str, into: str = "rank", group: Sequence[str] = ()) -> DataFrame:
+def tasks_for(df: DataFrame, text: str) -> int:
+    """How many tasks rows are dealt to: as many as the session has, or more where their text is long, so that a task's share doesn't grow with the input."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def numbered(df: DataFrame, *order: Column | str, into: str = "rank", group: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """``df`` with positions 1, 2, ... in ``order``, within each ``group`` if there is one; the order must tell rows apart.
 
     The rows are range partitioned by group and order and sorted in each partition.  They are written as such, because the bounds of the ranges
     come from a sample, and read again with their place in the partition.  The position is that place and the number of rows in the
-    partitions before, which is counted for each partition, or each partition and group.  Rows of one group lie in as many partitions as they fill.
+    partitions before, which is counted for each partition, or each partition and group.  Rows of one group lie in as many partitions as they fill.  ``tasks`` is the number of
+    partitions, the session's unless given.
     """
     spark = df.sparkSession
     keys = [*group, *order]
-    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    dealt = df.repartitionByRange(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     rows, _ = stored(dealt.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND(F.lit(_WITHIN)).alias("__place")
     rows = rows.select(*df.columns, part, place)

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import numbered
+from ..operators.order import numbered, tasks_for
+from ..session import dropped, stored
 
 # Headings and labels of the published reports, here and in the lines of corpus_report, char_ranking_lines, comparison_report, network_report and grams_report.
 CORPUS_TITLE, DETAILS_NOTE, WORDS_NOTE = "全唐詩數據分析報告", "不包含標題的n-gram分析", "只統計詩歌內容字符，不包含標題"
@@ -23,7 +24,9 @@ Line = tuple[str, Sequence[Column]]
 
 def listed(items: DataFrame, section: int) -> DataFrame:
     """(section, place, value): ``items`` (place, value) as members of a list or map, in order; every one but the first has a comma before it."""
-    at = numbered(items.select(F.struct("place", F.monotonically_increasing_id().alias("row")).alias("o"), "value"), "o", into="place")  # rows that share a place don't meet in one task
+    items, path = stored(items.select(F.struct("place", F.monotonically_increasing_id().alias("row")).alias("o"), "value"))  # read several times
+    at = numbered(items, "o", into="place", tasks=tasks_for(items, "value"))  # rows that share a place don't meet in one task
+    dropped(items.sparkSession, path)  # the numbered rows are stored, too
     return at.select(F.lit(section).alias("section"), "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), "value").alias("value"))
 
 
@@ -38,8 +41,11 @@ def object_lines(items: DataFrame, head: str, tail: str) -> DataFrame:
 
 
 def write_object(lines: DataFrame, folder: str, one_file: bool = False) -> None:
-    ordered = lines.orderBy("section", "place").select("value")
-    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(folder)
+    if one_file:
+        ordered = lines.orderBy("section", "place").coalesce(1)
+    else:
+        ordered = lines.repartitionByRange(tasks_for(lines, "value"), "section", "place").sortWithinPartitions("section", "place")
+    ordered.select("value").write.mode("overwrite").text(folder)
 
 
 def _json(row: DataFrame) -> str:

@@ -215,3 +215,26 @@ def test_pages_as_lines(spark, tmp_path):
     assert found == {i: (odd[i % 6] or "") + "\n" for i in range(60)}
     writers.write_pages(pages.where("page_id < 12"), str(tmp_path / "each"), "page_id")
     assert {r["page_id"]: r["html"] for r in readers.read_pages(spark, str(tmp_path / "each")).collect()} == {i: found[i] for i in range(12)}
+
+
+def test_object_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch):
+    """A task's share of an object doesn't grow with it, and the lines stay in order."""
+    from corpusloom.operators import order
+
+    monkeypatch.setattr(order, "TASK_BYTES", 4096)
+    df = spark.range(1000).selectExpr("'t' AS title", "CAST(id % 3 AS INT) AS volume", "repeat('x', 100) AS content", "concat('a', id) AS author")
+    reports.write_corpus(df, str(tmp_path / "corpus"), "now")
+    files = sorted((tmp_path / "corpus").glob("part*"))
+    assert len(files) > 20 and max(f.stat().st_size for f in files) < 5 * 4096
+    found = json.loads("".join(f.read_text(encoding="utf-8") for f in files))
+    assert len(found["poems"]) == 1000 and {p["author"] for p in found["poems"]} == {f"a{i}" for i in range(1000)}
+    assert [p["volume"] for p in found["poems"]] == sorted(p["volume"] for p in found["poems"])
+
+
+def test_corpus_file_is_scanned_once_for_totals(spark):
+    """No task reads a pair of the file's parts."""
+    from corpusloom.plans import files
+
+    df = files.corpus_file_totals(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("FileScan text") == 1
