@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -74,10 +75,16 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class Node:
+    """An element.  It holds what is below it but only refers to its parent, so a page's tree goes as soon as its root does, without the garbage collector."""
+
     def __init__(self, tag: str, classes: str = "", href: str = "", parent: Node | None = None) -> None:
-        self.tag, self.classes, self.href, self.parent = tag, classes, href, parent
+        self.tag, self.classes, self.href, self._parent = tag, classes, href, None if parent is None else weakref.ref(parent)
         self.children: list[Node | str] = []
 
+    @property
+    def parent(self) -> Node | None:
+        return self._parent() if self._parent is not None else None
+
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]

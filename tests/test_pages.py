@@ -118,3 +118,21 @@ def test_rankings(spark):
     assert rankings.author_overview(counts).first()["singletons"] == 1
     assert rows(rankings.histogram(docs.withColumn("n", F.length("t")), "n", 3)) == [(0, 1), (2, 4)]
     assert rankings.histogram(docs.limit(0).withColumn("n", F.length("t")), "n", 3).count() == 0
+
+
+def test_tree_goes_with_its_root():
+    """A page is freed at once, not when the garbage collector next runs."""
+    import gc
+    import weakref
+
+    from corpusloom.operators import html
+
+    gc.disable()
+    try:
+        root = html.parse("<table><tr><td><a>t</a><a>b</a></td><td>c</td></tr></table>")
+        gone = [weakref.ref(n) for n in (root, *root.walk())]
+        assert root.all("a")[0].up("table") is root.all("table")[0]
+        del root
+        assert len(gone) == 7 and not any(g() for g in gone)
+    finally:
+        gc.enable()
