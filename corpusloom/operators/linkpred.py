@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import dropped, ship, stored
+from .mentions import met
 
 #: Rows that a forest's trees are drawn from; where there are more, equal ones are drawn together, in bundles, so no row is left out.
 FOREST_ROWS = 1_000_000
+#: Vertices that a task draws pairs from, counted once for each round.
+DRAW_ROWS = 1_000_000
 
 
 def place(*columns: str, seed: int = 42) -> Column:
@@ -25,21 +28,36 @@ def negative_samples(vertices: DataFrame, edges: DataFrame, count: int, seed: in
     """``count`` pairs (src < dst) that are no edges, or all there are, the first by ``place`` of those drawn.
 
     Rather than from all pairs, pairs are drawn from vertices that meet in small random buckets, in as many rounds as give three
-    times the pairs wanted: an equi-join whose size follows ``count``.  Rounds are doubled until enough are drawn.  Where more than half of
+    times the pairs wanted, a number that follows ``count``.  Rounds are doubled until enough are drawn.  Where more than half of
     all that are no edges are wanted, every pair is looked at, which then are no more than twice the pairs wanted, and the edges.
+
+    As the first by place are wanted, pairs drawn are first looked at up to a place below which there are likely enough of them.  If there are
+    not, all are.
     """
     n = vertices.count()
-    known = edges.select("src", "dst").distinct()
-    free = n * (n - 1) // 2 - known.count()
+    known = edges.select("src", "dst")
+    free = n * (n - 1) // 2 - known.distinct().count()
     rounds = max(2, -(-6 * count // max(1, n * (bucket - 1))))
+    share = _likely_share(n, free, rounds * n * bucket / 2, count)
     while True:
         every = 2 * count > free
-        pairs = _all_pairs(vertices, max(1, n // 1000)) if every else _drawn_pairs(vertices, max(1, n // bucket), rounds, seed)
+        if every:
+            pairs = _all_pairs(vertices, max(1, n // 1000))
+        else:
+            tasks = max(vertices.sparkSession.sparkContext.defaultParallelism, -(-n * rounds // DRAW_ROWS))
+            pairs = _drawn_pairs(vertices, max(1, n // bucket), rounds, seed, tasks)
+            pairs = (pairs if share >= 1 else pairs.where(place("src", "dst", seed=seed) < f"{int(share * 16**8):08x}")).distinct()
         fresh, path = stored(pairs.join(known, ["src", "dst"], "left_anti").withColumn("place", place("src", "dst", seed=seed)))
         if every or fresh.count() >= count:
             return _first_by_place(fresh, count)
         dropped(vertices.sparkSession, path)
-        rounds *= 2
+        share, rounds = 1.0, rounds if share < 1 else 2 * rounds
+
+
+def _likely_share(n: int, free: int, drawn: float, count: int) -> float:
+    """The share of places within which ``count`` different pairs that are no edges are likely, and some more, of so many drawn."""
+    likely = free * -np.expm1(-drawn / max(1, n * (n - 1) / 2))
+    return min(1.0, (1.1 * count + 1000) / likely) if likely > 0 else 1.0
 
 
 def _first_by_place(pairs: DataFrame, count: int) -> DataFrame:
@@ -55,12 +73,12 @@ def _first_by_place(pairs: DataFrame, count: int) -> DataFrame:
     return pairs.where(own < last).unionByName(rest).select("src", "dst")
 
 
-def _drawn_pairs(vertices: DataFrame, buckets: int, rounds: int, seed: int) -> DataFrame:
-    dealt = vertices.select("id").repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a row makes one for each round
+def _drawn_pairs(vertices: DataFrame, buckets: int, rounds: int, seed: int, tasks: int) -> DataFrame:
+    dealt = vertices.select("id").repartition(tasks)  # a row makes one for each round
     drawn = dealt.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     number = F.conv(F.left(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.col("round").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("long")
-    drawn = drawn.withColumn("bucket", F.pmod(number, F.lit(buckets)))
-    return drawn.withColumnRenamed("id", "src").join(drawn.withColumnRenamed("id", "dst"), ["round", "bucket"]).where("src < dst").select("src", "dst").distinct()
+    dealt = drawn.withColumn("bucket", F.pmod(number, F.lit(buckets))).repartition(tasks, "round", "bucket")
+    return met(dealt.groupBy("round", "bucket").agg(F.collect_list("id").alias("ids")), "ids", "src", "dst")  # a few in each
 
 
 def _all_pairs(vertices: DataFrame, blocks: int) -> DataFrame:

@@ -67,17 +67,36 @@ def mention_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("person").agg(F.count("*").alias("mentions"))
 
 
+def together(found: DataFrame, key: str, person: str = "person", tasks: int | None = None) -> DataFrame:
+    """(key, persons): each text once, with the different persons in it, null among them if it is there.
+
+    With ``tasks``, texts are dealt to that many tasks, so that one task's memory doesn't grow with the input.
+    """
+    told = _by_text(found, key, tasks).groupBy(key).agg(F.collect_set(person).alias("persons"), F.bool_or(F.col(person).isNull()).alias("__null"))
+    return told.select(key, F.when(F.col("__null"), F.array_append("persons", F.lit(None))).otherwise(F.col("persons")).alias("persons"))
+
+
+def _by_text(found: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    return found.repartition(tasks, key) if tasks else found.repartition(key)  # dealt first, as lists gathered before that are slow to send
+
+
+def met(sets: DataFrame, items: str, a: str, b: str) -> DataFrame:
+    """(a, b): each two items of a row's array, a < b.  One item at a time is taken along all others, so no row holds its pairs."""
+    return sets.select(F.explode(items).alias(a), items).select(a, F.explode(items).alias(b)).where(F.col(a) < F.col(b))
+
+
+def met_counts(sets: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """(p1, p2, weight): in how many texts (key, persons) two persons meet, p1 < p2; with ``tasks``, pairs are dealt to that many."""
+    pairs = met(sets.where(F.col(key).isNotNull()), "persons", "p1", "p2")
+    return (pairs.repartition(tasks, "p1", "p2") if tasks else pairs).groupBy("p1", "p2").agg(F.count("*").alias("weight"))
+
+
 def cooccurrence(found: DataFrame, key: str, person: str = "person", tasks: int | None = None) -> DataFrame:
     """(p1, p2, weight): in how many texts two persons meet, p1 < p2.
 
     With ``tasks``, texts and pairs are dealt to that many tasks, so that one task's memory doesn't grow with the input.
     """
-    if tasks:
-        found = found.repartition(tasks, key)
-    a = found.select(key, F.col(person).alias("p1"))
-    b = found.select(key, F.col(person).alias("p2"))
-    met = a.join(b, key).where("p1 < p2").select("p1", "p2")
-    return (met.repartition(tasks, "p1", "p2") if tasks else met).groupBy("p1", "p2").agg(F.count("*").alias("weight"))
+    return met_counts(_by_text(found, key, tasks).groupBy(key).agg(F.collect_list(person).alias("persons")), key, tasks)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

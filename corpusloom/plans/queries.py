@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, crawl, graph, heavy, hierarchy, html, linkpred, mentions, ngrams, rankings, search
 from ..session import stored
-from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, table
+from .tables import docs, edges_only, supplier_graph, supplier_nodes, supplier_orders, supplier_pairs, supplier_sets, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,9 +519,12 @@ def negative_samples(spark: SparkSession, folder: str) -> DataFrame:
     return linkpred.negative_samples(vertices, edges, edges.count())
 
 
-def _pairs(spark: SparkSession, folder: str, nodes: DataFrame | None = None) -> DataFrame:
-    vertices, edges = edges_only(spark, folder)
-    return linkpred.node_features(linkpred.labelled_pairs(vertices, edges), supplier_nodes(spark, folder) if nodes is None else nodes)
+def _pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled pairs with their features, and the suppliers that these are of."""
+    sets = supplier_sets(spark, folder)
+    nodes, _ = stored(supplier_nodes(spark, folder, sets))  # read several times
+    vertices, edges = edges_only(spark, folder, sets)
+    return linkpred.node_features(linkpred.labelled_pairs(vertices, edges), nodes), nodes
 
 
 _NODES = "nd AS (SELECT person AS id, mentions AS weight, least(mentions / 5 + 5, 30.0) AS size FROM men)"
@@ -529,7 +532,7 @@ _NODES = "nd AS (SELECT person AS id, mentions AS weight, least(mentions / 5 + 5
 
 @query("linkpred_features", f"WITH {_G}, {_NEG}, {_NODES} SELECT lp.src, lp.dst, label, a.weight AS w1, round(a.size, 6) AS s1, b.weight AS w2, round(b.size, 6) AS s2 FROM lp JOIN nd a ON a.id = lp.src JOIN nd b ON b.id = lp.dst")
 def linkpred_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder).withColumns({"s1": F.round("s1", 6), "s2": F.round("s2", 6)})
+    return _pairs(spark, folder)[0].withColumns({"s1": F.round("s1", 6), "s2": F.round("s2", 6)})
 
 
 @query("split", f"""WITH {_G}, {_NEG}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('_', src, dst, 42))) AS rn, count(*) OVER (PARTITION BY label) AS n FROM lp)
@@ -541,18 +544,18 @@ def split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("linkpred_metrics")
 def linkpred_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    pairs, _ = stored(_pairs(spark, folder))  # read twice
+    pairs, _ = stored(_pairs(spark, folder)[0])  # read twice
     return linkpred.baselines(linkpred.split(pairs), ("w1", "s1", "w2", "s2"))
 
 
 @query("circuit_scores")
 def circuit_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return linkpred.circuit_scores(_pairs(spark, folder), ("w1", "s1", "w2", "s2"))
+    return linkpred.circuit_scores(_pairs(spark, folder)[0], ("w1", "s1", "w2", "s2"))
 
 
 @query("hybrid_scores")
 def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return linkpred.hybrid_scores(_pairs(spark, folder), ("w1", "s1", "w2", "s2"))
+    return linkpred.hybrid_scores(_pairs(spark, folder)[0], ("w1", "s1", "w2", "s2"))
 
 
 @query("score_metrics", f"""WITH {_G}, {_NEG}, {_NODES}, x AS (SELECT label, (a.weight + b.weight) / (SELECT 2.0 * max(weight) FROM nd) AS score FROM lp JOIN nd a ON a.id = lp.src JOIN nd b ON b.id = lp.dst),
@@ -561,9 +564,9 @@ m AS (SELECT (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(t
 u AS (SELECT avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) AS auc FROM x p, x q WHERE p.label = 1 AND q.label = 0)
 SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(auc, 6) AS auc FROM m, u""")
 def score_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, _ = stored(supplier_nodes(spark, folder))  # read several times
+    pairs, nodes = _pairs(spark, folder)
     most = nodes.agg(F.max("weight")).first()[0]
-    scored = _pairs(spark, folder, nodes).withColumn("score", (F.col("w1") + F.col("w2")) / F.lit(2.0 * (most or 1)))
+    scored = pairs.withColumn("score", (F.col("w1") + F.col("w2")) / F.lit(2.0 * (most or 1)))
     return linkpred.metrics(scored).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")))
 
 

@@ -341,3 +341,53 @@ def test_metrics_read_their_input_once(spark):
     assert n.value == 300 and tuple(m) == tuple(linkpred.metrics(scored).first())
     told = scored.groupBy("score", "label").agg(F.count("*").cast("double").alias("rows"))
     assert tuple(linkpred.metrics(told, rows="rows").first()) == tuple(m)
+
+
+def test_score_metrics_reads_lines_once(spark, monkeypatch):
+    """Nodes and pairs are counted from orders that are told apart once."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.plans import queries, tables
+
+    n, folder, read = spark.sparkContext.accumulator(0), "/root/testdata/sf0.001", tables.table
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    wanted = tuple(queries.score_metrics(spark, folder).first())
+    counted = F.udf(seen, "long")
+    monkeypatch.setattr(tables, "table", lambda spark, folder, name: read(spark, folder, name).withColumn("l_suppkey", counted("l_suppkey")) if name == "lineitem" else read(spark, folder, name))
+    assert tuple(queries.score_metrics(spark, folder).first()) == wanted
+    assert n.value == read(spark, folder, "lineitem").count()
+
+
+def test_sets_of_texts(spark):
+    """Sets hold what the different rows hold, nulls too; pairs are those of a join, repeated rows and null keys as there."""
+    some = [(1, 5), (1, 3), (1, 5), (1, None), (2, 5), (2, 3), (3, None), (None, 5), (None, 3), (None, None), (4, 9)]
+    found = spark.createDataFrame(some, "k long, person long")
+    sets = mentions.together(found, "k", tasks=3)
+    assert sorted(((r["k"], p) for r in sets.collect() for p in r["persons"]), key=repr) == sorted(set(some), key=repr)
+    assert rows(mentions.met_counts(sets, "k", 3)) == [(3, 5, 2)]
+    assert rows(mentions.cooccurrence(found, "k")) == rows(mentions.cooccurrence(found, "k", tasks=3)) == [(3, 5, 3)]
+    assert "Join" not in mentions.cooccurrence(found, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_negative_samples_look_at_low_places_first(spark, monkeypatch):
+    """Not all pairs drawn are stored, and what is found doesn't depend on the share that is looked at first."""
+    edges = spark.range(8000).selectExpr("id % 2000 as src", "2000 + id % 7 as dst").distinct()
+    sizes, made = [], linkpred.stored
+
+    def store(df):
+        table, path = made(df)
+        sizes.append(table.count())
+        return table, path
+
+    monkeypatch.setattr(linkpred, "stored", store)
+    find = lambda: rows(linkpred.negative_samples(spark.range(2007), edges, 8000))
+    found = find()
+    assert len(found) == 8000 <= sizes[0] < 16000 and len(sizes) == 1
+    for share in (1.0, 0.001):
+        monkeypatch.setattr(linkpred, "_likely_share", lambda *_, s=share: s)
+        assert find() == found
+    assert sizes[1] > 16000 and sizes[2] < 8000 < sizes[3] == sizes[1]
