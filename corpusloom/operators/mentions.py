@@ -85,10 +85,19 @@ def met(sets: DataFrame, items: str, a: str, b: str) -> DataFrame:
     return sets.select(F.explode(items).alias(a), items).select(a, F.explode(items).alias(b)).where(F.col(a) < F.col(b))
 
 
-def met_counts(sets: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
-    """(p1, p2, weight): in how many texts (key, persons) two persons meet, p1 < p2; with ``tasks``, pairs are dealt to that many."""
+def met_counts(sets: DataFrame, key: str, tasks: int | None = None, span: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """(p1, p2, weight): in how many texts (key, persons) two persons meet, p1 < p2; with ``tasks``, pairs are dealt to that many.
+
+    With ``span``, the least and the greatest of persons that are whole numbers, a pair travels and is counted as one number, if all pairs are numbers of 63 bits.
+    """
     pairs = met(sets.where(F.col(key).isNotNull()), "persons", "p1", "p2")
-    return (pairs.repartition(tasks, "p1", "p2") if tasks else pairs).groupBy("p1", "p2").agg(F.count("*").alias("weight"))
+    count = F.count("*").alias("weight")
+    if span is None or span[0] is None or (wide := span[1] - span[0] + 1) ** 2 > 1 << 63:
+        return (pairs.repartition(tasks, "p1", "p2") if tasks else pairs).groupBy("p1", "p2").agg(count)
+    kind, least = sets.schema["persons"].dataType.elementType, F.lit(span[0]).cast("long")
+    number = pairs.select(((F.col("p1").cast("long") - least) * F.lit(wide).cast("long") + (F.col("p2").cast("long") - least)).alias("pair"))
+    told = (number.repartition(tasks, "pair") if tasks else number).groupBy("pair").agg(count)
+    return told.select((F.expr(f"pair div {wide}L") + least).cast(kind).alias("p1"), (F.expr(f"pair % {wide}L") + least).cast(kind).alias("p2"), "weight")
 
 
 def cooccurrence(found: DataFrame, key: str, person: str = "person", tasks: int | None = None) -> DataFrame:

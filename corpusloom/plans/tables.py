@@ -46,10 +46,12 @@ def _tasks(spark: SparkSession, folder: str) -> int:
 
 
 def supplier_pairs(spark: SparkSession, folder: str, sets: DataFrame | None = None) -> DataFrame:
-    tasks = _tasks(spark, folder)
+    tasks, lines = _tasks(spark, folder), _lines(spark, folder)
     if sets is None:
-        return mentions.met_counts(mentions.together(_lines(spark, folder), "order", tasks=tasks), "order", tasks)
-    return mentions.met_counts(sets.repartition(tasks, "order"), "order", tasks)
+        span = lines.agg(F.min("person"), F.max("person")).first()
+        return mentions.met_counts(mentions.together(lines, "order", tasks=tasks), "order", tasks, tuple(span))
+    span = sets.agg(F.min(F.array_min("persons")), F.max(F.array_max("persons"))).first()
+    return mentions.met_counts(sets.repartition(tasks, "order"), "order", tasks, tuple(span))
 
 
 def supplier_graph(spark: SparkSession, folder: str, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -373,6 +373,32 @@ def test_sets_of_texts(spark):
     assert "Join" not in mentions.cooccurrence(found, "k")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_pairs_as_one_number(spark, kind):
+    """Pairs sent as one number are those sent as two, of the same type; where one number can't hold them, two are sent."""
+    ends = [-(2**31), -1, 0, 7, 2**31 - 1] if kind == "int" else [-5, -1, 0, 7, 3_037_000_493]  # the widest of long that fit
+    some = [(k, p) for k in range(6) for p in ends[k % 3 :]] + [(1, None), (None, ends[0]), (None, ends[1]), (2, ends[3])]
+    sets = mentions.together(spark.createDataFrame(some, f"k long, person {kind}"), "k")
+    told = mentions.met_counts(sets, "k", 3, (ends[0], ends[-1]))
+    two = mentions.met_counts(sets, "k", 3)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert rows(told) == rows(two) and len(rows(told)) == 10
+    assert told.dtypes == two.dtypes
+    assert ("hashpartitioning(pair" in plan(told)) == (kind == "long") and "hashpartitioning(p1" in plan(two)
+    for span in ((None, None), (-(2**63), 2**63 - 1)):
+        assert "hashpartitioning(p1" in plan(mentions.met_counts(sets, "k", 3, span)) and rows(mentions.met_counts(sets, "k", 3, span)) == rows(two)
+
+
+def test_supplier_pairs_travel_as_one_number(spark):
+    from corpusloom.plans import tables
+
+    folder = "/root/testdata/sf0.001"
+    sets = tables.supplier_sets(spark, folder)
+    for pairs in (tables.supplier_pairs(spark, folder), tables.supplier_pairs(spark, folder, sets)):
+        assert "hashpartitioning(pair" in pairs._jdf.queryExecution().executedPlan().toString()
+        assert rows(pairs) == rows(mentions.met_counts(sets, "order"))
+
+
 def test_negative_samples_look_at_low_places_first(spark, monkeypatch):
     """Not all pairs drawn are stored, and what is found doesn't depend on the share that is looked at first."""
     edges = spark.range(8000).selectExpr("id % 2000 as src", "2000 + id % 7 as dst").distinct()
