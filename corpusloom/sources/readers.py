@@ -14,6 +14,8 @@ TITLE = "全唐詩"
 PREFIX = "全唐詩_第"
 AUTHOR, CONTENT, UNKNOWN = "作者:", "內容:", "未知作者"
 RULE = "-" * 30
+#: What keeps the dashes of a field from being a rule in a volume: it follows the 29th of a run.
+JOINER = "\u2060"
 LIST_HEADERS = ("全唐詩", "=", "總計", "注意")
 POEM = T.StructType([T.StructField("title", T.StringType()), T.StructField("volume", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("author", T.StringType())])
 GRAPH = "metadata struct<total_nodes:long,total_edges:long>, nodes array<struct<id:string,weight:long,size:double>>, edges array<struct<source:string,target:string,weight:long>>"
@@ -48,6 +50,32 @@ def volume_number(file: Column) -> Column:
     return F.when(n == "", 0).otherwise(F.try_to_number(n, F.lit("999999999")).cast("int"))
 
 
+def without_rules(field: Column) -> Column:
+    """A field of a poem as it can stand in a volume: a joiner more after 29 dashes that another dash or a joiner follows."""
+    return F.regexp_replace(field, f"-{{29}}(?:(?=-)|{JOINER}+)", f"$0{JOINER}")
+
+
+def _with_rules(section: Column) -> Column:
+    return F.regexp_replace(section, f"(-{{29}}{JOINER}*){JOINER}", "$1")
+
+
+def parse_written(sections: DataFrame, drop_header_section: bool = True) -> DataFrame:
+    """(title, volume, content, author, file, at) of sections that ``writers.write_volumes`` has written, as it got them.
+
+    Every line has its place there, so white space, blank fields, rules and marks within a field are its own, which ``parse_sections`` can't
+    know of published files.  An unknown author is null; titles and authors are one line.
+    """
+    body = F.ltrim(F.col("section"), F.lit("\n"))
+    if drop_header_section:
+        sections = sections.where(~F.startswith(body, F.lit(TITLE)))
+    else:
+        body = F.regexp_replace(body, f"\\A{TITLE} 第[^\\n]*\\n=+\\n\\n", "")
+    section = sections.withColumn("lines", F.split(_with_rules(body), "\n", 4)).where(F.size("lines") == 4)
+    own, text = F.substr(F.col("lines")[1], F.lit(len(f"   {AUTHOR} ") + 1)), F.col("lines")[3]
+    content = F.substr(text, F.lit(1), F.length(text) - 1)  # less the end of its last line
+    return section.select(F.col("lines")[0].alias("title"), "volume", content.alias("content"), F.nullif(own, F.lit(UNKNOWN)).alias("author"), "file", "at")
+
+
 def parse_sections(sections: DataFrame, drop_header_section: bool = True) -> DataFrame:
     """(title, volume, content, author, file, at) of sections (file, volume, at, section).
 
@@ -56,7 +84,7 @@ def parse_sections(sections: DataFrame, drop_header_section: bool = True) -> Dat
     The header of a volume stands in its first section, so that section's poem is lost; with ``drop_header_section=False`` a
     header's lines go first and the poem is kept.
     """
-    body = F.col("section")
+    body = _with_rules(F.col("section"))
     if not drop_header_section:
         body = F.regexp_replace(body, f"(?s)\\A\\s*{TITLE}[^\\n]*\\n=+\\s*", "")
     section = sections.withColumn("lines", F.split(strip(body), "\n")).where(F.size("lines") >= 3)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import BLOCK, arranged, numbered
 from ..session import dropped, stored
-from .readers import AUTHOR, CONTENT, RULE, TITLE
+from .readers import AUTHOR, CONTENT, RULE, TITLE, without_rules
 
 # Fixed names: headers of the published tables.
 GRAM_HEADER = ("排名", "詞彙", "出現次數")
@@ -21,10 +21,11 @@ PERSON_POEM_HEADER = ("詩歌ID", "作者", "標題", "人物", "提及次數")
 def volume_lines(poems: DataFrame, order: str = "seq", block: int = BLOCK) -> DataFrame:
     """(volume, value): each poem (volume, title, author, content) as it stands in its volume, in order and numbered, the first under the header.
 
-    ``order`` must tell the poems of a volume apart.  The newline that ends a row is not part of it.
+    ``order`` must tell the poems of a volume apart.  The newline that ends a row is not part of it.  Dashes of a field that would be a rule are broken
+    by a joiner, which the readers take out again.
     """
     at = arranged(poems, order, "volume", block=block)
-    field = lambda c, none: F.coalesce(F.col(c), F.lit(none))
+    field = lambda c, none: without_rules(F.coalesce(F.col(c), F.lit(none)))
     entry = F.concat(F.col("number").cast("string"), F.lit(". "), field("title", "未知標題"), F.lit(f"\n   {AUTHOR} "), field("author", "未知作者"), F.lit(f"\n   {CONTENT}\n"), field("content", "無內容"), F.lit(f"\n{RULE}\n"))
     head = F.concat(F.lit(f"{TITLE} 第"), F.col("volume").cast("string"), F.lit("卷\n" + "=" * 50 + "\n\n"))
     return at.select("volume", F.concat(F.when(F.col("number") == 1, head).otherwise(""), entry).alias("value"))

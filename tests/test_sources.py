@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog, ngrams, order, rankings
+from corpusloom.plans import files  # noqa: F401  adds its queries
+from corpusloom.plans.queries import QUERIES, SQL
 from corpusloom.sources import readers, reports, writers
 
 from .conftest import rows
@@ -45,6 +48,21 @@ def test_volume_files_round_trip(spark, tmp_path):
     assert whole == volume(("t1", "a", "x\ny"), ("t2", "b", "z"), number=3)
 
 
+def test_volume_queries_on_odd_texts(spark, tmp_path):
+    """Blank texts, rules and marks within a text, and white space at its ends come back as SQL has them."""
+    joiner = readers.JOINER
+    texts = ["", None, " ", "\n\n", " lead\ntext ", "\n\nblank first", f"a\n{RULE}\nb", "-" * 95 + "\n" + "-" * 29, "-" * 29 + joiner + "-" + joiner + "-" * 40, "x\n   內容:\ny 內容: z\nq",
+             "x 作者: y\n 作者: z\n", "tail　", "　head \nz \x0b", "crlf\r\nend\r\n", f"全唐詩 第1卷\n{'=' * 50}\n\nfoo", "tail \n\n\t"]
+    docs = [(100 * k + i, t, lang, None if i == 5 else f"src{i % 5}") for k, lang in enumerate(("de", "en", "fr")) for i, t in enumerate(texts[k:] + texts[:k])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("volume_titles",):
+        found = QUERIES[name](spark, str(tmp_path))
+        wanted = con.sql(SQL[name])
+        assert rows(found) == sorted((tuple(r) for r in wanted.project(", ".join(found.columns)).fetchall()), key=repr), name
+
+
 def test_large_volume(spark, tmp_path):
     """A volume of many splits, whose rules and characters lie on their borders, has the same poems as if read at once, in order."""
     poems = [(f"t{i}", f"作{i % 7}", "字é" * (i * 37 % 900) + f"\n{i}") for i in range(4000)]
