@@ -57,7 +57,7 @@ def test_volume_queries_on_odd_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("volume_titles", "volume_roundtrip"):
+    for name in ("volume_titles", "volume_roundtrip", "volume_roundtrip_whole"):
         found = QUERIES[name](spark, str(tmp_path))
         wanted = con.sql(SQL[name])
         assert rows(found) == sorted((tuple(r) for r in wanted.project(", ".join(found.columns)).fetchall()), key=repr), name
