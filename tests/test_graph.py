@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 from collections import deque
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, linkpred, mentions
+from corpusloom.operators import graph, linkpred, mentions, walks
 from corpusloom.session import Scratch
 
 from .conftest import rows
@@ -248,6 +249,43 @@ def test_paths_in_blocks(spark, monkeypatch):
     assert dict(graph.path_lengths(e).collect()) == {d: sum(1 for s, t, x in wanted if s < t and x == d) for d in {d for _, _, d in wanted}}
 
 
+def test_searches_in_parts(monkeypatch):
+    """A task that adds up a few neighbours at a time, of a few sources, gives the same."""
+    random.seed(9)
+    near = {i: set() for i in range(40)}
+    for a, b in [random.sample(range(40), 2) for _ in range(60)] + [(0, i) for i in range(1, 40)]:
+        near[a].add(b)
+        near[b].add(a)
+    row = lambda i: {"pack": 0, "slice": 0, "slices": 1, "place": i, "id": str(i), "asked": True, "to": sorted(near[i])}
+    monkeypatch.setattr(walks, "SOURCES", 7)
+    monkeypatch.setattr(walks, "CELLS", 130)
+    monkeypatch.setattr(walks, "ROWS", 9)
+    g = walks.Graph([pa.RecordBatch.from_pylist([row(i) for i in range(40)])])
+    assert {i: x / (39 * 38) for i, x in enumerate(g.dependencies())} == pytest.approx(brandes(near), abs=1e-8)
+    found = [(r["src"], r["dst"], r["dist"]) for b in walks.paths(g) for r in b.to_pylist()]
+    assert sorted(found) == sorted((str(s), str(t), d) for s in near for t, d in distances(near, s).items() if d)
+
+
+def test_searches_within_tasks(spark, monkeypatch):
+    """Tasks that hold a few components each give the distances, counts and betweenness of whole searches, and store nothing for a step."""
+    random.seed(8)
+    pairs = sorted({tuple(sorted(random.sample(range(c, c + 50), 2))) for c in (0, 50, 100) for _ in range(75)} | {(0, i) for i in range(1, 30)})
+    near = {i: set() for i in range(160)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    v, e = table(spark, 160, pairs)
+    wanted = {(s, t, d) for s in near for t, d in distances(near, s).items() if d}
+    for name, value in (("TABLE_PAIRS", 0), ("TILE", 16), ("OWN_WORK", 900)):
+        monkeypatch.setattr(graph, name, value)
+    monkeypatch.setattr(graph, "_stepped", None)
+    assert {r["id"]: r["betweenness"] for r in graph.betweenness(v, e).collect()} == pytest.approx(brandes(near), abs=1e-8)
+    monkeypatch.undo()
+    for name, value in (("TABLE_PAIRS", 0), ("OWN_EDGES", 3)):  # a component that a task can't hold is searched by tables
+        monkeypatch.setattr(graph, name, value)
+    assert graph._own_graphs(Scratch(spark), graph._placed(Scratch(spark), v, e), e, None) is None
+
+
 def test_pair_features_of_edges_take_a_step(spark, monkeypatch):
     """The search is for the pairs alone: where they are edges it ends after a step, however large the graph."""
     v, e = table(spark, 40, [(i, i + 1) for i in range(39)])
