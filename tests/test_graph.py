@@ -279,6 +279,10 @@ def test_searches_within_tasks(spark, monkeypatch):
     for name, value in (("TABLE_PAIRS", 0), ("TILE", 16), ("OWN_WORK", 900)):
         monkeypatch.setattr(graph, name, value)
     monkeypatch.setattr(graph, "_stepped", None)
+    found = graph.shortest_paths(e).collect()
+    assert len(found) == len(wanted) and set(map(tuple, found)) == wanted
+    starts = spark.createDataFrame([(3,), (3,), (61,), (900,)], "id long")
+    assert rows(graph.shortest_paths(e, starts, 2)) == sorted((x for x in wanted if x[0] in (3, 61) and x[2] <= 2), key=repr)
     assert {r["id"]: r["betweenness"] for r in graph.betweenness(v, e).collect()} == pytest.approx(brandes(near), abs=1e-8)
     monkeypatch.undo()
     for name, value in (("TABLE_PAIRS", 0), ("OWN_EDGES", 3)):  # a component that a task can't hold is searched by tables
